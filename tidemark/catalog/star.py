@@ -1 +1,134 @@
-"""Queries."""
+"""Star-schema queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.catalog import query
+from tidemark.catalog import views as v
+from tidemark.plans import marts
+from tidemark.plans import star as s
+
+TRACKED = ["age_group", "gender", "insurance_category", "comorbidity_count"]
+
+
+def dates(spark, sf):
+    return s.date_dimension(s.spine_between(v.table(spark, sf, "orders"), "o_orderdate"))
+
+
+def patient_dimension(spark, sf):
+    return s.apply_history(None, v.patients(spark, sf), "patient_id", TRACKED, F.lit("2020-01-01").cast("date"))
+
+
+def departments(spark, sf):
+    nation = v.table(spark, sf, "nation").join(v.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return nation.select(
+        F.col("n_nationkey").alias("department_key"), F.col("n_name").alias("department_name"), F.col("r_name").alias("service_line"),
+        (F.col("n_regionkey") * 0.05 + 0.2).cast("decimal(10,4)").alias("benchmark_readmission_rate"),
+    )
+
+
+def facts(spark, sf):
+    return s.admission_facts(v.admissions(spark, sf), patient_dimension(spark, sf), departments(spark, sf))
+
+
+DATES = """dates AS (SELECT CAST(strftime(d, '%Y%m%d') AS BIGINT) AS date_key, CAST(d AS DATE) AS full_date, year(d) AS year, quarter(d) AS quarter, month(d) AS month, strftime(d, '%B') AS month_name, week(d) AS week_of_year,
+ day(d) AS day_of_month, isodow(d) AS day_of_week, strftime(d, '%A') AS day_name, isodow(d) IN (6, 7) AS is_weekend,
+ CAST(CASE WHEN month(d) >= 10 THEN 1 WHEN month(d) <= 3 THEN 2 WHEN month(d) <= 6 THEN 3 ELSE 4 END AS BIGINT) AS fiscal_quarter, CAST(CASE WHEN month(d) >= 10 THEN year(d) + 1 ELSE year(d) END AS BIGINT) AS fiscal_year,
+ CASE WHEN month(d) IN (12, 1, 2) THEN 'Winter' WHEN month(d) IN (3, 4, 5) THEN 'Spring' WHEN month(d) IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END AS season
+ FROM (SELECT unnest(generate_series((SELECT min(o_orderdate) FROM orders), (SELECT max(o_orderdate) FROM orders), INTERVAL 1 DAY)) AS d))"""
+
+
+@query("ss01_date_dimension", "WITH " + DATES + " SELECT * REPLACE (strftime(full_date, '%Y-%m-%d') AS full_date) FROM dates")
+def date_dimension(spark, sf):
+    return dates(spark, sf)
+
+
+@query("ss02_dimension_history", """WITH e AS (SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 10 <> 0), n AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 7 <> 0)
+SELECT e.c_custkey, CAST(e.c_nationkey AS BIGINT) AS c_nationkey, e.c_mktsegment, '2020-01-01' AS effective_date, CASE WHEN n.c_mktsegment <> e.c_mktsegment THEN '2021-06-30' ELSE '9999-12-31' END AS expiry_date, coalesce(n.c_mktsegment = e.c_mktsegment, TRUE) AS is_current FROM e LEFT JOIN n USING (c_custkey)
+UNION ALL SELECT n.c_custkey, CAST(n.c_nationkey AS BIGINT), n.c_mktsegment, '2021-06-30', '9999-12-31', TRUE FROM n LEFT JOIN e USING (c_custkey) WHERE e.c_custkey IS NULL OR n.c_mktsegment <> e.c_mktsegment""")
+def dimension_history(spark, sf):
+    customer = v.table(spark, sf, "customer")
+    tracked = ["c_nationkey", "c_mktsegment"]
+    day = lambda text: F.lit(text).cast("date")
+    first = s.apply_history(None, customer.filter("c_custkey % 10 <> 0"), "c_custkey", tracked, day("2020-01-01"))
+    second = customer.filter("c_custkey % 7 <> 0").withColumn("c_mktsegment", F.expr("CASE WHEN c_custkey % 3 = 0 THEN 'MOVED' ELSE c_mktsegment END"))
+    return s.apply_history(first, second, "c_custkey", tracked, day("2021-06-30")).drop("patient_key", "row_hash")
+
+
+@query("ss03_fact_load_insert_if_new", v.with_tables(*v.ADMISSION_TABLES, *v.PATIENT_TABLES, """SELECT admission_id, CAST(n_nationkey AS BIGINT) AS department_key, CAST(admit_date_key AS BIGINT) AS admit_date_key, CAST(total_charges AS DOUBLE) AS total_cost_usd FROM stg_admissions JOIN stg_patients USING (patient_id)
+ LEFT JOIN nation ON n_name = department WHERE admission_id NOT IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'P')"""))
+def fact_load(spark, sf):
+    loaded = v.table(spark, sf, "orders").filter(F.col("o_orderstatus") == "P").select(F.col("o_orderkey").cast("string").alias("admission_id"))
+    found = s.admission_facts(v.admissions(spark, sf), patient_dimension(spark, sf), departments(spark, sf), existing=loaded)
+    return found.select("admission_id", "department_key", "admit_date_key", "total_cost_usd")
+
+
+@query("ss04_bridge_load", v.with_tables(*v.ADMISSION_TABLES, *v.PATIENT_TABLES, """SELECT DISTINCT admission_id, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey JOIN stg_admissions ON admission_id = CAST(l_orderkey AS VARCHAR) JOIN stg_patients USING (patient_id)"""))
+def bridge_load(spark, sf):
+    part = v.table(spark, sf, "part")
+    child = v.table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").cast("string").alias("admission_id"), "p_brand"
+    )
+    codes = part.select("p_brand").distinct().withColumn("diagnosis_key", s.surrogate_key("p_brand"))
+    fact = facts(spark, sf)
+    pairs = s.bridge(child, fact, codes, "p_brand", "diagnosis_key")
+    return pairs.join(fact.select("admission_id", "admission_key"), "admission_key").join(codes, "diagnosis_key").select("admission_id", "p_brand")
+
+
+@query("ss05_vital_facts", v.with_tables(*v.ADMISSION_TABLES, *v.PATIENT_TABLES, """SELECT event_id, CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS date_key, value AS heart_rate, CAST(floor((epoch_us(ts) - epoch_us(CAST(admission_date AS TIMESTAMP))) / 1000000) AS BIGINT) / 3600 AS hours_since_admit
+ FROM events JOIN stg_admissions ON admission_id = CAST(user_id AS VARCHAR) JOIN stg_patients USING (patient_id)"""))
+def vital_facts(spark, sf):
+    vitals = v.table(spark, sf, "events").select(
+        "event_id", F.col("user_id").cast("string").alias("admission_id"), F.col("ts").alias("recorded_at"), F.col("value").cast("string").alias("heart_rate")
+    )
+    return s.vital_facts(vitals, facts(spark, sf), ["heart_rate"], key="event_id").select("event_id", "date_key", "heart_rate", "hours_since_admit")
+
+
+@query("ss06_full_view", v.with_tables(*v.ADMISSION_TABLES, *v.PATIENT_TABLES, DATES, """SELECT admission_id, p.patient_id, p.age_group, p.insurance_category, strftime(a.full_date, '%Y-%m-%d') AS admit_date, a.day_name AS admit_day_name, a.is_weekend AS admitted_on_weekend, strftime(d.full_date, '%Y-%m-%d') AS discharge_date, n_name AS department_name, readmit_30day_flag
+ FROM stg_admissions s JOIN stg_patients p USING (patient_id) JOIN dates a ON a.date_key = admit_date_key LEFT JOIN dates d ON d.date_key = discharge_date_key LEFT JOIN nation ON n_name = department"""))
+def full_view(spark, sf):
+    found = s.full_view(facts(spark, sf), patient_dimension(spark, sf), dates(spark, sf), departments(spark, sf))
+    return found.select(
+        "admission_id", "patient_id", "age_group", "insurance_category", "admit_date", "admit_day_name", "admitted_on_weekend",
+        "discharge_date", "department_name", "readmit_30day_flag",
+    )
+
+
+@query("ss07_high_risk_list", v.with_tables(*v.ADMISSION_TABLES, *v.PATIENT_TABLES, v.SCORES, """, l AS (SELECT DISTINCT ON (admission_id) admission_id, risk_score, risk_tier, predicted_at FROM scores WHERE risk_tier IN ('high', 'critical') ORDER BY admission_id, predicted_at DESC, prediction_id DESC)
+SELECT admission_id, patient_id, department, age_group, CAST(risk_score AS DOUBLE) AS risk_score, risk_tier FROM l JOIN stg_admissions USING (admission_id) JOIN stg_patients USING (patient_id) WHERE admission_date >= (SELECT max(admission_date) FROM stg_admissions) - INTERVAL 1500 DAY""").replace("FROM events))\n,", "FROM events)),"))
+def high_risk_list(spark, sf):
+    newest = v.table(spark, sf, "orders").agg(F.max(F.to_date("o_orderdate")).alias("d")).scalar()
+    found = marts.high_risk_list(v.scores(spark, sf), v.admissions(spark, sf), v.patients(spark, sf), newest, days=1500)
+    return found.select("admission_id", "patient_id", "department", "age_group", "risk_score", "risk_tier")
+
+
+@query("ss07_current_high_risk_with_ties", v.with_tables(*v.ADMISSION_TABLES, *v.PATIENT_TABLES, v.SCORES, """SELECT prediction_id, admission_id, patient_id, CAST(risk_score AS DOUBLE) AS risk_score FROM (SELECT *, rank() OVER (PARTITION BY admission_id ORDER BY predicted_at DESC) AS r FROM scores) s
+ JOIN (SELECT admission_id, patient_id FROM stg_admissions JOIN stg_patients USING (patient_id)) a USING (admission_id) WHERE r = 1 AND risk_tier IN ('high', 'critical')""").replace("s.patient_id", "patient_id").replace("SELECT prediction_id, admission_id, patient_id,", "SELECT prediction_id, admission_id, a.patient_id,"))
+def current_high_risk(spark, sf):
+    found = s.current_high_risk(v.scores(spark, sf), facts(spark, sf).drop("patient_id"), patient_dimension(spark, sf))
+    return found.select("prediction_id", "admission_id", "patient_id", "risk_score")
+
+
+@query("ss08_incremental_merge", """SELECT o_orderkey, CASE WHEN o_orderdate > (SELECT max(o_orderdate) FROM orders WHERE o_orderkey % 2 = 0) - INTERVAL 30 DAY AND o_orderkey % 3 <> 0 THEN 'new' ELSE 'old' END AS origin FROM orders
+ WHERE o_orderkey % 2 = 0 OR (o_orderdate > (SELECT max(o_orderdate) FROM orders WHERE o_orderkey % 2 = 0) - INTERVAL 30 DAY AND o_orderkey % 3 <> 0)""")
+def incremental(spark, sf):
+    orders = v.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    existing = orders.filter("o_orderkey % 2 = 0").withColumn("origin", F.lit("old"))
+    incoming = orders.filter("o_orderkey % 3 <> 0").withColumn("origin", F.lit("new"))
+    return s.incremental_merge(existing, incoming, "o_orderkey", "day", 30).select("o_orderkey", "origin")
+
+
+@query("ss09_surrogate_keys", """SELECT count(*) AS row_count, count(*) AS distinct_keys FROM customer""")
+def surrogate_keys(spark, sf):
+    keyed = v.table(spark, sf, "customer").select(s.surrogate_key("c_custkey").alias("k"))
+    return keyed.agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct("k").alias("distinct_keys"))
+
+
+@query("ss10_department_month_view", v.with_tables(*v.ADMISSION_TABLES, *v.PATIENT_TABLES, f"""SELECT n_name AS department_name, r_name AS service_line, year(admission_date) AS year, month(admission_date) AS month, strftime(admission_date, '%B') AS month_name, strftime(date_trunc('month', admission_date), '%Y-%m-%d') AS period_start,
+ count(*) AS total_admissions, CAST(sum(CAST(readmit_30day_flag AS INTEGER)) AS BIGINT) AS total_readmissions, {v.share_sql('readmit_30day_flag')} AS readmission_rate, CAST(n_regionkey * 0.05 + 0.2 AS DOUBLE) AS benchmark_readmission_rate,
+ CAST(CAST({v.share_sql('readmit_30day_flag')} AS DECIMAL(10,4)) - CAST(n_regionkey * 0.05 + 0.2 AS DECIMAL(10,4)) AS DOUBLE) AS vs_benchmark, {v.mean_sql('length_of_stay_days', 2)} AS avg_los_days,
+ {v.mean_sql('total_charges', 2)} AS avg_cost_usd, CAST(sum(total_charges) AS DOUBLE) AS total_cost_usd, CAST(sum(icu_days) AS BIGINT) AS total_icu_days, CAST(sum(CAST(emergency_flag AS INTEGER)) AS BIGINT) AS emergency_admissions
+ FROM stg_admissions JOIN stg_patients USING (patient_id) JOIN nation ON n_name = department JOIN region ON n_regionkey = r_regionkey GROUP BY n_name, r_name, n_regionkey, 3, 4, 5, 6"""))
+def department_month_view(spark, sf):
+    return marts.department_month_view(facts(spark, sf), departments(spark, sf), dates(spark, sf)).drop("department_key")

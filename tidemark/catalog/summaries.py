@@ -125,7 +125,7 @@ def severity_counts(spark, sf):
     return a.conditional_counts(v.table(spark, sf, "events"), "event_type", ["error", "click", "view"])
 
 
-@query("ag07_measures_per_admission", f"""SELECT l_orderkey AS admission_id, {{0}}, {v.mean_sql('l_discount', 12)} AS l_discount_mean, max(l_discount) AS l_discount_max
+@query("ag07_measures_per_admission", f"""SELECT l_orderkey AS admission_id, {{0}}, {v.mean_sql('l_discount', 8)} AS l_discount_mean, max(l_discount) AS l_discount_max
  FROM lineitem GROUP BY l_orderkey""".replace("{0}", ", ".join(
     f"{v.mean_sql(m, 8)} AS {m}_mean, round(CAST(stddev_samp({m}) AS DECIMAL(24,8)), 4)::DOUBLE AS {m}_std, min({m}) AS {m}_min, max({m}) AS {m}_max"
     for m in ("l_quantity", "l_extendedprice")

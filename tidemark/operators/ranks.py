@@ -17,11 +17,13 @@ from tidemark.functions.cleaning import col
 MOST_KEYED_EDGES = 1000
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
+def join_on(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal or both-NULL keys, keeping the left key columns only."""
+    other = right.withColumnsRenamed({n: f"_right_{n}" for n in names})
     condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
+    for n in names:
+        condition = condition & F.col(n).eqNullSafe(F.col(f"_right_{n}"))
+    return left.join(other, condition, how).drop(*[f"_right_{n}" for n in names])
 
 
 def _cut_into_pieces(level: DataFrame, df: DataFrame, order: str, keys: Sequence[str], pieces: int) -> DataFrame:
@@ -38,9 +40,8 @@ def _cut_into_pieces(level: DataFrame, df: DataFrame, order: str, keys: Sequence
         piece = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(order).cast("double")))
         return level.withColumn("_piece", piece if edges else F.lit(0))
     table = level.sparkSession.createDataFrame(found, summary.schema)
-    joined = level.join(table, _same(level, table, keys), "left")
     piece = F.size(F.array_distinct(F.filter("_edges", lambda e: e <= F.col(order).cast("double"))))
-    return joined.select(*[level[c] for c in level.columns], piece.alias("_piece"))
+    return join_on(level, table, keys, "left").withColumn("_piece", piece).drop("_edges")
 
 
 def running_totals(
@@ -66,11 +67,10 @@ def running_totals(
     )
     within = Window.partitionBy(*keys, "_piece").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.withColumns({f"_local_{n}": F.sum(n).over(within) for n in sums})
-    joined = local.join(carried, _same(local, carried, [*keys, "_piece"]))
-    return joined.select(
-        *[local[k] for k in keys],
-        local[order],
-        *[local[n] for n in sums],
+    return join_on(local, carried, [*keys, "_piece"]).select(
+        *keys,
+        order,
+        *sums,
         *[(F.col(f"_local_{n}") + F.col(f"_carried_{n}")).alias(f"{n}_upto") for n in sums],
     )
 
@@ -84,7 +84,7 @@ def exact_quantiles(
     ranked = running_totals(df, value, {"n": F.lit(1)}, keys, pieces)
     if keys:
         sizes = ranked.groupBy(*keys).agg(F.max("n_upto").alias("_total"))
-        sized = ranked.join(sizes, _same(ranked, sizes, keys)).select(*[ranked[k] for k in keys], value, "n_upto", "_total")
+        sized = join_on(ranked, sizes, keys)
     else:
         sized = ranked.withColumn("_total", ranked.agg(F.max("n_upto").alias("m")).scalar())
     picks = []
@@ -119,10 +119,9 @@ def chunked_lag(
     )
     within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     local = cut.withColumns({"_local": F.lag(payload).over(within), "_first": F.row_number().over(within) == 1})
-    joined = local.join(carried, _same(local, carried, [*keys, "_chunk"]), "left")
     previous = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_local"))
-    return joined.select(
-        *[local[c] for c in df.columns], *[previous[v].alias(prefix + v) for v in values]
+    return join_on(local, carried, [*keys, "_chunk"], "left").select(
+        *df.columns, *[previous[v].alias(prefix + v) for v in values]
     )
 
 
