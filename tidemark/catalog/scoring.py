@@ -107,7 +107,7 @@ def tiers(spark, sf):
  CASE WHEN prior_admissions_12m <> 0 THEN 'prior_admissions_12m=' || CAST(CAST(prior_admissions_12m * 0.04 AS DECIMAL(10,4)) AS VARCHAR) END,
  CASE WHEN icu_flag <> 0 THEN 'icu_flag=' || CAST(CAST(icu_flag * 0.08 AS DECIMAL(10,4)) AS VARCHAR) END,
  CASE WHEN comorbidity_count <> 0 THEN 'comorbidity_count=' || CAST(CAST(comorbidity_count * 0.03 AS DECIMAL(10,4)) AS VARCHAR) END,
- CASE WHEN length_of_stay_days <> 0 THEN 'length_of_stay_days=' || CAST(CAST(length_of_stay_days * 0.02 AS DECIMAL(10,4)) AS VARCHAR) END], x -> x IS NOT NULL)[1:6], ',') AS factors FROM features"""))
+ CASE WHEN length_of_stay_days <> 0 THEN 'length_of_stay_days=' || CAST(CAST(length_of_stay_days * 0.02 AS DECIMAL(10,4)) AS VARCHAR) END], lambda x: x IS NOT NULL)[1:6], ',') AS factors FROM features"""))
 def weighted_factors(spark, sf):
     shown = F.transform(s.weighted_factors(), lambda x: F.concat(x["feature"], F.lit("="), x["contribution"].cast("decimal(10,4)").cast("string")))
     return features(spark, sf).select("admission_id", F.array_join(shown, ",").alias("factors"))
@@ -115,12 +115,12 @@ def weighted_factors(spark, sf):
 
 @query("sc09_threshold_factors", v.with_tables(*FEATURE_TABLES, """SELECT admission_id, array_to_string(list_filter([CASE WHEN prior_admissions_12m >= 3 THEN 'prior_admissions_12m' END, CASE WHEN prior_readmissions_1y >= 1 THEN 'prior_readmissions_1y' END, CASE WHEN charlson_comorbidity_index >= 3 THEN 'charlson_comorbidity_index' END,
  CASE WHEN length_of_stay_days >= 7 THEN 'length_of_stay_days' END, CASE WHEN icu_days >= 2 THEN 'icu_days' END, CASE WHEN comorbidity_count >= 4 THEN 'comorbidity_count' END, CASE WHEN high_utilizer_flag >= 1 THEN 'high_utilizer_flag' END,
- CASE WHEN days_since_last_discharge >= 30 THEN 'days_since_last_discharge' END], x -> x IS NOT NULL), ',') AS factors FROM features"""))
+ CASE WHEN days_since_last_discharge >= 30 THEN 'days_since_last_discharge' END], lambda x: x IS NOT NULL), ',') AS factors FROM features"""))
 def threshold_factors(spark, sf):
     return features(spark, sf).select("admission_id", F.array_join(F.transform(s.threshold_factors(), lambda x: x["feature"]), ",").alias("factors"))
 
 
-@query("sc10_top_contributions", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, array_to_string(list_transform(list_sort([struct_pack(k := -abs(q), n := 'quantity'), struct_pack(k := -abs(d), n := 'discount'), struct_pack(k := -abs(t), n := 'tax')])[1:2], x -> x.n), ',') AS names
+@query("sc10_top_contributions", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, array_to_string(list_transform(list_sort([struct_pack(k := -abs(q), n := 'quantity'), struct_pack(k := -abs(d), n := 'discount'), struct_pack(k := -abs(t), n := 'tax')])[1:2], lambda x: x.n), ',') AS names
  FROM (SELECT *, l_quantity - 25 AS q, (l_discount - 0.05::DOUBLE) * 100 AS d, (l_tax - 0.04::DOUBLE) * 100 AS t FROM lineitem)""")
 def top_contributions(spark, sf):
     top = s.top_contributions(

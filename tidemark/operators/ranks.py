@@ -83,10 +83,10 @@ def exact_quantiles(
     keys = list(keys)
     ranked = running_totals(df, value, {"n": F.lit(1)}, keys, pieces)
     if keys:
-        sizes = ranked.groupBy(*keys).agg(F.max("n_upto").alias("_total"))
+        sizes = df.groupBy(*keys).agg(F.count(value).alias("_total"))
         sized = join_on(ranked, sizes, keys)
     else:
-        sized = ranked.withColumn("_total", ranked.agg(F.max("n_upto").alias("m")).scalar())
+        sized = ranked.withColumn("_total", df.agg(F.count(value).alias("m")).scalar())
     picks = []
     for i, share in enumerate(shares):
         position = F.lit(float(share)) * (F.col("_total") - 1)
