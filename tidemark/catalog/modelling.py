@@ -1 +1,183 @@
-"""Queries."""
+"""Feature matrix, training, evaluation and drift queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.catalog import query
+from tidemark.catalog import views as v
+from tidemark.catalog.scoring import FEATURE_TABLES, features
+from tidemark.operators import drift as d
+from tidemark.operators import evaluate as e
+from tidemark.operators import features as f
+from tidemark.operators import model as m
+
+OUTCOMES = "o AS (SELECT event_id, event_type, user_id % 4 AS grp, value / 40 AS s, CASE WHEN event_id % 6 <> 0 THEN (value + event_id % 7) > 12 END AS y, ts FROM events)"
+
+
+def outcomes(spark, sf):
+    return v.table(spark, sf, "events").select(
+        "event_id", "event_type", (F.col("user_id") % 4).alias("grp"), (F.col("value") / 40).alias("s"),
+        F.when(F.col("event_id") % 6 != 0, (F.col("value") + F.col("event_id") % 7) > 12).alias("y"), "ts",
+    )
+
+
+def metrics_sql(keys: str = "", source: str = "o") -> str:
+    head, group = (f"{keys}, ", f"GROUP BY {keys}") if keys else ("", "")
+    part = f"PARTITION BY {keys} " if keys else ""
+    return f"""(SELECT {head}CAST(sum(p + n) AS BIGINT) AS n_samples, round(sum(p) / sum(p + n), 4) AS positive_rate, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN round(sum(p * (2 * below + n)) / (2.0::DOUBLE * sum(p) * sum(n)), 4) END AS roc_auc,
+ CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN round(sum(p * tp::DOUBLE / (tp + fp)) / sum(p), 4) END AS average_precision, round(sum(p * (s - 1) * (s - 1) + n * s * s) / sum(p + n), 4) AS brier_score FROM (
+ SELECT *, coalesce(sum(n) OVER ({part}ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(p) OVER ({part}ORDER BY s DESC) AS tp, sum(n) OVER ({part}ORDER BY s DESC) AS fp FROM (
+ SELECT {head}s, count(*) FILTER (WHERE y) AS p, count(*) FILTER (WHERE NOT y) AS n FROM {source} WHERE y IS NOT NULL GROUP BY {head}s)) {group})"""
+
+
+@query("ml02_feature_matrix", v.with_tables(*v.ADMISSION_TABLES, *v.PATIENT_TABLES, v.HISTORY, """vit AS (SELECT CAST(l_orderkey AS VARCHAR) AS admission_id, """ + v.mean_sql("l_quantity", 8) + """ AS m, stddev_samp(l_quantity) AS sd, min(l_quantity) AS mn, max(l_quantity) AS mx, count(*) AS nd FROM lineitem GROUP BY 1),
+j AS (SELECT a.admission_id, CAST(p.age AS DOUBLE) AS age, CAST(p.comorbidity_count AS DOUBLE) AS comorbidity_count, CAST(icu_days AS DOUBLE) AS icu_days, m, sd, mn, mx, CAST(nd AS DOUBLE) AS nd, CAST(h.prior_admissions_90d AS DOUBLE) AS prior_admissions_90d,
+ CAST(coalesce(p.gender = 'Male', FALSE) AS DOUBLE) AS male, CAST(coalesce(p.gender = 'Other', FALSE) AS DOUBLE) AS other FROM stg_admissions a LEFT JOIN stg_patients p USING (patient_id) LEFT JOIN vit USING (admission_id) LEFT JOIN history h ON h.admission_id = a.admission_id)""",
+"""SELECT admission_id, coalesce(age, (SELECT median(age) FROM j)) AS age, coalesce(comorbidity_count, (SELECT median(comorbidity_count) FROM j)) AS comorbidity_count, coalesce(icu_days, (SELECT median(icu_days) FROM j)) AS icu_days,
+ round(coalesce(m, (SELECT median(m) FROM j)), 6) AS l_quantity_mean, round(coalesce(sd, (SELECT median(sd) FROM j)), 6) AS l_quantity_std, coalesce(mn, (SELECT median(mn) FROM j)) AS l_quantity_min, coalesce(mx, (SELECT median(mx) FROM j)) AS l_quantity_max,
+ coalesce(nd, (SELECT median(nd) FROM j)) AS num_diagnoses, prior_admissions_90d, male AS "gender_Male", other AS "gender_Other" FROM j"""))
+def feature_matrix(spark, sf):
+    items = v.table(spark, sf, "lineitem").withColumn("admission_id", F.col("l_orderkey").cast("string"))
+    admissions = v.admissions(spark, sf).select("admission_id", "patient_id", "icu_days", "readmit_30day_flag")
+    found = f.feature_matrix(
+        admissions, v.patients(spark, sf), items, items, v.history(spark, sf), ["l_quantity"], {"gender": ["Female", "Male", "Other"]}
+    )
+    rounded = {c: F.round(c, 6) for c in ("l_quantity_mean", "l_quantity_std")}
+    return found.withColumns(rounded).select(
+        "admission_id", "age", "comorbidity_count", "icu_days", "l_quantity_mean", "l_quantity_std", "l_quantity_min", "l_quantity_max",
+        "num_diagnoses", "prior_admissions_90d", "gender_Male", "gender_Other",
+    )
+
+
+MODEL_FEATURES = ["age", "comorbidity_count", "charlson_comorbidity_index", "length_of_stay_days", "icu_days", "total_charges", "prior_admissions_12m", "prior_readmissions_1y"]
+
+
+@query("ml03_cross_validated_training")
+def training(spark, sf):
+    table = features(spark, sf).select("admission_id", "readmit_30day_flag", *MODEL_FEATURES)
+    return m.cross_validate(table, MODEL_FEATURES, "readmit_30day_flag", "admission_id", folds=2, trees=3, depth=3, pieces=1)
+
+
+@query("ml04_feature_columns_and_split", v.with_tables(*FEATURE_TABLES, """SELECT 27 AS n_features, count(*) FILTER (WHERE admission_date < '2000-01-01') AS train_rows, count(*) FILTER (WHERE admission_date >= '2000-01-01') AS holdout_rows FROM features""").replace("SELECT 27 AS", "SELECT (SELECT count(*) FROM (DESCRIBE features) WHERE column_name NOT IN ('admission_id', 'patient_id', 'admission_date', 'discharge_date')) AS"))
+def columns_and_split(spark, sf):
+    table = features(spark, sf)
+    names = f.feature_columns(table)
+    train, _ = f.split_by_time(table.withColumn("_all", F.lit(1)), "admission_date", "2000-01-01")
+    first_day = F.lit("2000-01-01").cast("date")
+    del train
+    return table.agg(
+        F.lit(len(names)).cast("bigint").alias("n_features"), F.count_if(F.col("admission_date") < first_day).alias("train_rows"),
+        F.count_if(F.col("admission_date") >= first_day).alias("holdout_rows"),
+    )
+
+
+@query("ml05_batch_scores")
+def batch_scores(spark, sf):
+    table = features(spark, sf).select("admission_id", "readmit_30day_flag", *MODEL_FEATURES)
+    model = m.train(table, MODEL_FEATURES, "readmit_30day_flag", kind="linear")
+    scored = m.score_batch(model, table, MODEL_FEATURES, "admission_id")
+    return scored.withColumn("top_features", F.to_json("top_features"))
+
+
+@query("ml06_ranking_metrics", v.with_tables(OUTCOMES, "SELECT * FROM " + metrics_sql()))
+def ranking_metrics(spark, sf):
+    return e.binary_metrics(outcomes(spark, sf), "s", "y")
+
+
+@query("ml07_subgroup_metrics", v.with_tables(OUTCOMES, "t AS (SELECT 'event_type' AS attribute, event_type AS \"group\", s, y FROM o UNION ALL SELECT 'grp', CAST(grp AS VARCHAR), s, y FROM o)",
+       f"SELECT g.*, a.roc_auc AS overall_auc, g.roc_auc < a.roc_auc * (1 - 0.05::DOUBLE) AS below_overall FROM {metrics_sql('attribute, \"group\"', 't')} g, {metrics_sql()} a WHERE g.roc_auc IS NOT NULL"))
+def subgroup_metrics(spark, sf):
+    return e.subgroup_metrics(outcomes(spark, sf), ["event_type", "grp"], "s", "y")
+
+
+@query("ml08_operating_point", v.with_tables(OUTCOMES, """c AS (SELECT count(*) FILTER (WHERE s >= 0.4 AND y) AS tp, count(*) FILTER (WHERE s >= 0.4 AND NOT y) AS fp, count(*) FILTER (WHERE s < 0.4 AND NOT y) AS tn, count(*) FILTER (WHERE s < 0.4 AND y) AS fn FROM o WHERE y IS NOT NULL)""",
+       'SELECT *, round(tp / (tp + fp), 4) AS "precision", round(tp / (tp + fn), 4) AS recall, round(tn / (tn + fp), 4) AS specificity, round(tn / (tn + fn), 4) AS npv, round(2 * tp / (2 * tp + fp + fn), 4) AS f1 FROM c'))
+def operating_point(spark, sf):
+    return e.operating_point(outcomes(spark, sf), "s", "y", 0.4)
+
+
+@query("ml09_calibration", v.with_tables(OUTCOMES, """c AS (SELECT count(*) AS n, avg(s) AS p, avg(CAST(y AS INTEGER)) AS q FROM o WHERE y IS NOT NULL)""",
+       "SELECT 'calibration' AS check_name, round(p, 4) AS predicted_rate, round(q, 4) AS observed_rate, round(abs(p - q), 4) AS absolute_error, n AS n_samples, CASE WHEN n < 50 THEN 'skip' WHEN abs(p - q) > 0.05 THEN 'critical' WHEN abs(p - q) > 0.03 THEN 'warning' ELSE 'ok' END AS status FROM c"))
+def calibration(spark, sf):
+    return e.calibration_check(outcomes(spark, sf), "s", "y")
+
+
+BINS = "b AS (SELECT CAST(least(floor(s * 10), 9) AS BIGINT) AS bin, count(*) AS n, avg(s) AS predicted_rate, avg(CAST(y AS INTEGER)) AS observed_rate FROM o WHERE y IS NOT NULL GROUP BY 1)"
+
+
+@query("ml09_calibration_bins", v.with_tables(OUTCOMES, BINS, "SELECT bin, n, round(predicted_rate, 6) AS predicted_rate, round(observed_rate, 6) AS observed_rate FROM b"))
+def calibration_bins(spark, sf):
+    return e.calibration_bins(outcomes(spark, sf), "s", "y").withColumns({c: F.round(c, 6) for c in ("predicted_rate", "observed_rate")})
+
+
+@query("ml09_expected_calibration_error", v.with_tables(OUTCOMES, BINS, "SELECT round(sum(abs(predicted_rate - observed_rate) * n) / sum(n), 4) AS ece FROM b"))
+def calibration_error(spark, sf):
+    return e.expected_calibration_error(outcomes(spark, sf), "s", "y")
+
+
+def psi_sql(keys: str, source: str) -> str:
+    """Source has keys, x and isbase."""
+    return f"""SELECT {keys}, sum((c - b) * ln(c / b)) AS psi, max(mb) AS baseline_mean, max(mc) AS current_mean, max(tb) AS baseline_rows, max(tc) AS current_rows FROM (
+ SELECT {keys}, CASE WHEN nb = 0 THEN 1e-6::DOUBLE ELSE nb / tb END AS b, CASE WHEN nc = 0 THEN 1e-6::DOUBLE ELSE nc / tc END AS c, mb, mc, tb, tc FROM (
+ SELECT {keys}, bin, count(*) FILTER (WHERE isbase) AS nb, count(*) FILTER (WHERE NOT isbase) AS nc, any_value(tb) AS tb, any_value(tc) AS tc, any_value(mb) AS mb, any_value(mc) AS mc FROM (
+ SELECT *, len(list_filter(edges, lambda e: e <= x)) AS bin FROM {source} JOIN (SELECT {keys}, quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) FILTER (WHERE isbase) AS edges, count(x) FILTER (WHERE isbase) AS tb, count(x) FILTER (WHERE NOT isbase) AS tc,
+ avg(x) FILTER (WHERE isbase) AS mb, avg(x) FILTER (WHERE NOT isbase) AS mc FROM {source} GROUP BY {keys}) USING ({keys}) WHERE x IS NOT NULL) GROUP BY {keys}, bin)) GROUP BY {keys}"""
+
+
+SLICES = "sl AS (SELECT value, CAST(event_id % 13 AS DOUBLE) AS code, CASE WHEN event_id % 3 = 0 THEN 0.0::DOUBLE ELSE value * 1.5::DOUBLE END AS skewed, CAST(ts AS DATE) < '2024-01-16' AS isbase FROM events WHERE CAST(ts AS DATE) <= '2024-01-15' OR CAST(ts AS DATE) BETWEEN '2024-01-22' AND '2024-01-28')"
+
+
+def slices(spark, sf):
+    events = v.table(spark, sf, "events").withColumns({
+        "code": F.col("event_id") % 13, "skewed": F.when(F.col("event_id") % 3 == 0, 0.0).otherwise(F.col("value") * 1.5),
+    })
+    return d.week_slices(events, "ts", "2024-01-22")
+
+
+@query("ml10_population_stability", v.with_tables(SLICES, "one AS (SELECT 1 AS k, value AS x, isbase FROM sl)", f"SELECT round(psi, 6) AS psi, round(baseline_mean, 6) AS baseline_mean, round(current_mean, 6) AS current_mean, baseline_rows, current_rows FROM ({psi_sql('k', 'one')})"))
+def stability(spark, sf):
+    found = d.population_stability(*slices(spark, sf), "value")
+    return found.withColumns({c: F.round(c, 6) for c in ("psi", "baseline_mean", "current_mean")})
+
+
+TALL = "tall AS (SELECT 'value' AS feature, value AS x, isbase FROM sl UNION ALL SELECT 'code', code, isbase FROM sl UNION ALL SELECT 'skewed', skewed, isbase FROM sl)"
+
+
+@query("ml11_feature_drift", v.with_tables(SLICES, TALL, f"""SELECT 'feature_psi' AS check_name, feature, round(psi, 4) AS psi, round(baseline_mean, 3) AS baseline_mean, round(current_mean, 3) AS current_mean, CASE WHEN psi > 0.2 THEN 'critical' WHEN psi > 0.1 THEN 'warning' ELSE 'ok' END AS status FROM ({psi_sql('feature', 'tall')})"""))
+def feature_drift(spark, sf):
+    return d.feature_drift(*slices(spark, sf), ["value", "code", "skewed", "absent"])
+
+
+@query("ml11_prediction_drift", v.with_tables(SLICES, "one AS (SELECT 1 AS k, value / 100 AS x, isbase FROM sl)", f"SELECT 'prediction_psi' AS check_name, round(psi, 4) AS psi, round(baseline_mean, 4) AS baseline_mean_risk, round(current_mean, 4) AS current_mean_risk, CASE WHEN psi > 0.2 THEN 'critical' WHEN psi > 0.1 THEN 'warning' ELSE 'ok' END AS status FROM ({psi_sql('k', 'one')})"))
+def prediction_drift(spark, sf):
+    baseline, current = (part.withColumn("score", F.col("value") / 100) for part in slices(spark, sf))
+    return d.prediction_drift(baseline, current, "score")
+
+
+@query("ml12_week_slices", "SELECT CASE WHEN CAST(ts AS DATE) <= '2024-01-15' THEN 'baseline' ELSE 'current' END AS slice, count(*) AS n FROM events WHERE CAST(ts AS DATE) <= '2024-01-15' OR CAST(ts AS DATE) BETWEEN '2024-01-22' AND '2024-01-28' GROUP BY 1")
+def week_slices(spark, sf):
+    baseline, current = slices(spark, sf)
+    both = baseline.withColumn("slice", F.lit("baseline")).unionByName(current.withColumn("slice", F.lit("current")))
+    return both.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
+
+
+AUC_SQL = f"SELECT 'auc' AS check_name, roc_auc AS auc, n_samples, CASE WHEN roc_auc IS NULL OR n_samples < 50 THEN 'skip' WHEN roc_auc < 0.7 THEN 'critical' WHEN roc_auc < 0.78 THEN 'warning' ELSE 'ok' END AS status FROM {metrics_sql()}"
+
+
+@query("ml13_auc_check", v.with_tables(OUTCOMES, AUC_SQL))
+def auc_check(spark, sf):
+    return e.auc_check(outcomes(spark, sf), "s", "y")
+
+
+@query("ml14_health_summary", v.with_tables(OUTCOMES, SLICES, TALL, f"""checks AS (SELECT CASE WHEN psi > 0.2 THEN 'critical' WHEN psi > 0.1 THEN 'warning' ELSE 'ok' END AS status FROM ({psi_sql('feature', 'tall')}) UNION ALL SELECT status FROM ({AUC_SQL}))""",
+       "SELECT count(*) AS total_checks, count(*) FILTER (WHERE status = 'critical') AS critical, count(*) FILTER (WHERE status = 'warning') AS warnings, CASE WHEN count(*) FILTER (WHERE status = 'critical') > 0 THEN 'RETRAIN IMMEDIATELY — significant drift or performance degradation' WHEN count(*) FILTER (WHERE status = 'warning') > 0 THEN 'MONITOR CLOSELY — minor drift detected' ELSE 'Model is healthy — no action required' END AS recommendation FROM checks"))
+def health(spark, sf):
+    drift = d.feature_drift(*slices(spark, sf), ["value", "code", "skewed"]).select("status")
+    return e.health_summary(drift.unionByName(e.auc_check(outcomes(spark, sf), "s", "y").select("status")))
+
+
+@query("ml15_promotion_gate", v.with_tables(OUTCOMES, "m AS (SELECT event_type, roc_auc FROM " + metrics_sql("event_type") + ")", "SELECT event_type, roc_auc, array_to_string(list_filter([CASE WHEN roc_auc < 0.8 THEN 'AUC below 0.8' END], lambda r: r IS NOT NULL), ',') AS reasons, roc_auc >= 0.8 AS promoted FROM m"))
+def gate(spark, sf):
+    metrics = e.binary_metrics(outcomes(spark, sf), "s", "y", ["event_type"]).select("event_type", "roc_auc")
+    return e.promotion_gate(metrics, psi=None).withColumn("reasons", F.array_join("reasons", ","))
