@@ -59,17 +59,13 @@ def training(spark, sf):
     return m.cross_validate(table, MODEL_FEATURES, "readmit_30day_flag", "admission_id", folds=2, trees=3, depth=3, pieces=1)
 
 
-@query("ml04_feature_columns_and_split", v.with_tables(*FEATURE_TABLES, """SELECT 27 AS n_features, count(*) FILTER (WHERE admission_date < '2000-01-01') AS train_rows, count(*) FILTER (WHERE admission_date >= '2000-01-01') AS holdout_rows FROM features""").replace("SELECT 27 AS", "SELECT (SELECT count(*) FROM (DESCRIBE features) WHERE column_name NOT IN ('admission_id', 'patient_id', 'admission_date', 'discharge_date')) AS"))
+@query("ml04_feature_columns_and_split", v.with_tables(*FEATURE_TABLES, """SELECT CASE WHEN admission_date < '2000-01-01' THEN 'train' ELSE 'holdout' END AS part, count(*) AS n,
+ (SELECT count(*) FROM (DESCRIBE features) WHERE column_name NOT IN ('admission_id', 'patient_id', 'admission_date', 'discharge_date')) AS n_features FROM features GROUP BY 1"""))
 def columns_and_split(spark, sf):
     table = features(spark, sf)
-    names = f.feature_columns(table)
-    train, _ = f.split_by_time(table.withColumn("_all", F.lit(1)), "admission_date", "2000-01-01")
-    first_day = F.lit("2000-01-01").cast("date")
-    del train
-    return table.agg(
-        F.lit(len(names)).cast("bigint").alias("n_features"), F.count_if(F.col("admission_date") < first_day).alias("train_rows"),
-        F.count_if(F.col("admission_date") >= first_day).alias("holdout_rows"),
-    )
+    train, holdout = f.split_by_time(table, "admission_date", "2000-01-01")
+    both = train.withColumn("part", F.lit("train")).unionByName(holdout.withColumn("part", F.lit("holdout")))
+    return both.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("n_features", F.lit(len(f.feature_columns(table))))
 
 
 @query("ml05_batch_scores")

@@ -1 +1,194 @@
-"""Queries."""
+"""Basket, rule and recommendation queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.catalog import query
+from tidemark.catalog import views as v
+from tidemark.catalog.scoring import FEATURE_TABLES, features
+from tidemark.operators import baskets as b
+from tidemark.operators import recommend as r
+from tidemark.sources.action_library import ACTION_LIBRARY
+
+BASKET_SQL = "b AS (SELECT DISTINCT l_orderkey AS k, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT count(DISTINCT k) AS n FROM b)"
+TAGGED_SQL = """b AS (SELECT DISTINCT k, i FROM (SELECT l_orderkey AS k, 'DX:' || p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey
+ UNION ALL SELECT l_orderkey, 'CPT:' || l_returnflag || l_linestatus FROM lineitem JOIN orders ON o_orderkey = l_orderkey UNION ALL SELECT o_orderkey, 'NO_READMIT' FROM orders WHERE o_orderstatus <> 'F')), n AS (SELECT count(DISTINCT k) AS n FROM b)"""
+
+
+def itemset_sql(min_support: float, max_items: int) -> str:
+    parts = []
+    for size in range(1, max_items + 1):
+        names = [f"b{j}" for j in range(size)]
+        joins = "".join(f" JOIN b {names[j]} ON {names[j]}.k = b0.k AND {names[j]}.i > {names[j - 1]}.i" for j in range(1, size))
+        parts.append(
+            f"SELECT [{', '.join(f'{x}.i' for x in names)}] AS items, count(*) AS freq FROM b b0{joins} GROUP BY ALL HAVING count(*) >= ceil({min_support} * (SELECT n FROM n))"
+        )
+    return "sets AS (" + " UNION ALL ".join(parts) + ")"
+
+
+def rules_sql(min_confidence: float, min_lift: float) -> str:
+    return f"""rules AS (SELECT antecedents, consequents, support, confidence, lift, conviction, evidence_count FROM (
+ SELECT antecedents, consequents, s.freq / n AS support, s.freq / a.freq AS confidence, (s.freq / a.freq) / (c.freq / n) AS lift, CASE WHEN s.freq = a.freq THEN 'Infinity'::DOUBLE ELSE (1 - c.freq / n) / (1 - s.freq / a.freq) END AS conviction, s.freq AS evidence_count
+ FROM (SELECT items, freq, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS antecedents, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 0) AS consequents FROM (SELECT items, freq, unnest(range(1, (1 << len(items)) - 1)) AS m FROM sets WHERE len(items) > 1)) s
+ JOIN sets a ON a.items = antecedents JOIN sets c ON c.items = consequents, n) WHERE confidence >= {min_confidence} AND lift >= {min_lift})"""
+
+
+def orders_with_brands(spark, sf):
+    part = v.table(spark, sf, "part").select("p_partkey", "p_brand")
+    return v.table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+
+
+def brand_baskets(spark, sf):
+    return b.baskets(orders_with_brands(spark, sf), "l_orderkey", "p_brand")
+
+
+def tagged(spark, sf):
+    outcomes = v.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("admission_id"), (F.col("o_orderstatus") == "F").alias("readmit_30day_flag")
+    )
+    items = orders_with_brands(spark, sf).withColumnRenamed("l_orderkey", "admission_id")
+    return b.tagged_baskets(
+        outcomes, items.select("admission_id", F.col("p_brand").alias("icd10_code")),
+        items.select("admission_id", F.concat("l_returnflag", "l_linestatus").alias("cpt_code")),
+    )
+
+
+def shown(c: str):
+    return F.array_join(c, "|").alias(c)
+
+
+@query("bm01_baskets", v.with_tables(BASKET_SQL, "SELECT k AS l_orderkey, string_agg(i, '|' ORDER BY i) AS items FROM b GROUP BY 1"))
+def baskets(spark, sf):
+    return brand_baskets(spark, sf).select("l_orderkey", shown("items"))
+
+
+@query("bm02_tagged_baskets", v.with_tables(TAGGED_SQL, "SELECT k AS admission_id, string_agg(i, '|' ORDER BY i) AS items FROM b GROUP BY 1"))
+def tagged_baskets(spark, sf):
+    return tagged(spark, sf).select("admission_id", shown("items"))
+
+
+@query("bm03_frequent_itemsets", v.with_tables(BASKET_SQL, itemset_sql(0.002, 4), "SELECT array_to_string(items, '|') AS items, freq, n AS baskets, freq / n AS support FROM sets, n"))
+def itemsets(spark, sf):
+    return b.frequent_itemsets(brand_baskets(spark, sf), 0.002, 4).select(shown("items"), "freq", "baskets", "support")
+
+
+def rules(spark, sf):
+    return b.association_rules(b.frequent_itemsets(brand_baskets(spark, sf), 0.002, 4), 0.05, 1.0)
+
+
+@query("bm04_association_rules", v.with_tables(BASKET_SQL, itemset_sql(0.002, 4), rules_sql(0.05, 1.0), """SELECT array_to_string(antecedents, '|') AS antecedents, CASE WHEN len(consequents) = 1 THEN consequents[1] ELSE '[''' || array_to_string(consequents, ''', ''') || ''']' END AS consequent, support, confidence, lift, conviction, evidence_count FROM rules"""))
+def association_rules(spark, sf):
+    return rules(spark, sf).select(shown("antecedents"), "consequent", "support", "confidence", "lift", "conviction", "evidence_count")
+
+
+OUTCOME_SQL = (TAGGED_SQL, itemset_sql(0.005, 3), rules_sql(0.3, 0.0), "outcome AS (SELECT * FROM rules WHERE list_contains(consequents, 'NO_READMIT'))")
+
+
+def outcome_rules(spark, sf):
+    return b.outcome_rules(b.frequent_itemsets(tagged(spark, sf), 0.005, 3), 0.3)
+
+
+@query("bm05_outcome_rules", v.with_tables(*OUTCOME_SQL, "SELECT array_to_string(antecedents, '|') AS antecedents, 'NO_READMIT' AS consequent, support, confidence, lift, conviction, evidence_count FROM outcome"))
+def effectiveness(spark, sf):
+    return outcome_rules(spark, sf).select(shown("antecedents"), "consequent", "support", "confidence", "lift", "conviction", "evidence_count")
+
+
+def profiles(spark, sf):
+    found = orders_with_brands(spark, sf).select("l_orderkey", F.concat(F.lit("DX:"), "p_brand").alias("item"))
+    return b.baskets(found, "l_orderkey", "item")
+
+
+@query("bm06_rule_matches", v.with_tables(*OUTCOME_SQL, """r AS (SELECT row_number() OVER () AS id, list_filter(antecedents, lambda x: x <> 'NO_READMIT') AS needed, confidence, lift, evidence_count FROM outcome), e AS (SELECT k, list(i) AS items FROM b WHERE i LIKE 'DX:%' GROUP BY 1),
+x AS (SELECT DISTINCT k, id FROM b JOIN (SELECT id, unnest(needed) AS item FROM r) ON item = i WHERE i LIKE 'DX:%'), m AS (SELECT k, len(list_intersect(needed, items)) / len(needed) AS ratio, needed, confidence, lift, evidence_count FROM x JOIN r USING (id) JOIN e USING (k))""",
+"""SELECT k AS l_orderkey, action, round(max(lift * confidence * ratio * ln(1 + evidence_count)), 4) AS priority_score FROM (SELECT *, CASE WHEN len(list_filter(needed, lambda x: x LIKE 'CPT:%')) > 0 THEN 'Apply intervention bundle: ' || array_to_string(list_sort(list_filter(needed, lambda x: x LIKE 'CPT:%')), ', ') ELSE 'Continue current care protocols' END AS action FROM m WHERE ratio >= 0.5) GROUP BY 1, 2"""))
+def rule_matches(spark, sf):
+    found = r.match_rules(profiles(spark, sf), outcome_rules(spark, sf), "l_orderkey", n=None)
+    return found.select("l_orderkey", "action", F.round("priority_score", 4).alias("priority_score"))
+
+
+@query("bm06_top_recommendations_per_order")
+def top_recommendations(spark, sf):
+    found = r.match_rules(profiles(spark, sf), outcome_rules(spark, sf), "l_orderkey", n=5)
+    return found.select("l_orderkey", "rank", "action", "rationale", F.array_join("antecedents_matched", "|").alias("antecedents_matched"), "priority_score")
+
+
+@query("bm07_top_rules_by_lift", v.with_tables(BASKET_SQL, itemset_sql(0.002, 4), rules_sql(0.05, 1.0), "SELECT array_to_string(antecedents, '|') AS antecedents, lift, evidence_count FROM rules ORDER BY rules.lift DESC, evidence_count DESC, rules.antecedents, consequents LIMIT 25"))
+def top_rules(spark, sf):
+    return b.top_rules(rules(spark, sf), 25, b.CO_OCCURRENCE).select(shown("antecedents"), "lift", "evidence_count")
+
+
+CODES_SQL = "coded AS (SELECT features.*, insurance_category, list_filter([CASE WHEN CAST(admission_id AS BIGINT) % 5 = 0 THEN 'I21.9' END, CASE WHEN CAST(admission_id AS BIGINT) % 7 = 0 THEN 'A41.51' END], lambda x: x IS NOT NULL) AS codes FROM features JOIN stg_patients USING (patient_id))"
+TRUE_FALSE = {True: "TRUE", False: "FALSE"}
+
+
+def predicate_sql(rule) -> str:
+    parts = []
+    for field, value in rule["triggers"].items():
+        if field.endswith("__gte"):
+            parts.append(f"coalesce({field[:-5]}, 0) >= {value}")
+        elif field == "readmit_30day_flag__history_gte":
+            parts.append("FALSE")
+        elif isinstance(value, bool):
+            parts.append(f"coalesce({field} = 1, FALSE) = {TRUE_FALSE[value]}")
+        else:
+            parts.append(f"coalesce({field} = '{value}', FALSE)")
+    either = []
+    if parts:
+        either.append("(" + " AND ".join(parts) + ")")
+    if rule["icd10_trigger"]:
+        either.append("list_has_any(codes, [" + ", ".join(f"'{c}'" for c in rule["icd10_trigger"]) + "])")
+    return " OR ".join(either) or "TRUE"
+
+
+LIBRARY_SQL = "lib(key, position, category, score, pct, grade, bonus) AS (VALUES " + ", ".join(
+    f"('{k}', {i}, '{x['category']}', {x['reduces_readmission_by_pct'] * r.GRADE_WEIGHTS[x['evidence_grade']]}, {x['reduces_readmission_by_pct']}, {r.GRADE_WEIGHTS[x['evidence_grade']]}, {3 - r.TIME_ORDER[x['time_sensitivity']]})"
+    for i, (k, x) in enumerate(ACTION_LIBRARY.items())
+) + """), hits AS (SELECT admission_id, unnest(list_filter([""" + ", ".join(f"CASE WHEN {predicate_sql(x)} THEN '{k}' END" for k, x in ACTION_LIBRARY.items()) + """], lambda x: x IS NOT NULL)) AS key FROM coded),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY admission_id ORDER BY score DESC, position) AS r FROM hits JOIN lib USING (key))"""
+
+
+def coded_features(spark, sf):
+    number = F.col("admission_id").cast("bigint")
+    payer = v.patients(spark, sf).select("patient_id", "insurance_category")
+    codes = F.array(F.when(number % 5 == 0, "I21.9"), F.when(number % 7 == 0, "A41.51"))
+    return features(spark, sf).join(payer, "patient_id").withColumn("codes", F.filter(codes, lambda x: x.isNotNull()))
+
+
+@query("bm08_library_matches", v.with_tables(*FEATURE_TABLES, CODES_SQL, LIBRARY_SQL, "SELECT admission_id, key FROM hits"))
+def library_matches(spark, sf):
+    return r.library_candidates(coded_features(spark, sf), ACTION_LIBRARY, "admission_id", "codes", n=len(ACTION_LIBRARY)).select("admission_id", "key")
+
+
+@query("bm09_library_ranking", v.with_tables(*FEATURE_TABLES, CODES_SQL, LIBRARY_SQL, "SELECT admission_id, key, CAST(score AS DOUBLE) AS score FROM ranked WHERE r <= 5"))
+def library_ranking(spark, sf):
+    return r.library_candidates(coded_features(spark, sf), ACTION_LIBRARY, "admission_id", "codes", n=5).select("admission_id", "key", "score")
+
+
+@query("bm09_library_rationales")
+def library_rationales(spark, sf):
+    return r.library_candidates(coded_features(spark, sf), ACTION_LIBRARY, "admission_id", "codes").select("admission_id", "key", "action", "rationale")
+
+
+@query("bm10_override_by_key", "SELECT c_custkey, CASE WHEN c_nationkey < 10 THEN 'custom' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def override(spark, sf):
+    default = v.table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    custom = default.filter("c_nationkey < 10").withColumn("c_mktsegment", F.lit("custom"))
+    return r.override_by_key(default, custom, "c_custkey").drop("c_nationkey")
+
+
+@query("bm11_ranked_plan", v.with_tables(*FEATURE_TABLES, CODES_SQL, LIBRARY_SQL, """c AS (SELECT *, grade * pct + bonus * 2 + score * 5 AS composite FROM ranked WHERE r <= 20),
+k AS (SELECT *, row_number() OVER (PARTITION BY admission_id, category ORDER BY composite DESC, score DESC, position) AS rc FROM c), t AS (SELECT *, row_number() OVER (PARTITION BY admission_id ORDER BY composite DESC, score DESC, position) AS priority FROM k WHERE rc <= 3)""",
+"SELECT admission_id, key, CAST(composite AS DOUBLE) AS composite_score, priority FROM t WHERE priority <= 10"))
+def plan(spark, sf):
+    found = r.library_candidates(coded_features(spark, sf), ACTION_LIBRARY, "admission_id", "codes")
+    return r.ranked_plan(found, "admission_id").select("admission_id", "key", "composite_score", "priority")
+
+
+@query("bm12_plans_for_all_admissions")
+def plans(spark, sf):
+    library = r.library_candidates(coded_features(spark, sf), ACTION_LIBRARY, "admission_id", "codes")
+    orders = profiles(spark, sf).withColumn("admission_id", F.col("l_orderkey").cast("string"))
+    mined = r.mined_candidates(r.match_rules(orders, outcome_rules(spark, sf), "admission_id"), "admission_id")
+    nested = r.nested_plans(r.ranked_plan(library.unionByName(mined), "admission_id"), "admission_id")
+    return nested.withColumn("recommendations", F.to_json("recommendations"))
