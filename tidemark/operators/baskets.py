@@ -6,6 +6,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import shared_folder
+
 # Mining defaults, tags and labels.
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.01, 0.30, 1.1
 OUTCOME_MIN_SUPPORT = 0.005
@@ -40,12 +42,18 @@ def tagged_baskets(
 
 
 def frequent_itemsets(sets: DataFrame, min_support: float = MIN_SUPPORT, max_items: int = MAX_ITEMS) -> DataFrame:
-    """Sorted itemsets of up to ``max_items`` items with their basket count, total and support, by parallel FP-growth."""
+    """Sorted itemsets of up to ``max_items`` items with their basket count, total and support, by parallel FP-growth.
+
+    The model's itemsets are a lazy result that would be mined again on each use, and rule building uses them three
+    times. They are therefore written once to the shared folder; read back, their size is known to the planner too.
+    """
+    spark = sets.sparkSession
     found = FPGrowth(itemsCol="items", minSupport=min_support).fit(sets).freqItemsets
     total = sets.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return found.filter(F.size("items") <= max_items).select(
-        F.array_sort("items").alias("items"), "freq", total.alias("baskets")
-    ).withColumn("support", F.col("freq") / F.col("baskets"))
+    kept = found.filter(F.size("items") <= max_items).select(F.array_sort("items").alias("items"), "freq", total.alias("baskets"))
+    path = shared_folder(spark, "itemsets")
+    kept.write.parquet(path)
+    return spark.read.parquet(path).withColumn("support", F.col("freq") / F.col("baskets"))
 
 
 def association_rules(

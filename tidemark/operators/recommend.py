@@ -38,40 +38,46 @@ def match_rules(
 ) -> DataFrame:
     """Outcome rules that share at least half of their antecedent with an entity's items, best action first.
 
-    Matching runs once per distinct item set: entities with the same items share one result, which is joined back.
+    Of rules that need the same items only the strongest can be chosen, so the others go first. Matching runs once per
+    distinct item set (entities with the same items share one result) and counts overlaps on two short keys; texts and
+    item lists are added only to the rows that are kept.
     """
-    wanted = rules.filter(F.col("rule_type") == EFFECTIVENESS).withColumn(
-        "_needed", F.array_except("antecedents", F.array(F.lit(SUCCESS_ITEM)))
-    )
-    measures = ["rule_id", "_needed", "confidence", "lift", "evidence_count", "rule_type"]
-    by_item = wanted.select(*measures, F.explode("_needed").alias("_item"))
-    profile = F.array_sort(F.array_distinct(items))
-    keyed = entities.select(key, profile.alias("_profile"))
-    profiles = keyed.select("_profile").distinct()
-    hits = profiles.select("_profile", F.explode("_profile").alias("_item")).join(by_item, "_item")
-    matched = hits.groupBy("_profile", *measures).agg(F.array_sort(F.collect_list("_item")).alias("antecedents_matched"))
-    ratio = F.size("antecedents_matched") / F.greatest(F.size("_needed"), F.lit(1))
-    priority = F.col("lift") * F.col("confidence") * F.col("_ratio") * F.log1p("evidence_count")
+    needed = F.array_except("antecedents", F.array(F.lit(SUCCESS_ITEM)))
+    weight = F.col("lift") * F.col("confidence") * F.log1p("evidence_count")
     bundle = F.array_sort(F.filter("_needed", lambda x: x.startswith("CPT:")))
     action = F.when(F.size(bundle) > 0, F.concat(F.lit("Apply intervention bundle: "), F.array_join(bundle, ", "))).otherwise(
         "Continue current care protocols"
     )
+    fields = ["rule_id", "confidence", "lift", "evidence_count", "rule_type"]
+    wanted = rules.filter(F.col("rule_type") == EFFECTIVENESS).withColumns({"_needed": needed, "_weight": weight})
+    best_of_same = F.max_by(F.struct(*fields, "_weight"), F.struct("_weight", -F.col("rule_id")))
+    wanted = wanted.groupBy("_needed").agg(best_of_same.alias("_r")).select("_needed", "_r.*").withColumn("action", action)
+
+    profile = F.array_sort(F.array_distinct(items))
+    keyed = entities.select(key, profile.alias("_profile")).withColumn("_set", F.md5(F.to_json("_profile").cast("binary")))
+    sets = keyed.select("_set", "_profile").dropDuplicates(["_set"])
+    by_item = wanted.select("rule_id", F.explode("_needed").alias("_item"))
+    hits = sets.select("_set", F.explode("_profile").alias("_item")).join(by_item, "_item")
+    overlaps = hits.groupBy("_set", "rule_id").agg(F.count(F.lit(1)).alias("_hits"))
+    ratio = F.col("_hits") / F.size("_needed")
+    scored = overlaps.join(wanted, "rule_id").filter(ratio >= least_overlap).withColumn("priority_score", F.col("_weight") * ratio)
+    best = [F.desc("priority_score"), F.asc("rule_id")]
+    unique = top_per_group(scored, ["_set", "action"], best, 1).drop("position")
+    if n is not None:
+        unique = top_per_group(unique, ["_set"], best, n).withColumnRenamed("position", "rank")
+    matched = F.array_sort(F.array_intersect("_needed", "_profile"))
     shown = F.array_join(F.transform("antecedents_matched", lambda x: F.concat(F.lit("'"), F.replace(x, F.lit("DX:"), F.lit("")), F.lit("'"))), ", ")
     rationale = F.concat(
         F.lit("In "), F.col("evidence_count").cast("string"), F.lit(" similar patients with ["), shown,
         F.lit("], this care path reduced readmission (confidence="), F.format_string("%.0f", F.bround(F.col("confidence") * 100)),
         F.lit("%, lift="), F.format_string("%.2f", F.col("lift")), F.lit("x vs baseline)."),
     )
-    scored = matched.withColumn("_ratio", ratio).filter(F.col("_ratio") >= least_overlap).withColumns(
-        {"priority_score": priority, "action": action, "rationale": rationale}
-    )
-    best = [F.desc("priority_score"), F.asc("rule_id")]
-    unique = top_per_group(scored, ["_profile", "action"], best, 1).drop("position")
-    if n is not None:
-        unique = top_per_group(unique, ["_profile"], best, n).withColumnRenamed("position", "rank")
     four = lambda c: F.round(F.col(c), 4).alias(c)
-    fields = ["rule_id", "action", "rationale", four("confidence"), four("lift"), "evidence_count", "rule_type", "antecedents_matched", "priority_score"]
-    return keyed.join(unique, "_profile").select(key, *fields, *(["rank"] if n is not None else []))
+    found = keyed.join(unique, "_set").withColumn("antecedents_matched", matched).withColumn("rationale", rationale)
+    return found.select(
+        key, "rule_id", "action", "rationale", four("confidence"), four("lift"), "evidence_count", "rule_type", "antecedents_matched",
+        "priority_score", *(["rank"] if n is not None else []),
+    )
 
 
 def mined_candidates(matches: DataFrame, key: str) -> DataFrame:
