@@ -14,6 +14,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from tidemark.functions.cleaning import col
@@ -261,7 +262,7 @@ def null_rate_change(
     return one.select(F.inline(F.array(*rows)))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def chi_square_tail(statistic: pd.Series, freedom: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution for whole degrees of freedom (one row per tested column)."""
 
