@@ -1,7 +1,9 @@
 import hashlib
 import hmac
 import math
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,14 @@ def test_text_columns(column, fn, values, expected):
     assert column(fn, values) == expected
 
 
+def test_linear_email_form_finds_the_same(column):
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("ab1.-_%@ é"), 40)) for _ in range(400)] + ["x@b.co-y@c.org", "a" * 5000 + "@b.co", "a@b.comx@c.org"]
+    plain = lambda t: re.sub(m.SCRUB_PATTERNS[3][0], "[EMAIL-REDACTED]", t)
+    linear = column(lambda x: F.regexp_replace(x, "(?U)" + next(iter(m._LINEAR_FORMS.values())), "[EMAIL-REDACTED]"), texts)
+    assert linear == [plain(t) for t in texts]
+
+
 def test_age_groups(column):
     ages = [0, 17, 18, 30, 31, 60, 75, 76, None, -1]
     assert column(c.age_group, ages, "int") == ["18-30"] * 4 + ["31-45", "46-60", "61-75", "76+", "76+", "76+"]

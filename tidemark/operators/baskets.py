@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,11 +49,15 @@ def frequent_itemsets(sets: DataFrame, min_support: float = MIN_SUPPORT, max_ite
     times. They are therefore written once to the shared folder; read back, their size is known to the planner too.
     """
     spark = sets.sparkSession
-    found = FPGrowth(itemsCol="items", minSupport=min_support).fit(sets).freqItemsets
-    total = sets.agg(F.count(F.lit(1)).alias("n")).scalar()
-    kept = found.filter(F.size("items") <= max_items).select(F.array_sort("items").alias("items"), "freq", total.alias("baskets"))
-    path = shared_folder(spark, "itemsets")
-    kept.write.parquet(path)
+    held = sets.select("items").persist(StorageLevel.MEMORY_AND_DISK)  # mining reads the baskets three times
+    try:
+        found = FPGrowth(itemsCol="items", minSupport=min_support).fit(held).freqItemsets
+        total = held.agg(F.count(F.lit(1)).alias("n")).scalar()
+        kept = found.filter(F.size("items") <= max_items).select(F.array_sort("items").alias("items"), "freq", total.alias("baskets"))
+        path = shared_folder(spark, "itemsets")
+        kept.write.parquet(path)
+    finally:
+        held.unpersist()
     return spark.read.parquet(path).withColumn("support", F.col("freq") / F.col("baskets"))
 
 

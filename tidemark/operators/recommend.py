@@ -54,17 +54,21 @@ def match_rules(
     wanted = wanted.groupBy("_needed").agg(best_of_same.alias("_r")).select("_needed", "_r.*").withColumn("action", action)
 
     profile = F.array_sort(F.array_distinct(items))
-    keyed = entities.select(key, profile.alias("_profile")).withColumn("_set", F.md5(F.to_json("_profile").cast("binary")))
-    sets = keyed.select("_set", "_profile").dropDuplicates(["_set"])
-    by_item = wanted.select("rule_id", F.explode("_needed").alias("_item"))
-    hits = sets.select("_set", F.explode("_profile").alias("_item")).join(by_item, "_item")
-    overlaps = hits.groupBy("_set", "rule_id").agg(F.count(F.lit(1)).alias("_hits"))
-    ratio = F.col("_hits") / F.size("_needed")
-    scored = overlaps.join(wanted, "rule_id").filter(ratio >= least_overlap).withColumn("priority_score", F.col("_weight") * ratio)
+    keyed = entities.select(key, profile.alias("_profile")).withColumns(
+        {"_set": F.xxhash64("_profile"), "_set2": F.xxhash64(F.lit(1), "_profile")}  # 128 bits name an item set
+    )
+    sets = keyed.select("_set", "_set2", "_profile").dropDuplicates(["_set", "_set2"])
+    numbers = ["rule_id", F.size("_needed").alias("_size"), "_weight", F.xxhash64("action").alias("_action")]
+    by_item = wanted.select(*numbers, F.explode("_needed").alias("_item"))
+    hits = sets.select("_set", "_set2", F.explode("_profile").alias("_item")).join(by_item, "_item")
+    overlaps = hits.groupBy("_set", "_set2", "rule_id", "_size", "_weight", "_action").agg(F.count(F.lit(1)).alias("_hits"))
+    ratio = F.col("_hits") / F.col("_size")
+    scored = overlaps.filter(ratio >= least_overlap).withColumn("priority_score", F.col("_weight") * ratio)
     best = [F.desc("priority_score"), F.asc("rule_id")]
-    unique = top_per_group(scored, ["_set", "action"], best, 1).drop("position")
+    unique = top_per_group(scored, ["_set", "_set2", "_action"], best, 1).drop("position")
     if n is not None:
-        unique = top_per_group(unique, ["_set"], best, n).withColumnRenamed("position", "rank")
+        unique = top_per_group(unique, ["_set", "_set2"], best, n).withColumnRenamed("position", "rank")
+    unique = unique.drop("_size", "_weight", "_action", "_hits").join(wanted.drop("_weight"), "rule_id")
     matched = F.array_sort(F.array_intersect("_needed", "_profile"))
     shown = F.array_join(F.transform("antecedents_matched", lambda x: F.concat(F.lit("'"), F.replace(x, F.lit("DX:"), F.lit("")), F.lit("'"))), ", ")
     rationale = F.concat(
@@ -73,7 +77,7 @@ def match_rules(
         F.lit("%, lift="), F.format_string("%.2f", F.col("lift")), F.lit("x vs baseline)."),
     )
     four = lambda c: F.round(F.col(c), 4).alias(c)
-    found = keyed.join(unique, "_set").withColumn("antecedents_matched", matched).withColumn("rationale", rationale)
+    found = keyed.join(unique, ["_set", "_set2"]).withColumn("antecedents_matched", matched).withColumn("rationale", rationale)
     return found.select(
         key, "rule_id", "action", "rationale", four("confidence"), four("lift"), "evidence_count", "rule_type", "antecedents_matched",
         "priority_score", *(["rank"] if n is not None else []),
