@@ -8,6 +8,7 @@ from tidemark.catalog import query
 from tidemark.catalog import views as v
 from tidemark.functions import cleaning as c
 from tidemark.operators import features as f
+from tidemark.plans.staging import stage_admissions, stage_patients
 
 RAW_A, RAW_P = v.with_tables(v.RAW_ADMISSIONS, ""), v.with_tables(v.RAW_PATIENTS, "")
 STG_A = v.with_tables(*v.ADMISSION_TABLES, "")
@@ -61,7 +62,7 @@ def date_key(spark, sf):
  CAST(admit_date_key AS BIGINT) AS admit_date_key, CAST(discharge_date_key AS BIGINT) AS discharge_date_key, strftime(admission_date, '%Y-%m-%d') AS admission_date,
  strftime(discharge_date, '%Y-%m-%d') AS discharge_date, strftime(loaded_at, '%Y-%m-%d %H:%M:%S.%f') AS loaded_at) FROM stg_admissions""")
 def staged_admissions(spark, sf):
-    return v.admissions(spark, sf)
+    return stage_admissions(v.raw_admissions(spark, sf))
 
 
 @query("pr08_age_group", v.with_tables(*v.PATIENT_TABLES, """SELECT patient_id, age_group,
@@ -197,4 +198,4 @@ def feature_labels(spark, sf):
 @query("staged_patients", v.with_tables(*v.PATIENT_TABLES, """SELECT * REPLACE (CAST(age AS BIGINT) AS age, CAST(age_at_snapshot AS BIGINT) AS age_at_snapshot, CAST(birth_year AS BIGINT) AS birth_year,
  CAST(comorbidity_count AS BIGINT) AS comorbidity_count, strftime(loaded_at, '%Y-%m-%d %H:%M:%S.%f') AS loaded_at) FROM stg_patients"""))
 def staged_patients(spark, sf):
-    return v.patients(spark, sf)
+    return stage_patients(v.raw_patients(spark, sf), v.as_of())

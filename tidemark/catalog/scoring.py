@@ -8,7 +8,7 @@ from tidemark.catalog import query
 from tidemark.catalog import views as v
 from tidemark.catalog.summaries import DEPARTMENT_PERFORMANCE
 from tidemark.functions import scoring as s
-from tidemark.operators.features import admission_features
+from tidemark.operators.features import admission_features, comorbidity_scores
 from tidemark.operators.scores import scored_or_heuristic, unscored
 from tidemark.plans import marts
 
@@ -33,16 +33,20 @@ FEATURE_TABLES = (*v.ADMISSION_TABLES, *v.PATIENT_TABLES, v.COMORBIDITY, v.HISTO
 HEURISTIC = "least(0.95, charlson_comorbidity_index * 0.05::DOUBLE + prior_readmissions_1y * 0.12::DOUBLE + high_utilizer_flag * 0.10::DOUBLE + prior_admissions_12m * 0.04::DOUBLE + coalesce(icu_flag, 0) * 0.08::DOUBLE + 0.10::DOUBLE)"
 
 
-def features(spark, sf):
+def build_features(spark, sf):
     return admission_features(
         v.admissions(spark, sf), v.patients(spark, sf), v.history(spark, sf), v.comorbidity(spark, sf)
     )
 
 
+def features(spark, sf):
+    return v.stored(spark, sf, "features", lambda: build_features(spark, sf))
+
+
 @query("sc01_comorbidity_index", v.with_tables(*v.PATIENT_TABLES, v.COMORBIDITY, """SELECT patient_id, CAST(charlson_raw AS BIGINT) AS charlson_raw, CAST(age_adjustment AS BIGINT) AS age_adjustment, CAST(charlson_comorbidity_index AS BIGINT) AS charlson_comorbidity_index,
  CAST(cci_chf AS BIGINT) AS cci_chf, CAST(cci_copd AS BIGINT) AS cci_copd, CAST(cci_ckd AS BIGINT) AS cci_ckd, CAST(cci_diabetes AS BIGINT) AS cci_diabetes, CAST(cci_afib AS BIGINT) AS cci_afib FROM cci"""))
 def comorbidity_index(spark, sf):
-    return v.comorbidity(spark, sf).drop("age", "comorbidity_count", "cci_risk_tier", "estimated_10yr_survival")
+    return comorbidity_scores(v.patients(spark, sf)).drop("age", "comorbidity_count", "cci_risk_tier", "estimated_10yr_survival")
 
 
 @query("sc02_tier_and_survival", v.with_tables(*v.PATIENT_TABLES, v.COMORBIDITY, """SELECT patient_id, CASE WHEN charlson_comorbidity_index = 0 THEN 'None' WHEN charlson_comorbidity_index BETWEEN 1 AND 2 THEN 'Low' WHEN charlson_comorbidity_index BETWEEN 3 AND 4 THEN 'Moderate' ELSE 'High' END AS cci_risk_tier,
@@ -151,4 +155,4 @@ def vital_flags(spark, sf):
 
 @query("ml01_feature_table", v.with_tables(*FEATURE_TABLES, "SELECT * REPLACE (strftime(admission_date, '%Y-%m-%d') AS admission_date, strftime(discharge_date, '%Y-%m-%d') AS discharge_date) FROM features"))
 def feature_table(spark, sf):
-    return features(spark, sf)
+    return build_features(spark, sf)

@@ -6,6 +6,9 @@ in an order for a diagnosis code, and an event for a vital reading. Raw views ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from tidemark.functions import scoring
 from tidemark.operators.features import comorbidity_scores
 from tidemark.operators.history import lookback_history
 from tidemark.plans.staging import stage_admissions, stage_patients
+from tidemark.session import shared_folder
 
 AS_OF = "2024-01-15"
 
@@ -25,6 +29,33 @@ def as_of():
     return F.lit(AS_OF).cast("date")
 
 
+_written: dict[tuple[str, str], tuple[str, object]] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A warehouse table of this application, written below the shared folder on first use and read from there.
+
+    The load step of a warehouse does the same: marts and scores read typed, stored tables, not text extracts.
+    """
+    folder = sha256(sf.rstrip("/").encode()).hexdigest()[:12]
+    key = (spark.sparkContext.applicationId, f"{folder}/{name}")
+    if key not in _written:
+        path, frame = shared_folder(spark, f"warehouse-{name}"), build()
+        frame.write.parquet(path)
+        _written[key] = (path, frame.schema)
+    path, schema = _written[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def reload_tables(spark: SparkSession, sf: str) -> None:
+    """Write all stored tables anew."""
+    from tidemark.catalog.scoring import features
+
+    _written.clear()
+    for load in (patients, admissions, comorbidity, history, features):
+        load(spark, sf)
+
+
 def raw_patients(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").selectExpr(
         "CAST(c_custkey AS STRING) AS patient_id",
@@ -122,7 +153,7 @@ LEFT JOIN (SELECT l_orderkey, CAST(sum(l_quantity) AS INTEGER) AS units FROM lin
 
 
 def patients(spark: SparkSession, sf: str) -> DataFrame:
-    return stage_patients(raw_patients(spark, sf), as_of())
+    return stored(spark, sf, "patients", lambda: stage_patients(raw_patients(spark, sf), as_of()))
 
 
 def _sql_flag(name: str, words: list[str]) -> str:
@@ -152,7 +183,7 @@ FROM raw_patients WHERE trim(patient_id) <> ''))"""
 
 
 def admissions(spark: SparkSession, sf: str) -> DataFrame:
-    return stage_admissions(raw_admissions(spark, sf))
+    return stored(spark, sf, "admissions", lambda: stage_admissions(raw_admissions(spark, sf)))
 
 
 STG_ADMISSIONS = """stg_admissions AS (
@@ -176,7 +207,7 @@ FROM raw_admissions WHERE trim(admission_id) <> '' AND trim(patient_id) <> ''
 
 
 def history(spark: SparkSession, sf: str) -> DataFrame:
-    return lookback_history(admissions(spark, sf))
+    return stored(spark, sf, "history", lambda: lookback_history(admissions(spark, sf)))
 
 
 HISTORY = """history AS (
@@ -194,7 +225,7 @@ GROUP BY c.admission_id, c.patient_id, c.admission_date))"""
 
 
 def comorbidity(spark: SparkSession, sf: str) -> DataFrame:
-    return comorbidity_scores(patients(spark, sf))
+    return stored(spark, sf, "comorbidity", lambda: comorbidity_scores(patients(spark, sf)))
 
 
 COMORBIDITY = """cci AS (

@@ -9,6 +9,7 @@ from tidemark.catalog import views as v
 from tidemark.catalog.summaries import MONTHLY
 from tidemark.operators import ranks
 from tidemark.operators.checks import row_count_anomaly
+from tidemark.operators.history import lookback_history
 from tidemark.plans import marts
 
 
@@ -17,7 +18,7 @@ from tidemark.plans import marts
  FROM history JOIN (SELECT c.admission_id, coalesce(""" + v.mean_sql("p.length_of_stay_days", 2) + """, 0) AS mean2 FROM stg_admissions c LEFT JOIN stg_admissions p ON p.patient_id = c.patient_id
  AND p.admission_date < c.admission_date AND p.admission_date >= c.admission_date - INTERVAL 12 MONTH GROUP BY 1) h USING (admission_id)"""))
 def lookback(spark, sf):
-    return v.history(spark, sf)
+    return lookback_history(v.admissions(spark, sf))
 
 
 @query("wn02_lag_and_delta", v.with_tables(*v.ADMISSION_TABLES, MONTHLY, """SELECT department_name, strftime(period_start, '%Y-%m-%d') AS period_start, lag(readmission_rate) OVER w AS previous,

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,7 +97,12 @@ def generalize_year(c: Column | str) -> Column:
 
 
 def scrub_text(c: Column | str) -> Column:
-    """Replace identifiers in free text, pattern by pattern, with Unicode word boundaries."""
-    return reduce(
-        lambda text, rule: F.regexp_replace(text, "(?U)" + _LINEAR_FORMS.get(rule[0], rule[0]), rule[1]), SCRUB_PATTERNS, col(c)
-    )
+    """Replace identifiers in free text, pattern by pattern, with Unicode word boundaries.
+
+    The e-mail step runs only on texts with an ``@``; no earlier step adds or removes one that could matter.
+    """
+    original = text = col(c)
+    for pattern, token in SCRUB_PATTERNS:
+        replaced = F.regexp_replace(text, "(?U)" + _LINEAR_FORMS.get(pattern, pattern), token)
+        text = F.when(original.contains("@"), replaced).otherwise(text) if pattern in _LINEAR_FORMS else replaced
+    return text
