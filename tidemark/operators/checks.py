@@ -19,7 +19,7 @@ from pyspark.sql.functions import pandas_udf
 
 from tidemark.functions.cleaning import col
 from tidemark.functions.scoring import status_rank
-from tidemark.operators.joins import align_counts, orphans
+from tidemark.operators.joins import orphans
 from tidemark.operators.ranks import latest_per_key, top_per_group
 
 # Monitor thresholds and source requirements.
@@ -287,7 +287,9 @@ def category_drift(df: DataFrame, table: str, column: str, date: str, check_date
     No row when either side is empty or the day has a single category.
     """
     on_day, before = _period(date, check_date, days)
-    counts = align_counts(df.filter(before).select(column), df.filter(on_day).select(column), column)
+    counts = df.filter(on_day | before).groupBy(column).agg(
+        F.count_if(before).alias("baseline_count"), F.count_if(on_day).alias("current_count")
+    )
     ratio = F.sum("current_count") / F.nullif(F.sum("baseline_count"), F.lit(0))
     expected = F.col("baseline_count") * F.col("_scale") + 0.5
     part = F.pow(F.col("current_count") + 0.5 - expected, 2) / expected

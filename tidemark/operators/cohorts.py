@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
@@ -56,15 +57,21 @@ def explained_share(df: DataFrame, vector: str, k: int = 2) -> DataFrame:
 
 
 def fit_clusters(df: DataFrame, vector: str, k_range: tuple[int, int] = RANGE, seed: int = SEED) -> tuple[KMeansModel, DataFrame]:
-    """K-means for every k of the range; the model with the best silhouette and the table of silhouettes."""
-    held = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+    """K-means for every k of the range; the model with the best silhouette and the table of silhouettes.
+
+    The vectors are held in executor memory and disk while the range is tried.
+    """
+    held = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("_v")).persist(StorageLevel.MEMORY_AND_DISK)
     judge = ClusteringEvaluator(featuresCol="_v", predictionCol="cluster_id")
     best, scores = None, []
-    for k in range(k_range[0], k_range[1] + 1):
-        model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster_id").fit(held)
-        scores.append((k, round(judge.evaluate(model.transform(held)), 4)))
-        if best is None or scores[-1][1] > best[1]:
-            best = (model, scores[-1][1])
+    try:
+        for k in range(k_range[0], k_range[1] + 1):
+            model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster_id").fit(held)
+            scores.append((k, round(judge.evaluate(model.transform(held)), 4)))
+            if best is None or scores[-1][1] > best[1]:
+                best = (model, scores[-1][1])
+    finally:
+        held.unpersist()
     return best[0], df.sparkSession.createDataFrame(scores, "k int, silhouette double")
 
 

@@ -11,6 +11,7 @@ from tidemark.functions import cleaning as c
 from tidemark.functions import scoring
 from tidemark.operators.aggregates import count_by, measure_stats
 from tidemark.operators.ranks import exact_quantiles
+from tidemark.session import written
 
 # Columns that never enter a model.
 NON_FEATURES = ["readmitted_30_day", "admission_id", "patient_id", "admission_date", "discharge_date", "mrn"]
@@ -113,7 +114,10 @@ def feature_matrix(
     admissions: DataFrame, patients: DataFrame, vitals: DataFrame, diagnoses: DataFrame, history: DataFrame,
     vital_columns: Sequence[str], categories: Mapping[str, Sequence[str]], vital_score: str | None = None,
 ) -> DataFrame:
-    """Model matrix: demographics, vital summaries, look-back counts, diagnosis counts, one-hot codes, median fill."""
+    """Model matrix: demographics, vital summaries, look-back counts, diagnosis counts, one-hot codes, median fill.
+
+    The joined rows are written once to the shared folder, as the median fill reads them three times.
+    """
     people = patients.select("patient_id", "age", "gender", "insurance_category", "comorbidity_count")
     joined = (
         admissions.join(people, "patient_id", "left")
@@ -127,7 +131,7 @@ def feature_matrix(
         f.name for f in joined.schema.fields
         if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")
     ]
-    return fill_with_median(joined, numeric)
+    return fill_with_median(written(joined, "feature-matrix"), numeric)
 
 
 def feature_columns(df: DataFrame, excluded: Sequence[str] = NON_FEATURES) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CLUSTER_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -34,3 +34,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="tidemark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, however often the result is read, and safe to lose
+    executors over."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
