@@ -206,3 +206,20 @@ def test_streams_over_several_batches(spark):
     stream = streams.read_stream(spark, folder, rows, files_per_batch=1)
     found = streams.run_to_end(streams.score_spike_stream(stream), "test-spikes").collect()
     assert [(x["entity"], x["previous"], x["score"]) for x in found] == [("p", 0.2, 0.5)]
+
+
+def test_incremental_features_over_batches(spark, tmp_path):
+    rows = lambda data: spark.createDataFrame(data, "k int, d string, v string").withColumn("d", F.to_date("d"))
+    batches = [
+        rows([(1, "2024-01-05", "a"), (2, "2024-02-10", "a")]),
+        rows([(3, "2024-02-20", "b"), (2, "2024-02-12", "b"), (4, "2024-01-01", "late")]),
+        rows([(1, "2024-02-19", "moved"), (5, "2024-02-16", "kept"), (6, "2024-02-10", "late")]),
+    ]
+    merge = streams.append_features(batches[0], str(tmp_path), "k", "d", 5)
+    for n, batch in enumerate(batches):
+        merge(batch, n)
+    read = lambda: sorted((r["k"], str(r["d"]), r["v"]) for r in spark.read.parquet(f"{tmp_path}/rows").collect())
+    want = [(1, "2024-02-19", "moved"), (2, "2024-02-12", "b"), (3, "2024-02-20", "b"), (5, "2024-02-16", "kept")]
+    assert read() == want
+    merge(batches[2], 2)
+    assert read() == want

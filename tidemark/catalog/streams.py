@@ -54,4 +54,4 @@ def incremental_features(spark, sf):
     stream = s.read_stream(spark, source, rows, files_per_batch=1)
     merge = s.append_features(rows, target, "o_orderkey", "day", 90)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{target}/_state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{target}/version=1")
+    return spark.read.schema(rows.schema).parquet(f"{target}/rows").select("o_orderkey", "day")
