@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import col
@@ -84,11 +84,11 @@ def conditional_counts(df: DataFrame, label: str, values: Sequence[str]) -> Data
 
 
 def group_profile(df: DataFrame, keys: Sequence[str], means: dict[str, tuple[Column | str, int]]) -> DataFrame:
-    """Size, share of all rows and rounded means per group; the share is a window over the few group rows."""
+    """Size, share of all rows and rounded means per group; the total is a one-row count used as a scalar."""
     sized = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("size"), *[rounded_mean(c, p).alias(name) for name, (c, p) in means.items()]
     )
-    whole = F.sum("size").over(Window.partitionBy())
+    whole = df.agg(F.count(F.lit(1)).alias("whole")).scalar()
     return sized.withColumn(
         "size_pct", F.round(F.col("size").cast("decimal(20,0)") / whole.cast("decimal(20,0)"), 4)
     )
