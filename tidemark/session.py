@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -28,11 +31,21 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **setti
     return builder.getOrCreate()
 
 
+@functools.cache
+def _local_folder() -> str:
+    root = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """A fresh path below ``spark.checkpoint.dir``. Where that is unset, one temporary folder of this process serves a local
+    session; a cluster has no folder to fall back on, so the setting is required there."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="tidemark-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _local_folder()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
