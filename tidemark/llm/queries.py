@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, mixing, url_filters
+from tidemark.llm import byte_bpe, exact_dedup, mixing, quality_rules, url_filters
 
 QUERIES = {
     "op2_mixing": mixing.query,
+    "op3_quality_rules": quality_rules.query,
+    "op5_byte_bpe": byte_bpe.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_url_filters": url_filters.query,
 }
 
 SQL = {
     "op2_mixing": mixing.SQL,
+    "op3_quality_rules": quality_rules.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op7_url_filters": url_filters.SQL,
 }
