@@ -33,18 +33,19 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BoundedCache, table, whole_text
+from tidemark.llm.common import table, whole_text
 
 _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Chunks: a run without blanks and the space before it, or blanks up to such a space.
 CHUNKS = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
-CACHED_CHUNKS, CACHED_PIECES = 200_000, 100_000
-BATCH_ROWS = 256
-
-
+#: Chunks kept in each of two generations, characters of text that are encoded together, bytes of a pre-token that has a
+#: queue of its own, rows taken from a batch and ids decoded at once.
+CACHED, TOGETHER, LONG, ROWS, DECODED = 300_000, 4_000_000, 256, 4096, 1 << 16
 #: Bits of a bitmap word: two levels of words serve 65,536 ranks, and Python's integers hold such words whole.
 WORD_BITS = 8
 IN_WORD = (1 << WORD_BITS) - 1
+#: Bits of the right id in the key of a pair.
+ID_BITS = 24
 
 
 class ByteBpe:
@@ -53,91 +54,236 @@ class ByteBpe:
     def __init__(self, rank_file: bytes, pattern: str = public_tokenizers.PATTERN):
         pairs = (line.split() for line in rank_file.splitlines() if line)
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.low = [0] * ((max(self.tokens, default=0) >> WORD_BITS) + 1)  # which ranks have positions; all empty between calls
+        self.none = ((max(self.ranks.values()) >> WORD_BITS) + 1) << WORD_BITS  # in a word without ranks
+        self.low = [0] * (self.none >> WORD_BITS)  # which ranks have positions; all empty between calls
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)])
+        self.pair_ranks = {}
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pair_ranks[left << ID_BITS | right] = rank
+        keys = np.fromiter(self.pair_ranks, dtype=np.int64, count=len(self.pair_ranks))
+        order = np.argsort(keys)
+        self.pair_keys = keys[order]
+        self.pair_values = np.fromiter(self.pair_ranks.values(), dtype=np.int64, count=len(keys))[order]
+        tokens = [b""] * self.none
+        for token, rank in self.ranks.items():
+            tokens[rank] = token
+        self.token_bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.token_sizes = np.array([len(t) for t in tokens])
+        self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
         self.matches = regex.compile(pattern).findall
-        self.pieces = BoundedCache(self._encode_piece, CACHED_PIECES)
-        self.chunks = BoundedCache(self._encode_chunk, CACHED_CHUNKS)
+        self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << ID_BITS | right
+        at = np.searchsorted(self.pair_keys, keys)
+        at[at == len(self.pair_keys)] = 0
+        return np.where(self.pair_keys[at] == keys, self.pair_values[at], self.none)
 
     def merged(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        rank_of, low = self.ranks.get, self.low
-        whole = rank_of(piece)
+        """Ids of one pre-token of any length, with a bucket of positions for each rank."""
+        whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        rank_of, low = self.pair_ranks.get, self.low
         n = len(piece)
-        follows, leads = list(range(1, n + 1)), list(range(-1, n - 1))
-        pending = [rank_of(piece[i : i + 2]) for i in range(n - 1)]  # the rank that the pair starting here is queued under
-        pending.append(None)
-        buckets: dict[int, list[int]] = {}
+        parts = self.byte_ids[list(piece)].tolist()
+        parts.append(-1)
+        follows, leads = list(range(1, n + 2)), list(range(-1, n))
+        pending = [-1] * (n + 1)  # the rank that the pair starting here is queued under
+        buckets: dict[int, int | list[int]] = {}  # a position, or a list of them
         high = 0  # which words of ``low`` have a bit
-        for i, rank in enumerate(pending):
+        left = parts[0]
+        for i in range(1, n):
+            right = parts[i]
+            rank = rank_of(left << ID_BITS | right)
+            left = right
             if rank is not None:
-                if rank in buckets:
-                    buckets[rank].append(i)
+                pending[i - 1] = rank
+                held = buckets.get(rank)
+                if held is None:
+                    buckets[rank] = i - 1
+                    word = rank >> WORD_BITS
+                    low[word] |= 1 << (rank & IN_WORD)
+                    high |= 1 << word
+                elif held.__class__ is int:
+                    buckets[rank] = [held, i - 1]
                 else:
-                    buckets[rank] = [i]
-                    low[rank >> WORD_BITS] |= 1 << (rank & IN_WORD)
-                    high |= 1 << (rank >> WORD_BITS)
+                    held.append(i - 1)
         while high:
             first = high & -high
             word = first.bit_length() - 1
             bits = low[word]
             lowest = bits & -bits
-            rank = (word << WORD_BITS) | (lowest.bit_length() - 1)
+            rank = (word << WORD_BITS) + lowest.bit_length() - 1
             bits ^= lowest
             low[word] = bits
             if not bits:
                 high ^= first
-            positions = buckets.pop(rank)
-            if len(positions) > 1:
-                positions.sort()
-            for i in positions:
+            held = buckets.pop(rank)
+            if held.__class__ is int:
+                held = (held,)
+            else:
+                held.sort()
+            for turn, i in enumerate(held):
                 if pending[i] != rank:
                     continue  # stale
+                if high and (high & -high) < first:  # a merge has brought a pair of lower rank
+                    buckets[rank] = list(held[turn:])
+                    low[rank >> WORD_BITS] |= lowest
+                    high |= first
+                    break
                 middle = follows[i]
                 end = follows[middle]
-                follows[i] = end
-                pending[middle] = None
-                changed = []
-                if end < n:
-                    leads[end] = i
-                    changed.append((i, rank_of(piece[i : follows[end]])))
-                else:
-                    pending[i] = None
+                follows[i], leads[end] = end, i
+                parts[i], pending[middle] = rank, -1
                 before = leads[i]
-                if before >= 0:
-                    changed.append((before, rank_of(piece[before:end])))
-                for at, new in changed:
+                for at, key in ((i, rank << ID_BITS | parts[end]), (before, parts[before] << ID_BITS | rank)) if before >= 0 else ((i, rank << ID_BITS | parts[end]),):
+                    new = rank_of(key)
+                    if new is None:
+                        pending[at] = -1
+                        continue
                     pending[at] = new
-                    if new is not None:
-                        if new in buckets:
-                            buckets[new].append(at)
-                        else:
-                            buckets[new] = [at]
-                            word = new >> WORD_BITS
-                            low[word] |= 1 << (new & IN_WORD)
-                            high |= 1 << word
+                    other = buckets.get(new)
+                    if other is None:
+                        buckets[new] = at
+                        word = new >> WORD_BITS
+                        low[word] |= 1 << (new & IN_WORD)
+                        high |= 1 << word
+                    elif other.__class__ is int:
+                        buckets[new] = [other, at]
+                    else:
+                        other.append(at)
         ids, i = [], 0
         while i < n:
-            ids.append(self.ranks[piece[i : follows[i]]])
+            ids.append(parts[i])
             i = follows[i]
         return ids
 
-    def _encode_piece(self, piece: str) -> bytes:
-        return np.array(self.merged(piece.encode()), dtype="<u4").tobytes()
-
-    def _encode_chunk(self, chunk: str) -> bytes:
-        pieces = self.pieces
-        return b"".join([pieces[m] if len(m) < 40 else self._encode_piece(m) for m in self.matches(chunk)])
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        chunks = self.chunks
-        return b"".join([chunks[c] if len(c) < 60 else self._encode_chunk(c) for c in CHUNKS.findall(text)])
+    def merged_together(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of many pre-tokens, whose parts lie in one linked list with a gap after each pre-token.
+
+        The queue's buckets are the bitmap words here: the first set bit of the top word names the lowest ranks that any
+        pre-token has, and of its pairs there each pre-token merges the one of lowest rank, the leftmost of equals. The
+        others go back; what has changed meanwhile is stale.
+        """
+        sizes = np.array([len(p) for p in pieces])
+        ends = np.cumsum(sizes + 1) - 1
+        flat = np.frombuffer(b"\0".join(pieces) + b"\0", dtype=np.uint8)
+        parts = self.byte_ids[flat]
+        parts[ends] = self.none
+        owner = np.repeat(np.arange(len(pieces)), sizes + 1)
+        follows, leads = np.arange(1, len(flat) + 1), np.arange(-1, len(flat) - 1)
+        leads[0] = ends[-1]
+        pending = np.append(self._ranks_of(parts[:-1], parts[1:]), self.none)
+        alive = parts != self.none
+        buckets: dict[int, list[np.ndarray]] = {}
+        high = 0
+
+        def push(positions: np.ndarray, ranks: np.ndarray) -> int:
+            words = ranks >> WORD_BITS
+            order = np.argsort(words, kind="stable")
+            words, positions = words[order], positions[order]
+            cuts = np.flatnonzero(words[1:] != words[:-1]) + 1
+            bits = 0
+            for word, part in zip(words[np.append(0, cuts)].tolist(), np.split(positions, cuts)):
+                buckets.setdefault(word, []).append(part)
+                bits |= 1 << word
+            return bits
+
+        at = np.flatnonzero(pending != self.none)
+        if len(at):
+            high |= push(at, pending[at])
+        while high:
+            first = high & -high
+            high ^= first
+            word = first.bit_length() - 1
+            held = buckets.pop(word)
+            at = np.concatenate(held) if len(held) > 1 else held[0]
+            at = at[pending[at] >> WORD_BITS == word]  # the others are stale
+            if not len(at):
+                continue
+            order = np.lexsort((at, pending[at], owner[at]))
+            at = at[order]
+            lead = np.append(True, owner[at[1:]] != owner[at[:-1]])
+            if not lead.all():
+                buckets[word] = [at[~lead]]
+                high |= first
+            at = at[lead]
+            ranks = pending[at]
+            middle = follows[at]
+            end = follows[middle]
+            follows[at], leads[end] = end, at
+            parts[at], pending[middle], alive[middle] = ranks, self.none, False
+            before = leads[at]
+            after_ranks, before_ranks = self._ranks_of(ranks, parts[end]), self._ranks_of(parts[before], ranks)
+            pending[before] = before_ranks
+            pending[at] = after_ranks
+            positions, ranks = np.concatenate([at, before]), np.concatenate([after_ranks, before_ranks])
+            real = ranks != self.none
+            if real.any():
+                high |= push(positions[real], ranks[real])
+        counts = np.bincount(owner[alive], minlength=len(pieces))
+        packed = parts[alive].astype("<u4").tobytes()
+        stops = (np.cumsum(counts) * 4).tolist()
+        return [packed[start:stop] for start, stop in zip([0, *stops], stops)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Brings the ids of all ``chunks`` into the cache; the cache that was full before becomes the old one."""
+        if len(self.cache) >= CACHED:
+            self.old, self.cache = self.cache, {}
+        cache, old = self.cache, self.old
+        new = []
+        for chunk in chunks:
+            if chunk not in cache:
+                ids = old.get(chunk)
+                if ids is None:
+                    new.append(chunk)
+                else:
+                    cache[chunk] = ids
+        cut = [[m.encode() for m in self.matches(chunk)] for chunk in new]
+        known, short = {}, []
+        for piece in set().union(*cut) if cut else ():
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                known[piece] = whole.to_bytes(4, "little")
+            elif len(piece) > LONG:
+                known[piece] = np.array(self.merged(piece), dtype="<u4").tobytes()
+            else:
+                short.append(piece)
+        if short:
+            known.update(zip(short, self.merged_together(short)))
+        for chunk, pieces in zip(new, cut):
+            cache[chunk] = b"".join([known[p] for p in pieces])
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        held, size = [], 0
+        for text in texts:
+            held.append(CHUNKS.findall(text))
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._encode_held(held)
+                held, size = [], 0
+        yield from self._encode_held(held)
+
+    def _encode_held(self, held: list[list[str]]) -> list[bytes]:
+        self._learn(set().union(*held))
+        cache = self.cache
+        return [b"".join([cache[c] for c in chunks]) for chunks in held]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        """The bytes of the tokens, gathered block by block from one array of all tokens' bytes."""
+        found = []
+        for start in range(0, len(ids), 4 * DECODED):
+            block = np.frombuffer(ids[start : start + 4 * DECODED], dtype="<u4")
+            sizes = self.token_sizes[block]
+            ends = np.cumsum(sizes)
+            found.append(self.token_bytes[np.repeat(self.token_starts[block] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes())
+        return b"".join(found)
 
 
 _LOADED: dict[bytes, ByteBpe] = {}
@@ -163,7 +309,7 @@ def encoded(docs: DataFrame, ranks: Broadcast, keep: tuple[str, ...] = ("doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(ranks.value)
         for batch in batches:
-            ids = pa.array([bpe.encode(t.as_py()) for t in batch.column(batch.num_columns - 1)], pa.binary())
+            ids = pa.array(list(bpe.encode_all(batch.column(batch.num_columns - 1).to_pylist())), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=names)
 
     given = docs.select(*keep, whole_text().alias("__text"))
@@ -179,9 +325,9 @@ def round_trip(docs: DataFrame, ranks: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(ranks.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(start, BATCH_ROWS)
-                rows = [bpe.encode(t.as_py()) for t in part.column(1)]
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                rows = list(bpe.encode_all(part.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), pa.array([len(ids) // 4 for ids in rows], pa.int64()),
