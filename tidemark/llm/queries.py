@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, exact_dedup, mixing, quality_rules, url_filters
+from tidemark.llm import byte_bpe, exact_dedup, mixing, quality_rules, token_counts, token_orc, url_filters
 
 QUERIES = {
     "op2_mixing": mixing.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op5_byte_bpe": byte_bpe.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_url_filters": url_filters.query,
+    "op8_token_counts": token_counts.query,
+    "op9_token_orc": token_orc.query,
 }
 
 SQL = {
