@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, exact_dedup, mixing, quality_rules, token_counts, token_orc, url_filters
+from tidemark.llm import byte_bpe, exact_dedup, mixing, quality_classifier, quality_rules, token_counts, token_orc, url_filters
 
 QUERIES = {
     "op2_mixing": mixing.query,
     "op3_quality_rules": quality_rules.query,
+    "op4_quality_classifier": quality_classifier.query,
     "op5_byte_bpe": byte_bpe.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_url_filters": url_filters.query,
