@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, exact_dedup, mixing, quality_classifier, quality_rules, token_counts, token_orc, url_filters
+from tidemark.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality_classifier, quality_rules, token_counts, token_orc, url_filters
 
 QUERIES = {
     "op2_mixing": mixing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_url_filters": url_filters.query,
     "op8_token_counts": token_counts.query,
     "op9_token_orc": token_orc.query,
+    "op10_near_dedup": near_dedup.query,
 }
 
 SQL = {
