@@ -5,9 +5,9 @@ the linked list of parts; a hierarchy of bitmaps holds which buckets have positi
 in the word it names, gives the lowest rank. Entries whose pair has changed since are stale and skipped. Every merge costs
 a few word operations, so a pre-token of n bytes takes time in proportion to n.
 
-Texts are cut twice: first into blank-separated chunks with the standard library, whose ids are kept in a bounded cache, and
-a chunk that is new is cut by the tokenizer's pattern. The first cut never splits a match of the pattern: a match starts
-with at most one space and has no other blank, or consists of blanks.
+Texts are cut twice: first into chunks with the standard library, whose ids are kept in a bounded cache, and a chunk that is
+new is cut by the tokenizer's pattern. The first cut never splits a match of the pattern. New pre-tokens of many texts share
+one queue; very long ones have a queue each.
 
 The rank file is read by the driver and sent to the executors as one broadcast; its size is the vocabulary's. Documents are
 encoded where they are read: no shuffle, so hot sources and copies don't matter. Memory: one batch of rows, the vocabulary
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +32,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.chunks import LETTERS, ChunkEncoder
 from tidemark.llm.common import table, whole_text
 
-_BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Chunks: a run without blanks and the space before it, or blanks up to such a space.
-CHUNKS = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
-#: Chunks kept in each of two generations, characters of text that are encoded together, bytes of a pre-token that has a
-#: queue of its own, rows taken from a batch and ids decoded at once.
-CACHED, TOGETHER, LONG, ROWS, DECODED = 300_000, 4_000_000, 256, 4096, 1 << 16
+#: Bytes of a pre-token that has a queue of its own; rows taken from a batch, and ids decoded, at once.
+LONG, ROWS, DECODED = 256, 4096, 1 << 16
 #: Bits of a bitmap word: two levels of words serve 65,536 ranks, and Python's integers hold such words whole.
 WORD_BITS = 8
 IN_WORD = (1 << WORD_BITS) - 1
@@ -48,7 +44,7 @@ IN_WORD = (1 << WORD_BITS) - 1
 ID_BITS = 24
 
 
-class ByteBpe:
+class ByteBpe(ChunkEncoder):
     """Encoder and decoder of one rank file: lines of a base64 token and its rank."""
 
     def __init__(self, rank_file: bytes, pattern: str = public_tokenizers.PATTERN):
@@ -74,8 +70,7 @@ class ByteBpe:
         self.token_sizes = np.array([len(t) for t in tokens])
         self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
         self.matches = regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        super().__init__()
 
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left << ID_BITS | right
@@ -231,22 +226,10 @@ class ByteBpe:
         stops = (np.cumsum(counts) * 4).tolist()
         return [packed[start:stop] for start, stop in zip([0, *stops], stops)]
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Brings the ids of all ``chunks`` into the cache; the cache that was full before becomes the old one."""
-        if len(self.cache) >= CACHED:
-            self.old, self.cache = self.cache, {}
-        cache, old = self.cache, self.old
-        new = []
-        for chunk in chunks:
-            if chunk not in cache:
-                ids = old.get(chunk)
-                if ids is None:
-                    new.append(chunk)
-                else:
-                    cache[chunk] = ids
-        cut = [[m.encode() for m in self.matches(chunk)] for chunk in new]
+    def ids_of(self, chunks: list[str]) -> list[bytes]:
+        cut = [[chunk.encode()] if LETTERS.fullmatch(chunk) else [m.encode() for m in self.matches(chunk)] for chunk in chunks]
         known, short = {}, []
-        for piece in set().union(*cut) if cut else ():
+        for piece in set().union(*cut):
             whole = self.ranks.get(piece)
             if whole is not None:
                 known[piece] = whole.to_bytes(4, "little")
@@ -256,24 +239,7 @@ class ByteBpe:
                 short.append(piece)
         if short:
             known.update(zip(short, self.merged_together(short)))
-        for chunk, pieces in zip(new, cut):
-            cache[chunk] = b"".join([known[p] for p in pieces])
-
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        held, size = [], 0
-        for text in texts:
-            held.append(CHUNKS.findall(text))
-            size += len(text)
-            if size >= TOGETHER:
-                yield from self._encode_held(held)
-                held, size = [], 0
-        yield from self._encode_held(held)
-
-    def _encode_held(self, held: list[list[str]]) -> list[bytes]:
-        self._learn(set().union(*held))
-        cache = self.cache
-        return [b"".join([cache[c] for c in chunks]) for chunks in held]
+        return [b"".join([known[p] for p in pieces]) for pieces in cut]
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of the tokens, gathered block by block from one array of all tokens' bytes."""

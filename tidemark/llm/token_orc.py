@@ -18,9 +18,9 @@ ordered by text; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,73 +29,59 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.chunks import LETTERS, ChunkEncoder
 from tidemark.llm.common import table, whole_text
 from tidemark.session import shared_folder
 
-_BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Letters before a blank, the end or one of ``.,;:!?``; else all up to a blank; else blanks, up to a space that a word takes.
-CHUNKS = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^{_BLANK}.,;:!?])| ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
-#: Chunks kept in each of two generations; characters of text that are encoded together; rows of an output batch.
-CACHED, TOGETHER, ROWS = 300_000, 2_000_000, 1024
+#: Rows of an output batch.
+ROWS = 1024
+#: Byte-level alphabet: bytes without a visible sign of their own are shown by the signs from 256 on, in order.
+_UNSEEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_BYTE_SIGNS = [chr(256 + _UNSEEN.index(b)) if b in _UNSEEN else chr(b) for b in range(256)]
 ORC_OPTIONS = {
     "compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
     "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20),
 }
 
 
-class ChunkEncoder:
-    """Ids of texts by a tokenizer file, through a cache of its results for chunks."""
+class FileEncoder(ChunkEncoder):
+    """Encodes by a tokenizer file."""
 
     def __init__(self, tokenizer_file: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_file.decode())
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.cache) >= CACHED:
-            self.old, self.cache = self.cache, {}
-        new = []
-        for chunk in chunks:
-            if chunk not in self.cache:
-                ids = self.old.get(chunk)
-                if ids is None:
-                    new.append(chunk)
-                else:
-                    self.cache[chunk] = ids
-        for start in range(0, len(new), 2000):
-            part = new[start : start + 2000]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[chunk] = np.array(found.ids, dtype="<u4").tobytes()
-
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        held, size = [], 0
-        for text in texts:
-            held.append(CHUNKS.findall(text))
-            size += len(text)
-            if size >= TOGETHER:
-                yield from self._encode_held(held)
-                held, size = [], 0
-        yield from self._encode_held(held)
-
-    def _encode_held(self, held: list[list[str]]) -> list[bytes]:
-        self._learn(set().union(*held))
-        cache = self.cache
-        return [b"".join([cache[c] for c in chunks]) for chunks in held]
-
-
-_LOADED: dict[int, ChunkEncoder] = {}
-
-
-def _loaded(tokenizer_file: bytes) -> ChunkEncoder:
+
+    def ids_of(self, chunks: list[str]) -> list[bytes]:
+        """Single pre-tokens go to the library's model at once, in its alphabet for bytes; other chunks through all steps."""
+        tokenize, signs = self.tokenizer.model.tokenize, _BYTE_SIGNS
+        each: list = [None] * len(chunks)
+        others = []
+        for i, chunk in enumerate(chunks):
+            if LETTERS.fullmatch(chunk):
+                each[i] = [t.id for t in tokenize("".join([signs[b] for b in chunk.encode()]))]
+            else:
+                others.append(i)
+        for start in range(0, len(others), 2000):
+            part = others[start : start + 2000]
+            for i, found in zip(part, self.tokenizer.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False)):
+                each[i] = found.ids
+        packed = np.array(list(chain.from_iterable(each)), dtype="<u4").tobytes()
+        stops = list(accumulate(4 * len(ids) for ids in each))
+        return [packed[a:b] for a, b in zip([0, *stops], stops)]
+
+
+_LOADED: dict[int, FileEncoder] = {}
+
+
+def _loaded(tokenizer_file: bytes) -> FileEncoder:
     key = zlib.crc32(tokenizer_file)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = ChunkEncoder(tokenizer_file)
+        _LOADED[key] = FileEncoder(tokenizer_file)
     return _LOADED[key]
 
 
