@@ -269,24 +269,10 @@ def sent_ranks(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(file.read())
 
 
-def encoded(docs: DataFrame, ranks: Broadcast, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with ``ids`` (little-endian unsigned 32-bit integers) of its texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(ranks.value)
-        for batch in batches:
-            ids = pa.array(list(bpe.encode_all(batch.column(batch.num_columns - 1).to_pylist())), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=names)
-
-    given = docs.select(*keep, whole_text().alias("__text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]]
-    names = [*given.columns[:-1], "ids"]
-    return given.mapInArrow(run, ", ".join([*kinds, "ids binary"]))
-
-
-def round_trip(docs: DataFrame, ranks: Broadcast) -> DataFrame:
+def round_trip(docs: DataFrame, ranks: Broadcast, with_ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row of ``docs`` (doc_id, text): ids and the bytes that they
-    decode to, as digests."""
+    decode to, as digests; also ``ids`` themselves (little-endian unsigned 32-bit integers) if asked for."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(ranks.value)
@@ -294,16 +280,14 @@ def round_trip(docs: DataFrame, ranks: Broadcast) -> DataFrame:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
                 rows = list(bpe.encode_all(part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), pa.array([len(ids) // 4 for ids in rows], pa.int64()),
-                        pa.array([hashlib.sha256(ids).hexdigest() for ids in rows]), pa.array([hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in rows]),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                columns = [
+                    part.column(0), pa.array([len(ids) // 4 for ids in rows], pa.int64()), pa.array([hashlib.sha256(ids).hexdigest() for ids in rows]),
+                    pa.array([hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in rows]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(rows, pa.binary())] * with_ids, names=names)
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("__text"))
-    return given.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return given.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
 
 
 def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BoundedCache, table, whole_text
+from tidemark.llm.common import BLANKS, BoundedCache, table, whole_text
 from tidemark.llm.components import components
 from tidemark.session import written
 
@@ -286,5 +286,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, columns as given: of each group of near copies the one with the smallest id, once if
+    it is repeated. Documents without words are linked with nothing and stay."""
+    no_id = F.expr("CAST(-9223372036854775808 AS BIGINT)")
+    known_id = F.coalesce(F.col("doc_id").cast("long"), no_id)
+    keeps = near_groups(docs).groupBy(known_id.alias("__id")).agg(F.max("kept").alias("__kept")).where("__kept")
+    words = F.sha2(F.regexp_replace(F.translate(whole_text(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), BLANKS, " "), 256)
+    rows = docs.select(F.struct("*").alias("row"), known_id.alias("__id"), words.alias("__words"))
+    return rows.join(keeps, "__id").dropDuplicates(["__id", "__words"]).select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))

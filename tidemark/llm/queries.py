@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality_classifier, quality_rules, token_counts, token_orc, url_filters
+from tidemark.llm import byte_bpe, exact_dedup, license_scans, mixing, near_dedup, quality_classifier, quality_rules, token_counts, token_orc, url_filters
 
 QUERIES = {
+    "op1_license_scans": license_scans.query,
     "op2_mixing": mixing.query,
     "op3_quality_rules": quality_rules.query,
     "op4_quality_classifier": quality_classifier.query,
