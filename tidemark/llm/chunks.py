@@ -13,7 +13,7 @@ CHUNKS = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^{_BLANK}.,;:!?])| ?[^{_BLA
 #: A chunk that is a single match of the pattern for sure.
 LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Chunks kept in each of two generations; characters of text that are encoded together.
-CACHED, TOGETHER = 250_000, 3_000_000
+CACHED, TOGETHER = 500_000, 3_000_000
 
 
 class ChunkEncoder:
@@ -40,10 +40,11 @@ class ChunkEncoder:
         if len(self.cache) >= CACHED:  # what is asked for again moves back from the old generation
             self.old, self.cache = self.cache, {}
         found = [list(map(self.cache.get, chunks)) for chunks in held]
-        missing = {c for chunks, ids in zip(held, found) if None in ids for c, i in zip(chunks, ids) if i is None}
+        gaps = [[c for c, i in zip(chunks, ids) if i is None] for chunks, ids in zip(held, found)]
+        missing = set().union(*gaps)
         known = {c: ids for c in missing if (ids := self.old.get(c)) is not None}
         new = list(missing.difference(known))
         known.update(zip(new, self.ids_of(new)))
         self.cache.update(known)
-        for chunks, ids in zip(held, found):
-            yield b"".join([known[c] if i is None else i for c, i in zip(chunks, ids)] if None in ids else ids)
+        for chunks, ids, gap in zip(held, found, gaps):
+            yield b"".join([known[c] if i is None else i for c, i in zip(chunks, ids)] if gap else ids)
