@@ -20,9 +20,9 @@ def clean_extracts(spark):
     return {"patients": patients.withColumn("full_name", F.col("mrn")).drop("loaded_at"), "admissions": admissions.withColumn("discharge_date", ends).drop("loaded_at")}
 
 
-def run(spark, raw, root, **known):
+def run(spark, raw, root, day="2024-01-15"):
     dimension = departments(spark).withColumn("department_key", surrogate_key("department_code"))
-    return run_daily(raw, root, b"key", F.lit("2024-01-15").cast("date"), benchmark_rates(spark), dimension, min_rows={"patients": 100, "admissions": 500}, **known)
+    return run_daily(raw, root, b"key", F.lit(day).cast("date"), benchmark_rates(spark), dimension, min_rows={"patients": 100, "admissions": 500})
 
 
 def test_daily_run_and_rerun(spark, tmp_path):
@@ -33,8 +33,24 @@ def test_daily_run_and_rerun(spark, tmp_path):
     assert tables["dim_patient"].count() == tables["risk_cohorts"].join(tables["dim_patient"], "patient_id", "right").count() == p
     assert tables["dashboard"].agg(F.sum("total_admissions")).first()[0] == n
     assert spark.read.parquet(f"{tmp_path}/a/staging/patients").filter(~F.col("full_name").startswith("ANON-")).count() == 0
-    again = run(spark, raw, f"{tmp_path}/b", known_patients=tables["dim_patient"], known_facts=tables["fact_admissions"])
-    assert again["dim_patient"].count() == p and again["fact_admissions"].count() == 0
+    again = run(spark, raw, f"{tmp_path}/a")
+    assert again["dim_patient"].count() == p and again["fact_admissions"].count() == again["features"].count() == n
+
+
+def test_two_days_in_one_root(spark, tmp_path):
+    raw = clean_extracts(spark)
+    half = F.col("admission_id").cast("bigint") % 2
+    first = run(spark, {**raw, "admissions": raw["admissions"].filter(half == 0)}, f"{tmp_path}/a", "2024-01-14")
+    brought = {r.admission_id for r in first["fact_admissions"].select("admission_id").collect()}
+    second = run(spark, {**raw, "admissions": raw["admissions"].filter(half == 1)}, f"{tmp_path}/a")
+    whole = run(spark, raw, f"{tmp_path}/b")
+    kept = [r.admission_id for r in second["fact_admissions"].select("admission_id").collect()]
+    assert brought < set(kept) and len(kept) == len(set(kept)) == raw["admissions"].count()
+    for name in ("features", "department_performance", "dashboard", "risk_cohorts", "stay_by_category_and_payer", "high_risk"):
+        rows = [sorted(map(str, t[name].collect())) for t in (second, whole)]
+        assert rows[0] == rows[1], name
+    orphans = second["fact_admissions"].join(second["dim_patient"], "patient_key", "left_anti").count()
+    assert orphans == 0
 
 
 def test_gate_stops_before_marts(spark, tmp_path):

@@ -117,10 +117,10 @@ def test_monitors(spark):
     assert {r["table_name"]: r["status"] for r in report.collect() if r["check_name"] == "table_error"} == {"u": "critical"}
 
 
-@pytest.mark.parametrize("x, k, p", [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (7.814728, 3, 0.05), (9.487729, 4, 0.05), (15.086272, 5, 0.01), (23.209251, 10, 0.01)])
+@pytest.mark.parametrize("x, k, p", [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (7.814728, 3, 0.05), (9.487729, 4, 0.05), (15.086272, 5, 0.01), (23.209251, 10, 0.01), (2000.0, 2000, 0.4957948), (2106.2, 2000, 0.0484), (0.0, 3, 1.0)])
 def test_chi_square_tail(spark, x, k, p):
     got = spark.createDataFrame([(x, k)], "x double, k int").select(checks.chi_square_tail("x", "k")).first()[0]
-    assert got == pytest.approx(p, rel=1e-5)
+    assert got == pytest.approx(p, rel=1e-5 if k < 100 else 2e-2)
 
 
 def test_freshness(spark):
@@ -146,8 +146,8 @@ def test_median_fill_and_one_hot(spark):
     hot = {r["i"]: (r["g_b"], r["g_c"]) for r in features.one_hot(df, "g").collect()}
     assert hot == {1: (1, 0), 2: (0, 0), 3: (0, 0), 4: (0, 1)}
     assert features.feature_columns(df.withColumn("patient_id", F.lit(1))) == ["i", "v", "g"]
-    with pytest.raises(ValueError):
-        features.category_values(df, "i", 2)
+    many = spark.range(1500).select(F.format_string("v%04d", "id").alias("c"))
+    assert len(features.category_values(many, "c")) == 1500
 
 
 def test_joins(spark):
@@ -166,6 +166,13 @@ def test_lineage(spark):
     assert got == {("raw", "stg"): 1, ("stg", "fact"): 1, ("raw", "fact"): 1, ("fact", "view"): 1, ("stg", "view"): 2, ("raw", "view"): 2}
     nodes = {r["node"]: (r["upstream"], r["downstream"], r["row_count"]) for r in lineage.lineage_nodes(edges, {"fact": edges}).collect()}
     assert nodes["fact"] == (2, 1, 4) and nodes["raw"] == (0, 2, None)
+    chain = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(60)], "source string, target string")
+    found = lineage.lineage_paths(chain).collect()
+    assert len(found) == 60 * 61 // 2 and max(r["hops"] for r in found) == 60
+    cycle = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "source string, target string")
+    assert {(r["ancestor"], r["descendant"], r["hops"]) for r in lineage.lineage_paths(cycle).collect()} == {
+        (x, y, 1 + (ord(y) - ord(x) - 1) % 3) for x in "abc" for y in "abc"
+    }
 
 
 def test_files(spark, tmp_path):

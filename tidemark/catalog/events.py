@@ -147,32 +147,33 @@ def checksums(spark, sf):
     return g.migration_history(kept).select("version", "checksum_ok")
 
 
-def reply_edges(spark, sf):
-    """A message follows the one before it in its conversation."""
-    turns = v.table(spark, sf, "conversations").select("conv_id", "turn").distinct()
-    node = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
-    before = turns.select(F.col("conv_id").alias("c"), (F.col("turn") + 1).alias("t"))
-    linked = turns.join(before, (F.col("c") == F.col("conv_id")) & (F.col("t") == F.col("turn")))
-    return linked.select(node(F.col("turn") - 1).alias("source"), node(F.col("turn")).alias("target"))
+TABLE_EDGES = [
+    ("region", "nation"), ("nation", "customer"), ("nation", "supplier"), ("customer", "orders"), ("orders", "lineitem"), ("part", "lineitem"), ("supplier", "lineitem"),
+]
 
 
-EDGES_SQL = "t AS (SELECT DISTINCT conv_id, turn FROM conversations), ed AS (SELECT a.conv_id, a.turn AS s, b.turn AS d FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
-
-
-@query("ev10_lineage_nodes", v.with_tables(EDGES_SQL, "SELECT node, CAST(sum(up) AS BIGINT) AS upstream, CAST(sum(down) AS BIGINT) AS downstream, CAST(NULL AS BIGINT) AS row_count FROM (SELECT conv_id || ':' || s AS node, 0 AS up, 1 AS down FROM ed UNION ALL SELECT conv_id || ':' || d, 1, 0 FROM ed) GROUP BY 1"))
+@query("ev10_lineage_nodes", "WITH ed(s, d) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in TABLE_EDGES) + "), c(node, row_count) AS (" + " UNION ALL ".join(f"SELECT '{t}', count(*) FROM {t}" for t in v.ALL_TABLES) + """)
+ SELECT node, CAST(sum(up) AS BIGINT) AS upstream, CAST(sum(down) AS BIGINT) AS downstream, row_count FROM (SELECT s AS node, 0 AS up, 1 AS down FROM ed UNION ALL SELECT d, 1, 0 FROM ed) JOIN c USING (node) GROUP BY node, row_count""")
 def lineage_nodes(spark, sf):
-    return g.lineage_nodes(reply_edges(spark, sf), {"conversations": v.table(spark, sf, "conversations")})
+    return g.lineage_nodes(spark.createDataFrame(TABLE_EDGES, "source string, target string"), {t: v.table(spark, sf, t) for t in v.ALL_TABLES})
 
 
-@query("ev10_lineage_paths", v.with_tables(EDGES_SQL, "r AS (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM t)", "SELECT a.conv_id || ':' || a.turn AS ancestor, a.conv_id || ':' || b.turn AS descendant, b.turn - a.turn AS hops FROM r a JOIN r b ON a.conv_id = b.conv_id AND a.run = b.run AND b.turn > a.turn"))
+@query("ev10_lineage_paths", """SELECT DISTINCT r_name AS ancestor, n_name AS descendant, CAST(1 AS BIGINT) AS hops FROM region JOIN nation ON r_regionkey = n_regionkey UNION ALL SELECT DISTINCT n_name, n_name || ':' || c_mktsegment, 1 FROM nation JOIN customer ON n_nationkey = c_nationkey
+ UNION ALL SELECT DISTINCT r_name, n_name || ':' || c_mktsegment, 2 FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey""")
 def lineage_paths(spark, sf):
-    return g.lineage_paths(reply_edges(spark, sf), longest=50)
+    region, nation, customer = (v.table(spark, sf, t) for t in ("region", "nation", "customer"))
+    segment = F.concat_ws(":", "n_name", "c_mktsegment")
+    edges = region.join(nation, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("source"), F.col("n_name").alias("target"))
+    return g.lineage_paths(edges.unionByName(nation.join(customer, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("n_name").alias("source"), segment.alias("target"))))
+
+
+CATALOG_SQL = " UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name, column_type, row_number() OVER () AS position, (SELECT count(*) FROM {t}) AS row_count FROM (DESCRIBE {t})" for t in v.ALL_TABLES)
+KINDS = [("bigint", "BIGINT"), ("int", "INTEGER"), ("string", "VARCHAR"), ("double", "DOUBLE"), ("float", "FLOAT"), ("timestamp_ntz", "TIMESTAMP"), ("date", "DATE"), ("array<float>", "FLOAT[]"), ("array<double>", "DOUBLE[]")]
 
 
-@query("ev11_catalog", "SELECT 'orders' AS table_name, column_name, (SELECT count(*) FROM orders) AS row_count FROM (DESCRIBE orders) UNION ALL SELECT 'events', column_name, (SELECT count(*) FROM events) FROM (DESCRIBE events)")
+@query("ev11_catalog", f"SELECT table_name, column_name, CASE column_type {' '.join(f'WHEN {chr(39)}{d}{chr(39)} THEN {chr(39)}{k}{chr(39)}' for k, d in KINDS)} ELSE column_type END AS data_type, TRUE AS nullable, position, row_count FROM ({CATALOG_SQL})")
 def table_catalog(spark, sf):
-    found = g.table_catalog(spark, {t: v.table(spark, sf, t) for t in ("orders", "events")})
-    return found.select("table_name", "column_name", "row_count")
+    return g.table_catalog(spark, {t: v.table(spark, sf, t) for t in v.ALL_TABLES})
 
 
 @query("ev05_alert_search", v.with_tables(ALERTS_SQL, "SELECT alert_id, CAST(CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END AS BIGINT) AS severity_rank FROM alerts WHERE contains(lower(title), 'by 12') OR contains(lower(description), 'by 12') OR contains(lower(related_patient_id), 'by 12')"))

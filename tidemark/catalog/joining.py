@@ -97,11 +97,11 @@ def aligned_counts(spark, sf):
     return j.align_counts(events.filter(F.col("ts") < cut), events.filter(F.col("ts") >= cut), "event_type")
 
 
-@query("so01_row_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ("orders", "customer", "lineitem", "events")))
+@query("so01_row_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in v.ALL_TABLES))
 def row_counts(spark, sf):
     from tidemark.operators.lineage import row_counts as counts
 
-    return counts({t: v.table(spark, sf, t) for t in ("orders", "customer", "lineitem", "events")})
+    return counts({t: v.table(spark, sf, t) for t in v.ALL_TABLES})
 
 
 @query("so02_union_newest_first", """SELECT o_orderkey AS job_id, o_orderstatus AS status FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY src, o_orderdate DESC) AS r FROM

@@ -11,8 +11,8 @@ from tidemark.operators import baskets as b
 from tidemark.operators import recommend as r
 from tidemark.sources.action_library import ACTION_LIBRARY
 
-BASKET_SQL = "b AS (SELECT DISTINCT l_orderkey AS k, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT count(DISTINCT k) AS n FROM b)"
-TAGGED_SQL = """b AS (SELECT DISTINCT k, i FROM (SELECT l_orderkey AS k, 'DX:' || p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey
+BASKET_SQL = "b AS MATERIALIZED (SELECT DISTINCT l_orderkey AS k, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT count(DISTINCT k) AS n FROM b)"
+TAGGED_SQL = """b AS MATERIALIZED (SELECT DISTINCT k, i FROM (SELECT l_orderkey AS k, 'DX:' || p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey
  UNION ALL SELECT l_orderkey, 'CPT:' || l_returnflag || l_linestatus FROM lineitem JOIN orders ON o_orderkey = l_orderkey UNION ALL SELECT o_orderkey, 'NO_READMIT' FROM orders WHERE o_orderstatus <> 'F')), n AS (SELECT count(DISTINCT k) AS n FROM b)"""
 
 
@@ -24,7 +24,7 @@ def itemset_sql(min_support: float, max_items: int) -> str:
         parts.append(
             f"SELECT [{', '.join(f'{x}.i' for x in names)}] AS items, count(*) AS freq FROM b b0{joins} GROUP BY ALL HAVING count(*) >= ceil({min_support} * (SELECT n FROM n))"
         )
-    return "sets AS (" + " UNION ALL ".join(parts) + ")"
+    return "sets AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")"
 
 
 def rules_sql(min_confidence: float, min_lift: float) -> str:
@@ -74,7 +74,7 @@ def itemsets(spark, sf):
 
 
 def rules(spark, sf):
-    return b.association_rules(b.frequent_itemsets(brand_baskets(spark, sf), 0.002, 4), 0.05, 1.0)
+    return v.stored(spark, sf, "association-rules", lambda: b.association_rules(b.frequent_itemsets(brand_baskets(spark, sf), 0.002, 4), 0.05, 1.0))
 
 
 @query("bm04_association_rules", v.with_tables(BASKET_SQL, itemset_sql(0.002, 4), rules_sql(0.05, 1.0), """SELECT array_to_string(antecedents, '|') AS antecedents, CASE WHEN len(consequents) = 1 THEN consequents[1] ELSE '[''' || array_to_string(consequents, ''', ''') || ''']' END AS consequent, support, confidence, lift, conviction, evidence_count FROM rules"""))
@@ -82,11 +82,11 @@ def association_rules(spark, sf):
     return rules(spark, sf).select(shown("antecedents"), "consequent", "support", "confidence", "lift", "conviction", "evidence_count")
 
 
-OUTCOME_SQL = (TAGGED_SQL, itemset_sql(0.005, 3), rules_sql(0.3, 0.0), "outcome AS (SELECT * FROM rules WHERE list_contains(consequents, 'NO_READMIT'))")
+OUTCOME_SQL = (TAGGED_SQL, itemset_sql(0.005, 5), rules_sql(0.3, 0.0), "outcome AS (SELECT * FROM rules WHERE list_contains(consequents, 'NO_READMIT'))")
 
 
 def outcome_rules(spark, sf):
-    return b.outcome_rules(b.frequent_itemsets(tagged(spark, sf), 0.005, 3), 0.3)
+    return v.stored(spark, sf, "outcome-rules", lambda: b.outcome_rules(b.frequent_itemsets(tagged(spark, sf), 0.005, 5), 0.3))
 
 
 @query("bm05_outcome_rules", v.with_tables(*OUTCOME_SQL, "SELECT array_to_string(antecedents, '|') AS antecedents, 'NO_READMIT' AS consequent, support, confidence, lift, conviction, evidence_count FROM outcome"))

@@ -31,11 +31,11 @@ def staging_load(spark, sf):
     return files.load_staging(rows, shared_folder(spark, "staging"), F.lit(v.AS_OF).cast("timestamp_ntz"))
 
 
-@query("io03_append", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O')")
+@query("io03_append", "SELECT o_orderkey, o_totalprice FROM orders")
 def append(spark, sf):
     path = shared_folder(spark, "append")
     orders = v.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    for status in ("F", "O"):
+    for status in ("F", "O", "P"):
         files.append_rows(orders.filter(F.col("o_orderstatus") == status), path)
     return spark.read.schema(orders.schema).parquet(path).drop("o_orderstatus")
 

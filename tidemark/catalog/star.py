@@ -8,6 +8,9 @@ from tidemark.catalog import query
 from tidemark.catalog import views as v
 from tidemark.plans import marts
 from tidemark.plans import star as s
+from tidemark.plans.daily import run_daily
+from tidemark.session import shared_folder
+from tidemark.sources.literals import benchmark_rates
 
 TRACKED = ["age_group", "gender", "insurance_category", "comorbidity_count"]
 
@@ -132,3 +135,19 @@ def surrogate_keys(spark, sf):
  FROM stg_admissions JOIN stg_patients USING (patient_id) JOIN nation ON n_name = department JOIN region ON n_regionkey = r_regionkey GROUP BY n_name, r_name, n_regionkey, 3, 4, 5, 6"""))
 def department_month_view(spark, sf):
     return marts.department_month_view(facts(spark, sf), departments(spark, sf), dates(spark, sf)).drop("department_key")
+
+
+@query("ss10_daily_two_days", v.with_tables(*v.ADMISSION_TABLES, *v.PATIENT_TABLES, """SELECT admission_id, patient_id, CAST(n_nationkey AS BIGINT) AS department_key, CAST(admit_date_key AS BIGINT) AS admit_date_key, CAST(total_charges AS DOUBLE) AS total_cost_usd
+ FROM stg_admissions JOIN stg_patients USING (patient_id) LEFT JOIN nation ON n_name = department"""))
+def daily_two_days(spark, sf):
+    """The daily batch over two halves of the orders, one a day into one root, holds what one full load holds."""
+    patients = v.raw_patients(spark, sf).withColumn("full_name", F.col("mrn")).drop("loaded_at")
+    ends = F.when(F.trim("discharge_date") == "", F.col("admission_date")).otherwise(F.col("discharge_date"))
+    stay = F.trim("los_days").try_cast("int")
+    extract = v.raw_admissions(spark, sf).drop("loaded_at").withColumn("discharge_date", ends).filter(stay.isNull() | stay.between(0, 365))
+    root = shared_folder(spark, "daily")
+    for day, half in (("2024-01-14", 0), ("2024-01-15", 1)):
+        raw = {"patients": patients, "admissions": extract.filter(F.col("admission_id").cast("bigint") % 2 == half)}
+        tables = run_daily(raw, root, b"0123456789", F.lit(day).cast("date"), benchmark_rates(spark), departments(spark, sf), min_rows={"patients": 1, "admissions": 1})
+    facts = tables["fact_admissions"].join(tables["features"].select("admission_id"), "admission_id")
+    return facts.join(tables["dim_patient"].select("patient_key"), "patient_key").select("admission_id", "patient_id", "department_key", "admit_date_key", F.col("total_cost_usd").cast("double").alias("total_cost_usd"))

@@ -50,8 +50,8 @@ def incremental_features(spark, sf):
     source, target = shared_folder(spark, "feature-source"), shared_folder(spark, "feature-table")
     rows = v.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
     for part in (0, 1):
-        rows.filter(F.col("o_orderkey") % 2 == part).coalesce(1).write.mode("append").parquet(source)
-    stream = s.read_stream(spark, source, rows, files_per_batch=1)
+        rows.filter(F.col("o_orderkey") % 2 == part).repartition(4).write.mode("append").parquet(source)
+    stream = s.read_stream(spark, source, rows, files_per_batch=4)
     merge = s.append_features(rows, target, "o_orderkey", "day", 90)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{target}/_state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{target}/rows").select("o_orderkey", "day")

@@ -19,6 +19,9 @@ from tidemark.plans.staging import stage_admissions, stage_patients
 from tidemark.session import shared_folder
 
 AS_OF = "2024-01-15"
+ALL_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

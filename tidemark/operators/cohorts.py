@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -26,6 +27,7 @@ CONDITIONS = ["has_diabetes", "has_hypertension", "has_chf", "has_copd", "has_ck
 HIGH_AGE, HIGH_INDEX, HIGH_USE, HIGH_RETURN = 70.0, 4.0, 2.0, 2.0
 COMMON_SHARE = 0.3
 SEED, RANGE = 42, (3, 10)
+QUERIES_AT_ONCE = 200
 EXTRA_NEIGHBOURS = 20
 
 
@@ -137,16 +139,17 @@ def distance(a: Column, b: Column) -> Column:
 
 def similar_entities(
     df: DataFrame, query_ids: Sequence, key: str, vector: str, n: int = 5, outcome: str | None = None, fields: Sequence[str] = (),
-    most_queries: int = 200,
 ) -> DataFrame:
     """Nearest ``n`` other rows of each queried row, nearest first.
 
     With ``outcome`` the nearest ``n`` + 20 are fetched first and rows with a true outcome are then dropped. The queried
-    vectors travel as one small array beside every row; each task keeps its own nearest before the shuffle. The caller
-    names the queries, and asks in several calls beyond ``most_queries``.
+    vectors travel in blocks of ``QUERIES_AT_ONCE`` as one small array beside every row, so that no array grows with the
+    queries; each task keeps its own nearest before the shuffle.
     """
-    if len(query_ids) > most_queries:
-        raise ValueError(f"{len(query_ids)} queries in one call; ask for at most {most_queries} at a time")
+    ids = list(query_ids)
+    if len(ids) > QUERIES_AT_ONCE:
+        blocks = [similar_entities(df, ids[i : i + QUERIES_AT_ONCE], key, vector, n, outcome, fields) for i in range(0, len(ids), QUERIES_AT_ONCE)]
+        return reduce(DataFrame.unionByName, blocks)
     asked = df.filter(F.col(key).isin(list(query_ids))).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).alias("v"))).alias("q"))
     kept = list(dict.fromkeys([*fields, *([outcome] if outcome else [])]))
     spread = df.select(key, vector, *kept).withColumn("_query", F.explode(asked.scalar())).select(

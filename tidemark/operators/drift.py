@@ -16,7 +16,7 @@ LEAST_VALUES = 10
 
 
 def population_stability(
-    baseline: DataFrame, current: DataFrame, value: str, keys: Sequence[str] = (), bins: int = 10, pieces: int = 32
+    baseline: DataFrame, current: DataFrame, value: str, keys: Sequence[str] = (), bins: int = 10, pieces: int | None = None
 ) -> DataFrame:
     """PSI per key over the baseline's quantile bins.
 
@@ -61,7 +61,7 @@ def _severity(psi):
     return F.when(psi > PSI_CRITICAL, "critical").when(psi > PSI_WARN, "warning").otherwise("ok")
 
 
-def prediction_drift(baseline: DataFrame, current: DataFrame, score: str, pieces: int = 32) -> DataFrame:
+def prediction_drift(baseline: DataFrame, current: DataFrame, score: str, pieces: int | None = None) -> DataFrame:
     found = population_stability(baseline, current, score, pieces=pieces)
     return found.select(
         F.lit("prediction_psi").alias("check_name"), F.round("psi", 4).alias("psi"), F.round("baseline_mean", 4).alias("baseline_mean_risk"),
@@ -69,7 +69,7 @@ def prediction_drift(baseline: DataFrame, current: DataFrame, score: str, pieces
     )
 
 
-def feature_drift(baseline: DataFrame, current: DataFrame, features: Sequence[str], least: int = LEAST_VALUES, pieces: int = 32) -> DataFrame:
+def feature_drift(baseline: DataFrame, current: DataFrame, features: Sequence[str], least: int = LEAST_VALUES, pieces: int | None = None) -> DataFrame:
     """PSI of every feature present on both sides with enough values, all in one pass over the two periods."""
     shared = [f for f in features if f in baseline.columns and f in current.columns]
 

@@ -83,12 +83,9 @@ def admission_features(
     )
 
 
-def category_values(df: DataFrame, column: str, limit: int = 1000) -> list[str]:
-    """Sorted distinct values of a category column; more than ``limit`` is an error, not a cut."""
-    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(values) > limit:
-        raise ValueError(f"{column} has more than {limit} values; it is not a category")
-    return sorted(values)
+def category_values(df: DataFrame, column: str) -> list[str]:
+    """Sorted distinct values of a category column. Each becomes a column of ``one_hot``, so they are as few as columns are."""
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
 
 
 def one_hot(df: DataFrame, column: str, values: Sequence[str] | None = None) -> DataFrame:
@@ -98,7 +95,7 @@ def one_hot(df: DataFrame, column: str, values: Sequence[str] | None = None) ->
     return df.withColumns(hot).drop(column) if hot else df.drop(column)
 
 
-def fill_with_median(df: DataFrame, columns: Sequence[str], pieces: int = 32) -> DataFrame:
+def fill_with_median(df: DataFrame, columns: Sequence[str], pieces: int | None = None) -> DataFrame:
     """Replace NULLs by the exact median of their column; the medians of all columns come from one ordered pass."""
     tall = df.select(
         F.inline(F.array(*[F.struct(F.lit(name).alias("_name"), F.col(name).cast("double").alias("_value")) for name in columns]))

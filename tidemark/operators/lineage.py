@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per table with its row count."""
@@ -51,26 +53,20 @@ def lineage_nodes(edges: DataFrame, tables: Mapping[str, DataFrame]) -> DataFram
     return nodes.join(row_counts(tables).withColumnRenamed("table_name", "node"), "node", "left")
 
 
-def lineage_paths(edges: DataFrame, longest: int = 20) -> DataFrame:
+def lineage_paths(edges: DataFrame) -> DataFrame:
     """All (ancestor, descendant, hops) pairs of the lineage graph with the fewest hops, by repeated joins.
 
-    Each round extends only the pairs found new in the round before, until none are new. A lineage graph has as many
-    nodes as a warehouse has tables; the loop ends after its longest path.
+    Each round puts known paths end to end, so the longest path doubles until no pair is new or shorter; cycles end too. A
+    lineage graph has as many nodes as a warehouse has tables.
     """
-    from tidemark.session import shared_folder
-
-    spark = edges.sparkSession
-    step = edges.select(F.col("source").alias("_from"), F.col("target").alias("_to")).distinct()
-    known = step.select(F.col("_from").alias("ancestor"), F.col("_to").alias("descendant"), F.lit(1).alias("hops"))
-    frontier = known
-    for hop in range(2, longest + 1):
-        further = frontier.join(step, frontier.descendant == step._from).select(
-            "ancestor", F.col("_to").alias("descendant"), F.lit(hop).alias("hops")
-        ).distinct()
-        path = shared_folder(spark, f"lineage-{hop}")
-        further.join(known, ["ancestor", "descendant"], "left_anti").select("ancestor", "descendant", "hops").write.parquet(path)
-        frontier = spark.read.schema("ancestor string, descendant string, hops int").parquet(path)
-        if frontier.isEmpty():
-            break
-        known = known.unionByName(frontier)
-    return known
+    known = edges.select(F.col("source").alias("ancestor"), F.col("target").alias("descendant"), F.lit(1).alias("hops")).distinct()
+    state = None
+    while True:
+        known = written(known, "lineage")
+        now = tuple(known.agg(F.count(F.lit(1)), F.sum("hops")).first())
+        if now == state:
+            return known
+        state = now
+        further = known.withColumnsRenamed({"ancestor": "_via", "descendant": "_end", "hops": "_hops"})
+        joined = known.join(further, F.col("descendant") == F.col("_via")).select("ancestor", F.col("_end").alias("descendant"), (F.col("hops") + F.col("_hops")).alias("hops"))
+        known = known.unionByName(joined).groupBy("ancestor", "descendant").agg(F.min("hops").alias("hops"))

@@ -12,10 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import col
-
-# At most this many keys get split points of their own; beyond it one common set serves all keys.
-MOST_KEYED_EDGES = 1000
-
+from tidemark.session import written
 
 def join_on(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equal or both-NULL keys, keeping the left key columns only."""
@@ -27,32 +24,27 @@ def join_on(left: DataFrame, right: DataFrame, names: Sequence[str], how: str =
 
 
 def _cut_into_pieces(level: DataFrame, df: DataFrame, order: str, keys: Sequence[str], pieces: int) -> DataFrame:
-    """Number the value range of every key. The split points are fixed here, once, so that recomputed tasks agree."""
+    """Number the value range of every key. The split points are approximate quantiles; they are written once, as a small
+    table with one row per key, so that recomputed tasks agree on them."""
     shares = [i / pieces for i in range(1, pieces)]
     number = df.select(*keys, F.col(order).cast("double").alias("_value"))
-    summary = number.groupBy(*keys).agg(F.percentile_approx("_value", shares, 1000).alias("_edges"))
-    found = summary.limit(MOST_KEYED_EDGES + 1).collect()
-    if keys and len(found) > MOST_KEYED_EDGES:
-        found = number.agg(F.percentile_approx("_value", shares, 1000).alias("_edges")).collect()
-        keys = []
-    if not keys:
-        edges = sorted(set(found[0]["_edges"] or [])) if found else []
-        piece = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(order).cast("double")))
-        return level.withColumn("_piece", piece if edges else F.lit(0))
-    table = level.sparkSession.createDataFrame(found, summary.schema)
+    edges = written(number.groupBy(*keys).agg(F.percentile_approx("_value", shares, max(1000, 10 * pieces)).alias("_edges")), "split-points")
+    cut = join_on(level, edges, keys, "left") if keys else level.withColumn("_edges", edges.scalar())
     piece = F.size(F.array_distinct(F.filter("_edges", lambda e: e <= F.col(order).cast("double"))))
-    return join_on(level, table, keys, "left").withColumn("_piece", piece).drop("_edges")
+    return cut.withColumn("_piece", F.coalesce(piece, F.lit(0))).drop("_edges")
 
 
 def running_totals(
-    df: DataFrame, order: str, sums: Mapping[str, Column], keys: Sequence[str] = (), pieces: int = 32
+    df: DataFrame, order: str, sums: Mapping[str, Column], keys: Sequence[str] = (), pieces: int | None = None
 ) -> DataFrame:
     """One row per key and distinct ``order`` value with each sum and its running total ``<name>_upto``.
 
-    ``pieces`` split points (a list of that length, from one summary pass) cut the value range so that the ordered
-    step runs in many tasks. ``pieces=1`` skips that for value domains known to be small.
+    ``pieces`` split points (from one summary pass; as many as the session has shuffle partitions, 32 at least, unless
+    given) cut the value range so that the ordered step runs in many tasks. ``pieces=1`` skips that for value domains known
+    to be small.
     """
     keys = list(keys)
+    pieces = pieces or max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     df = df.filter(F.col(order).isNotNull())
     level = df.groupBy(*keys, order).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     if pieces <= 1:
@@ -76,7 +68,7 @@ def running_totals(
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, shares: Sequence[float], keys: Sequence[str] = (), pieces: int = 32,
+    df: DataFrame, value: str, shares: Sequence[float], keys: Sequence[str] = (), pieces: int | None = None,
     name: str = "quantiles",
 ) -> DataFrame:
     """Interpolated quantiles per key as an array, exact on an open value domain, without gathering a group."""

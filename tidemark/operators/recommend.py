@@ -39,8 +39,9 @@ def match_rules(
     """Outcome rules that share at least half of their antecedent with an entity's items, best action first.
 
     Of rules that need the same items only the strongest can be chosen, so the others go first. Matching runs once per
-    distinct item set (entities with the same items share one result) and counts overlaps on two short keys; texts and
-    item lists are added only to the rows that are kept.
+    distinct item set (entities with the same items share one result). A rule of s items of which h must be met has one of
+    its s - h + 1 rarest items in every set that it matches, so only those are joined on, and the overlap is counted on the
+    joined row; texts are added only to the rows that are kept.
     """
     needed = F.array_except("antecedents", F.array(F.lit(SUCCESS_ITEM)))
     weight = F.col("lift") * F.col("confidence") * F.log1p("evidence_count")
@@ -58,17 +59,26 @@ def match_rules(
         {"_set": F.xxhash64("_profile"), "_set2": F.xxhash64(F.lit(1), "_profile")}  # 128 bits name an item set
     )
     sets = keyed.select("_set", "_set2", "_profile").dropDuplicates(["_set", "_set2"])
-    numbers = ["rule_id", F.size("_needed").alias("_size"), "_weight", F.xxhash64("action").alias("_action")]
-    by_item = wanted.select(*numbers, F.explode("_needed").alias("_item"))
-    hits = sets.select("_set", "_set2", F.explode("_profile").alias("_item")).join(by_item, "_item")
-    overlaps = hits.groupBy("_set", "_set2", "rule_id", "_size", "_weight", "_action").agg(F.count(F.lit(1)).alias("_hits"))
-    ratio = F.col("_hits") / F.col("_size")
-    scored = overlaps.filter(ratio >= least_overlap).withColumn("priority_score", F.col("_weight") * ratio)
+    needs = F.greatest(F.lit(1), F.ceil(F.size("_needed") * F.lit(least_overlap) - 1e-9)).cast("int")
+    often = sets.select(F.explode("_profile").alias("_item")).groupBy("_item").agg(F.count(F.lit(1)).alias("_often"))
+    numbers = ["rule_id", F.size("_needed").alias("_size"), "_weight", F.xxhash64("action").alias("_action"), "_needed", needs.alias("_needs")]
+    rarest = wanted.select(*numbers, F.explode("_needed").alias("_item")).join(often, "_item").groupBy(
+        "rule_id", "_size", "_weight", "_action", "_needed", "_needs"
+    ).agg(F.array_sort(F.collect_list(F.struct("_often", "_item"))).alias("_ordered"))
+    # Items that no set has are the rarest of all; the prefix may skip as many others as the overlap may miss.
+    left = F.col("_size") - F.col("_needs") + 1 - (F.col("_size") - F.size("_ordered"))
+    prefix = F.transform(F.slice("_ordered", 1, F.greatest(left, F.lit(0))), lambda x: x["_item"])
+    by_item = rarest.filter(left > 0).withColumn("_prefix", prefix).drop("_ordered").withColumn("_item", F.explode("_prefix"))
+    met = sets.select("_set", "_set2", "_profile", F.explode("_profile").alias("_item")).join(by_item, "_item")
+    once = met.filter(F.array_intersect("_prefix", "_profile")[0] == F.col("_item"))  # a pair may meet at several items
+    ratio = F.size(F.array_intersect("_needed", "_profile")) / F.col("_size")
+    overlaps = once.withColumn("_ratio", ratio).filter(F.col("_ratio") >= least_overlap)
+    scored = overlaps.withColumn("priority_score", F.col("_weight") * F.col("_ratio")).select("_set", "_set2", "rule_id", "_action", "priority_score")
     best = [F.desc("priority_score"), F.asc("rule_id")]
     unique = top_per_group(scored, ["_set", "_set2", "_action"], best, 1).drop("position")
     if n is not None:
         unique = top_per_group(unique, ["_set", "_set2"], best, n).withColumnRenamed("position", "rank")
-    unique = unique.drop("_size", "_weight", "_action", "_hits").join(wanted.drop("_weight"), "rule_id")
+    unique = unique.drop("_action").join(wanted.drop("_weight"), "rule_id")
     matched = F.array_sort(F.array_intersect("_needed", "_profile"))
     shown = F.array_join(F.transform("antecedents_matched", lambda x: F.concat(F.lit("'"), F.replace(x, F.lit("DX:"), F.lit("")), F.lit("'"))), ", ")
     rationale = F.concat(

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
@@ -12,8 +13,9 @@ from tidemark.operators import checks
 from tidemark.operators.features import admission_features, comorbidity_scores
 from tidemark.operators.history import lookback_history
 from tidemark.operators.masking import MASKED_COLUMNS, mask_table
+from tidemark.operators.ranks import latest_per_key
 from tidemark.plans import marts, star
-from tidemark.plans.staging import stage_admissions, stage_patients
+from tidemark.plans.staging import stage_admissions, stage_diagnoses, stage_patients
 from tidemark.session import written
 from tidemark.sources.files import append_rows, load_staging
 
@@ -41,15 +43,35 @@ def quality_rules(patients: DataFrame, admissions: DataFrame) -> DataFrame:
     return found.unionByName(checks.orphan_check(typed, patients, "patient_id", "patient_id", "raw_admissions"))
 
 
+def _known(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The table at a path, or none of its rows where no run has written it."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return like.limit(0)
+
+
+def _collected(rows: DataFrame, path: str, key: str, as_of: Column) -> DataFrame:
+    """Appends today's typed rows to a table and gives the newest version of every key that any day has brought. A run that
+    is repeated appends the same rows again, which changes nothing."""
+    append_rows(rows.withColumn("loaded_on", as_of), path)
+    return latest_per_key(rows.sparkSession.read.parquet(path), [key], [F.desc("loaded_on")]).drop("loaded_on")
+
+
 def run_daily(
     raw: Mapping[str, DataFrame], root: str, key: bytes, as_of: Column, benchmarks: DataFrame, departments: DataFrame,
-    known_patients: DataFrame | None = None, known_facts: DataFrame | None = None, min_rows: Mapping[str, int] = checks.SOURCE_MIN_ROWS,
+    min_rows: Mapping[str, int] = checks.SOURCE_MIN_ROWS, diagnosis_dimension: DataFrame | None = None, procedure_dimension: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Run every step for the extracts ``patients`` and ``admissions``; raises where a gate fails, before any mart.
+    """Run every step for the day's extracts ``patients`` and ``admissions``, and ``diagnoses``, ``procedures`` and
+    ``vitals`` where given; raises where a gate fails, before any mart.
 
-    Each step reads what the step before has written below ``root``, so no step is computed twice and a failed run
-    starts again from the stored tables.
+    All tables live below ``root`` and keep what earlier days have brought: typed rows and new facts are appended, the
+    patient dimension keeps its history, and features, scores and aggregates cover all admissions. A run that is repeated
+    for its day changes nothing.
     """
+    spark = raw["admissions"].sparkSession
     checks.gate(checks.source_requirements(raw, min_rows).select("table_name", F.lit("source").alias("check_name"), F.col("row_count").alias("value"), "check_status"))
     staged = {
         name: load_staging(mask_table(df, MASKED_COLUMNS.get(name, {}), key), f"{root}/staging/{name}", as_of.cast("timestamp_ntz"))
@@ -59,24 +81,50 @@ def run_daily(
     append_rows(results, f"{root}/audit/checks")
     checks.gate(results)
 
-    patients = written(stage_patients(staged["patients"], as_of), "patients")
-    admissions = written(stage_admissions(staged["admissions"]), "admissions")
+    today = stage_patients(staged["patients"], as_of)
+    patients = written(_collected(today, f"{root}/typed/patients", "patient_id", as_of), "patients")
+    admissions = written(_collected(stage_admissions(staged["admissions"]), f"{root}/typed/admissions", "admission_id", as_of), "admissions")
     comorbidity = written(comorbidity_scores(patients), "comorbidity")
     history = written(lookback_history(admissions), "history")
-    dimension = written(star.apply_history(known_patients, patients, "patient_id", TRACKED, as_of), "dimension")
-    facts = written(star.admission_facts(admissions, dimension, departments, existing=known_facts), "facts")
+    known = _known(spark, f"{root}/dim_patient", today)
+    dimension = written(star.apply_history(known if "row_hash" in known.columns else None, written(today, "today"), "patient_id", TRACKED, as_of), "dimension")
+    star.refresh({"dim_patient": dimension}, root)
+
+    children = {name: staged.get(name) for name in ("procedures", "vitals")}
+    children["diagnoses"] = stage_diagnoses(staged["diagnoses"], diagnosis_dimension) if "diagnoses" in staged and diagnosis_dimension is not None else None
+    fresh = star.admission_facts(admissions, dimension, departments, diagnoses=children["diagnoses"], diagnosis_dimension=diagnosis_dimension)
+    loaded = _known(spark, f"{root}/fact_admissions", fresh)
+    append_rows(written(star.insert_if_absent(loaded, fresh, ["admission_id"]), "new-facts"), f"{root}/fact_admissions")
+    facts = spark.read.parquet(f"{root}/fact_admissions")
+
+    def load_new(rows: DataFrame, name: str, keys: list[str]) -> None:
+        append_rows(written(star.insert_if_absent(_known(spark, f"{root}/{name}", rows), rows, keys), name), f"{root}/{name}")
+
+    if children["diagnoses"] is not None:
+        load_new(star.bridge(children["diagnoses"], facts, diagnosis_dimension, "icd10_code", "diagnosis_key"), "bridge_diagnoses", ["admission_key", "diagnosis_key"])
+    if children["procedures"] is not None and procedure_dimension is not None:
+        load_new(star.bridge(children["procedures"], facts, procedure_dimension, "cpt_code", "procedure_key"), "bridge_procedures", ["admission_key", "procedure_key"])
+    if children["vitals"] is not None:
+        measures = [c for c in children["vitals"].columns if c not in ("vital_id", "admission_id", "recorded_at", "loaded_at")]
+        load_new(star.vital_facts(children["vitals"], facts, measures), "fact_vitals", ["vital_id"])
+
     features = written(admission_features(admissions, patients, history, comorbidity), "features")
     scores = features.select("admission_id", "patient_id", F.round(scoring.heuristic_score(), 4).alias("risk_score")).withColumns(
-        {"risk_tier": scoring.risk_tier("risk_score"), "predicted_at": as_of.cast("timestamp_ntz")}
+        {
+            "risk_tier": scoring.risk_tier("risk_score"), "predicted_at": as_of.cast("timestamp_ntz"), "prediction_id": F.col("admission_id"),
+            "model_name": F.lit("heuristic"), "model_version": F.lit("1"), "clinician_reviewed": F.lit(False), "actual_outcome": F.lit(None).cast("boolean"),
+        }
     )
     tables = {
-        "dim_patient": dimension,
-        "fact_admissions": facts,
         "features": features,
         "predictions": scores,
         "department_performance": marts.department_performance(admissions, benchmarks),
         "dashboard": marts.dashboard(admissions, patients, comorbidity, history),
         "risk_cohorts": marts.patient_risk_cohorts(admissions, patients, comorbidity, history),
+        "stay_by_category_and_payer": marts.stay_by_category_and_payer(admissions.join(patients.select("patient_id", "insurance_category"), "patient_id"), ["department", "insurance_category"]),
+        "score_distribution": marts.score_distribution(scores),
+        "high_risk": marts.high_risk_list(scores, admissions, patients.drop("loaded_at"), as_of),
     }
     star.refresh(tables, root)
-    return {name: frame.sparkSession.read.parquet(f"{root}/{name}") for name, frame in tables.items()}
+    names = ["dim_patient", "fact_admissions", *tables]
+    return {name: spark.read.parquet(f"{root}/{name}") for name in names}

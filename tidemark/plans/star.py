@@ -51,9 +51,9 @@ def date_dimension(days: DataFrame, date: str = "full_date") -> DataFrame:
     )
 
 
-def surrogate_key(*columns: str) -> Column:
-    """Stable key from the business key; the same on every run and in every task."""
-    return F.xxhash64(*columns)
+def surrogate_key(*columns: str | Column) -> Column:
+    """Stable key of 128 bits from the business key, as hexadecimal text; the same on every run and in every task."""
+    return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
 
 
 def row_hash(columns: Sequence[str]) -> Column:
@@ -89,7 +89,7 @@ def apply_history(
         (~changed).alias("is_current"),
     )
     add = F.struct(
-        F.xxhash64(F.col("_new_key"), as_of).alias(key_column), F.col("_new_key").alias(key),
+        surrogate_key(F.col("_new_key").alias(key), as_of.alias("effective_date")).alias(key_column), F.col("_new_key").alias(key),
         *[F.col(f"new.{c}").alias(c) for c in [*tracked, "row_hash"]],
         as_of.alias("effective_date"), F.lit(OPEN_END).cast("date").alias("expiry_date"), F.lit(True).alias("is_current"),
     )
@@ -107,7 +107,9 @@ def admission_facts(
     facts = admissions.join(current, "patient_id")
     facts = lookup_key(facts, departments, "department", "department_name", "department_key")
     if diagnoses is not None and diagnosis_dimension is not None:
-        primary = diagnoses.filter(F.col("diagnosis_type") == "Primary").select("admission_id", F.col("icd10_code").alias("_code"))
+        primary = latest_per_key(
+            diagnoses.filter(F.col("diagnosis_type") == "Primary"), ["admission_id"], [F.asc_nulls_last("sequence_number"), F.asc("icd10_code")]
+        ).select("admission_id", F.col("icd10_code").alias("_code"))
         facts = facts.join(primary, "admission_id", "left")
         facts = lookup_key(facts, diagnosis_dimension, "_code", "icd10_code", "diagnosis_key").drop("_code")
         facts = facts.withColumnRenamed("diagnosis_key", "primary_diagnosis_key")

@@ -48,30 +48,43 @@ def windowed_counts(events: DataFrame, label: str, ts: str, window: str = "1 hou
     )
 
 
-def score_spike_stream(scores: DataFrame, entity: str = "patient_id", at: str = "predicted_at", score: str = "risk_score", hours: int = SPIKE_HOURS, delta: float = SPIKE_DELTA) -> DataFrame:
-    """Scores that rose by ``delta`` over the entity's last score within some hours; the last score is the state.
-
-    Each call sees one entity's rows of one micro-batch, whose size the source's ``maxFilesPerTrigger`` or
-    ``maxBytesPerTrigger`` bounds.
+def score_spike_stream(
+    scores: DataFrame, entity: str = "patient_id", at: str = "predicted_at", score: str = "risk_score", hours: int = SPIKE_HOURS, delta: float = SPIKE_DELTA,
+    lateness: str = "1 day",
+) -> DataFrame:
+    """Scores that rose by ``delta`` over the entity's score before within some hours.
+
+    The state is the entity's last score by its own time; it takes its place among the rows of a micro-batch, so a late row
+    is compared with what came before it as far as that is known, never with a later score. Rows later than ``lateness``
+    are dropped, and a state is dropped once no row can be within ``hours`` of it. Each call sees one entity's rows of one
+    micro-batch, whose size the source's ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bounds.
     """
     rows = scores.select(F.col(entity).cast("string").alias("entity"), F.col(at).cast("timestamp").alias("at"), F.col(score).cast("double").alias("score"))
+    window = pd.Timedelta(hours=hours)
 
     def spikes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["at", "score"], kind="stable")
-        last_at, last_score = state.get if state.exists else (None, None)
-        previous_at, previous = rows["at"].shift(1), rows["score"].shift(1)
-        if last_at is not None:
-            previous_at.iloc[0], previous.iloc[0] = pd.Timestamp(last_at, unit="us", tz=rows["at"].dt.tz), last_score
-        rows = rows.assign(previous=previous, delta=rows["score"] - previous)
-        near = (rows["at"] - previous_at) <= pd.Timedelta(hours=hours)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).assign(fresh=True)
+        if state.exists:
+            last_at, last_score = state.get
+            known = pd.DataFrame({"entity": [key[0]], "at": [pd.Timestamp(last_at, unit="us", tz=rows["at"].dt.tz)], "score": [last_score], "fresh": [False]})
+            rows = pd.concat([known.astype({"at": rows["at"].dtype}), rows])
+        rows = rows.sort_values(["at", "score"], kind="stable")
+        rows["previous"] = rows["score"].shift(1)
+        rows["delta"] = rows["score"] - rows["previous"]
+        near = (rows["at"] - rows["at"].shift(1)) <= window
         newest = rows.iloc[-1]
-        if last_at is None or newest["at"].value // 1000 >= last_at:
-            state.update((newest["at"].value // 1000, float(newest["score"])))
-        yield rows[near & (rows["delta"] >= delta)][["entity", "at", "previous", "score", "delta"]]
+        newest_us = newest["at"].value // 1000
+        state.update((newest_us, float(newest["score"])))
+        until = (newest["at"] + window).value // 1_000_000
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        yield rows[rows["fresh"] & near & (rows["delta"] >= delta)][["entity", "at", "previous", "score", "delta"]]
 
-    return rows.groupBy("entity").applyInPandasWithState(
+    return rows.withWatermark("at", lateness).groupBy("entity").applyInPandasWithState(
         spikes, "entity string, at timestamp, previous double, score double, delta double", "at long, score double", "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
