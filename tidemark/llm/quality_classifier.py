@@ -4,7 +4,8 @@ Each word gives a hashed feature for itself and for its character n-grams, the w
 repeats the word before. A document is the mean of its features' learned vectors; a linear layer and a softmax over the two labels give the score. Only the text is an input.
 
 Training takes a bounded sample: at most ``max_rows`` labelled documents that aren't held out, chosen by hash of the id. Their
-feature counts (at most ``BUCKETS`` entries a document) are made by tasks and collected; the model has a fixed size. Scoring
+feature counts (at most ``BUCKETS`` entries a document) are made by tasks and meet in one task, which descends; the driver
+gets the model, which has a fixed size. Scoring
 covers all rows: a linear layer over a mean is a mean of numbers, so the model is sent as one number per bucket, in one
 broadcast of fixed size, and the numbers of words are kept in a bounded cache. No shuffle of texts, so hot sources and copies
 don't matter.
@@ -56,19 +57,15 @@ def is_held_out(doc_id: Column) -> Column:
 
 @dataclass
 class QualityModel:
-    """Feature vectors, the output layer's weights by label and its biases."""
+    """What a feature adds to label 1's logit less label 0's, before the mean is taken, and the bias between the two."""
 
-    vectors: np.ndarray
-    weights: np.ndarray
-    bias: np.ndarray
-
-    def by_bucket(self) -> np.ndarray:
-        """What a feature adds to label 1's logit less label 0's, before the mean is taken."""
-        return self.vectors @ (self.weights[:, 1] - self.weights[:, 0])
+    by_bucket: np.ndarray
+    bias: float
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, dimensions: int = DIMENSIONS, rate: float = RATE, seed: int = SEED) -> QualityModel:
-    """Descends document by document over (buckets, counts, label); the rate falls in a line to nothing."""
+    """Learns vectors, weights and biases, document by document over (buckets, counts, label); the rate falls in a line to
+    nothing. As nothing but the difference of the two logits is used, the model is folded to that."""
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / dimensions, 1 / dimensions, (BUCKETS, dimensions)).astype(np.float32)
     weights, bias = np.zeros((dimensions, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
@@ -88,7 +85,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS,
             weights -= now * np.outer(hidden, wrong)
             bias -= now * wrong
             vectors[buckets] -= now * len(buckets) ** 0.5 * shares[:, None] * back
-    return QualityModel(vectors, weights, bias)
+    return QualityModel((vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **settings) -> QualityModel:
@@ -113,9 +110,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **settings
                 counts.append(total[found].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())], names=["o", "label", "buckets", "counts"])
 
-    counted = texts.select("__order", "__label", "__text").mapInArrow(run, "o string, label int, buckets binary, counts binary").collect()
-    rows = [(np.frombuffer(r.buckets, "<u4"), np.frombuffer(r.counts, "<u4"), r.label) for r in sorted(counted, key=lambda r: r.o)]
-    return train(rows, **settings)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            for label, buckets, counts in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                rows.append((np.frombuffer(buckets, "<u4"), np.frombuffer(counts, "<u4"), label))
+        model = train(rows, **settings)
+        yield pa.RecordBatch.from_arrays([pa.array([model.by_bucket.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["by_bucket", "bias"])
+
+    counted = texts.select("__order", "__label", "__text").mapInArrow(run, "o string, label int, buckets binary, counts binary")
+    learned = counted.repartition(1).sortWithinPartitions("o").mapInArrow(learn, "by_bucket binary, bias double").first()
+    if learned is None:
+        return train([], **settings)
+    return QualityModel(np.frombuffer(learned.by_bucket, dtype=np.float64), learned.bias)
 
 
 def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -126,7 +133,7 @@ def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 def _with_scores(given: DataFrame, model: QualityModel, kept: str) -> DataFrame:
     """All columns of ``given`` but the last, its text, with score and predicted."""
-    sent = given.sparkSession.sparkContext.broadcast((model.by_bucket().astype(np.float64), float(model.bias[1] - model.bias[0])))
+    sent = given.sparkSession.sparkContext.broadcast((model.by_bucket, model.bias))
     names = [*given.columns[:-1], "score", "predicted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
