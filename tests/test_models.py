@@ -157,8 +157,8 @@ def test_clusters_and_neighbours(spark):
         got = near.filter(F.col("query_id") == q).orderBy("similarity_distance").collect()
         assert [x["id"] for x in got] == want and got[0]["similarity_distance"] == round(d[want[0]], 4)
     assert {(x["query_id"], x["cohort_name"]) for x in cohorts.neighbour_cohort(near, "g").collect()} == {(5, "g0"), (50, "g1")}
-    with pytest.raises(ValueError):
-        cohorts.similar_entities(df, list(range(300)), "id", "v")
+    many = cohorts.similar_entities(df.filter("id < 30"), [*range(30), *range(1000, 1300)], "id", "v", 2)
+    assert many.groupBy("query_id").count().agg(F.min("count"), F.max("count"), F.count("*")).first()[:] == (2, 2, 30)
 
 
 def test_standardised_constant_column(spark):
@@ -208,6 +208,29 @@ def test_streams_over_several_batches(spark):
     assert [(x["entity"], x["previous"], x["score"]) for x in found] == [("p", 0.2, 0.5)]
 
 
+def test_late_scores_give_no_false_spikes(spark):
+    """A row four days older than the known score isn't compared with it; a row after both is compared with the newer one."""
+    folder = shared_folder(spark, "test-late")
+    data = [(1, "p", "2024-01-10 00:00:00", 0.2), (2, "p", "2024-01-06 00:00:00", 0.9), (3, "p", "2024-01-09 23:00:00", 0.8), (3, "p", "2024-01-10 01:00:00", 0.5), (4, "p", "2024-01-20 00:00:00", 0.1), (5, "p", "2024-01-20 01:00:00", 0.9)]
+    rows = spark.createDataFrame(data, "n int, patient_id string, predicted_at string, risk_score double").withColumn("predicted_at", F.col("predicted_at").cast("timestamp_ntz"))
+    for n in (1, 2, 3, 4, 5):
+        rows.filter(F.col("n") == n).coalesce(1).write.mode("append").parquet(folder)
+    stream = streams.read_stream(spark, folder, rows, files_per_batch=1)
+    found = streams.run_to_end(streams.score_spike_stream(stream), "test-late").collect()
+    assert [(x["previous"], x["score"]) for x in sorted(found, key=lambda x: x["at"])] == [(0.2, 0.5), (0.1, 0.9)]
+
+
+def test_folds_hold_equal_shares_of_each_class(spark):
+    rows = spark.range(1003).select("id", (F.col("id") % 97 == 0).cast("double").alias("y"))
+    folds = model.with_folds(rows, "id", "y", 5)
+    counts = {(r["y"], r["fold"]): r["n"] for r in folds.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for y in (0.0, 1.0):
+        sizes = [counts[y, fold] for fold in range(5)]
+        assert max(sizes) - min(sizes) <= 1
+    again = model.with_folds(rows.repartition(7), "id", "y", 5)
+    assert folds.exceptAll(again).count() == 0 and folds.columns == ["id", "y", "fold"]
+
+
 def test_incremental_features_over_batches(spark, tmp_path):
     rows = lambda data: spark.createDataFrame(data, "k int, d string, v string").withColumn("d", F.to_date("d"))
     batches = [
