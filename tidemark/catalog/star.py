@@ -11,6 +11,7 @@ from tidemark.plans import star as s
 from tidemark.plans.daily import run_daily
 from tidemark.session import shared_folder
 from tidemark.sources.literals import benchmark_rates
+from tidemark.sources.literals import dispositions as literal_dispositions
 
 TRACKED = ["age_group", "gender", "insurance_category", "comorbidity_count"]
 
@@ -88,13 +89,40 @@ def vital_facts(spark, sf):
     return s.vital_facts(vitals, facts(spark, sf), ["heart_rate"], key="event_id").select("event_id", "date_key", "heart_rate", "hours_since_admit")
 
 
-@query("ss06_full_view", v.with_tables(*v.ADMISSION_TABLES, *v.PATIENT_TABLES, DATES, """SELECT admission_id, p.patient_id, p.age_group, p.insurance_category, strftime(a.full_date, '%Y-%m-%d') AS admit_date, a.day_name AS admit_day_name, a.is_weekend AS admitted_on_weekend, strftime(d.full_date, '%Y-%m-%d') AS discharge_date, n_name AS department_name, readmit_30day_flag
- FROM stg_admissions s JOIN stg_patients p USING (patient_id) JOIN dates a ON a.date_key = admit_date_key LEFT JOIN dates d ON d.date_key = discharge_date_key LEFT JOIN nation ON n_name = department"""))
+def diagnosis_dimension(spark, sf):
+    brands = v.table(spark, sf, "part").select(F.col("p_brand").alias("icd10_code"), F.substring("p_brand", 1, 7).alias("diagnosis_category")).distinct()
+    return brands.withColumn("diagnosis_key", s.surrogate_key("icd10_code"))
+
+
+def disposition_dimension(spark):
+    return literal_dispositions(spark).select("disposition_code", "disposition_name", F.col("disposition_code").alias("disposition_key"))
+
+
+def full_facts(spark, sf):
+    """Facts with the brand of an order's first line as the primary diagnosis."""
+    part = v.table(spark, sf, "part")
+    diagnoses = v.table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").cast("string").alias("admission_id"), F.col("p_brand").alias("icd10_code"), F.lit("Primary").alias("diagnosis_type"), F.col("l_linenumber").alias("sequence_number")
+    )
+    return s.admission_facts(
+        v.admissions(spark, sf), patient_dimension(spark, sf), departments(spark, sf), diagnoses, diagnosis_dimension(spark, sf), disposition_dimension(spark)
+    )
+
+
+EXTRAS = """pd AS (SELECT CAST(l_orderkey AS VARCHAR) AS admission_id, arg_min(p_brand, lpad(CAST(l_linenumber AS VARCHAR), 9, '0') || p_brand) AS primary_code FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+ dp(disposition_code, label) AS (VALUES ('01', 'Home'), ('03', 'Skilled Nursing Facility'), ('20', 'Expired'))"""
+
+
+@query("ss06_full_view", v.with_tables(*v.ADMISSION_TABLES, *v.PATIENT_TABLES, DATES, EXTRAS, """SELECT admission_id, p.patient_id, p.age_group, p.insurance_category, strftime(a.full_date, '%Y-%m-%d') AS admit_date, a.day_name AS admit_day_name, a.is_weekend AS admitted_on_weekend, strftime(d.full_date, '%Y-%m-%d') AS discharge_date, n_name AS department_name, readmit_30day_flag,
+ primary_code, left(primary_code, 7) AS diagnosis_category, disposition_code
+ FROM stg_admissions s JOIN stg_patients p USING (patient_id) JOIN dates a ON a.date_key = admit_date_key LEFT JOIN dates d ON d.date_key = discharge_date_key LEFT JOIN nation ON n_name = department LEFT JOIN pd USING (admission_id) LEFT JOIN dp ON lower(label) = lower(discharge_disposition)"""))
 def full_view(spark, sf):
-    found = s.full_view(facts(spark, sf), patient_dimension(spark, sf), dates(spark, sf), departments(spark, sf))
+    found = s.full_view(
+        full_facts(spark, sf), patient_dimension(spark, sf), dates(spark, sf), departments(spark, sf), diagnosis_dimension(spark, sf), disposition_dimension(spark)
+    )
     return found.select(
         "admission_id", "patient_id", "age_group", "insurance_category", "admit_date", "admit_day_name", "admitted_on_weekend",
-        "discharge_date", "department_name", "readmit_30day_flag",
+        "discharge_date", "department_name", "readmit_30day_flag", F.col("icd10_code").alias("primary_code"), "diagnosis_category", "disposition_code",
     )
 
 
@@ -106,11 +134,13 @@ def high_risk_list(spark, sf):
     return found.select("admission_id", "patient_id", "department", "age_group", "risk_score", "risk_tier")
 
 
-@query("ss07_current_high_risk_with_ties", v.with_tables(*v.ADMISSION_TABLES, *v.PATIENT_TABLES, v.SCORES, """SELECT prediction_id, admission_id, patient_id, CAST(risk_score AS DOUBLE) AS risk_score FROM (SELECT *, rank() OVER (PARTITION BY admission_id ORDER BY predicted_at DESC) AS r FROM scores) s
- JOIN (SELECT admission_id, patient_id FROM stg_admissions JOIN stg_patients USING (patient_id)) a USING (admission_id) WHERE r = 1 AND risk_tier IN ('high', 'critical')""").replace("s.patient_id", "patient_id").replace("SELECT prediction_id, admission_id, patient_id,", "SELECT prediction_id, admission_id, a.patient_id,"))
+@query("ss07_current_high_risk_with_ties", v.with_tables(*v.ADMISSION_TABLES, *v.PATIENT_TABLES, v.SCORES, EXTRAS, """SELECT prediction_id, admission_id, a.patient_id, CAST(risk_score AS DOUBLE) AS risk_score, primary_code, disposition_code FROM (SELECT *, rank() OVER (PARTITION BY admission_id ORDER BY predicted_at DESC) AS r FROM scores) s
+ JOIN (SELECT admission_id, patient_id, discharge_disposition FROM stg_admissions JOIN stg_patients USING (patient_id)) a USING (admission_id) LEFT JOIN pd USING (admission_id) LEFT JOIN dp ON lower(label) = lower(discharge_disposition) WHERE r = 1 AND risk_tier IN ('high', 'critical')"""))
 def current_high_risk(spark, sf):
-    found = s.current_high_risk(v.scores(spark, sf), facts(spark, sf).drop("patient_id"), patient_dimension(spark, sf))
-    return found.select("prediction_id", "admission_id", "patient_id", "risk_score")
+    found = s.current_high_risk(
+        v.scores(spark, sf), full_facts(spark, sf).drop("patient_id"), patient_dimension(spark, sf), diagnosis_dimension(spark, sf), disposition_dimension(spark)
+    )
+    return found.select("prediction_id", "admission_id", "patient_id", "risk_score", F.col("icd10_code").alias("primary_code"), "disposition_code")
 
 
 @query("ss08_incremental_merge", """SELECT o_orderkey, CASE WHEN o_orderdate > (SELECT max(o_orderdate) FROM orders WHERE o_orderkey % 2 = 0) - INTERVAL 30 DAY AND o_orderkey % 3 <> 0 THEN 'new' ELSE 'old' END AS origin FROM orders

@@ -140,8 +140,21 @@ def vital_facts(vitals: DataFrame, facts: DataFrame, measures: Sequence[str], re
     )
 
 
-def full_view(facts: DataFrame, patients: DataFrame, dates: DataFrame, departments: DataFrame) -> DataFrame:
-    """Every admission with its current patient row, both calendar roles and the department."""
+def with_diagnosis_and_disposition(facts: DataFrame, diagnoses: DataFrame | None, dispositions: DataFrame | None) -> DataFrame:
+    """Adds the primary diagnosis (by ``diagnosis_key``) and the disposition (by ``disposition_key``) of facts that have
+    their keys; facts without one keep NULLs."""
+    if diagnoses is not None:
+        facts = facts.join(diagnoses.withColumnRenamed("diagnosis_key", "primary_diagnosis_key"), "primary_diagnosis_key", "left")
+    if dispositions is not None:
+        facts = facts.join(dispositions, "disposition_key", "left")
+    return facts
+
+
+def full_view(
+    facts: DataFrame, patients: DataFrame, dates: DataFrame, departments: DataFrame, diagnoses: DataFrame | None = None, dispositions: DataFrame | None = None
+) -> DataFrame:
+    """Every admission with its current patient row, both calendar roles, the department, the primary diagnosis and the
+    disposition."""
     admit = dates.select(
         F.col("date_key").alias("admit_date_key"), F.col("full_date").alias("admit_date"), F.col("year").alias("admit_year"),
         F.col("quarter").alias("admit_quarter"), F.col("month").alias("admit_month"), F.col("day_name").alias("admit_day_name"),
@@ -149,16 +162,19 @@ def full_view(facts: DataFrame, patients: DataFrame, dates: DataFrame, departmen
     )
     left = dates.select(F.col("date_key").alias("discharge_date_key"), F.col("full_date").alias("discharge_date"))
     drop = [c for c in ("admission_date", "discharge_date", "department", "patient_id") if c in facts.columns]
-    return (
+    view = (
         facts.drop(*drop).join(patients.filter("is_current"), "patient_key").join(admit, "admit_date_key")
         .join(left, "discharge_date_key", "left").join(departments, "department_key", "left")
     )
+    return with_diagnosis_and_disposition(view, diagnoses, dispositions)
 
 
-def current_high_risk(scores: DataFrame, facts: DataFrame, patients: DataFrame) -> DataFrame:
-    """High and critical rows whose prediction time is the newest of their admission; ties are kept."""
+def current_high_risk(scores: DataFrame, facts: DataFrame, patients: DataFrame, diagnoses: DataFrame | None = None, dispositions: DataFrame | None = None) -> DataFrame:
+    """High and critical rows whose prediction time is the newest of their admission, with diagnosis and disposition; ties
+    are kept."""
     newest = latest_with_ties(scores, "admission_id", "predicted_at")
     high = newest.filter(F.col("risk_tier").isin("high", "critical")).drop("patient_id")
+    facts = with_diagnosis_and_disposition(facts, diagnoses, dispositions)
     return high.join(facts, "admission_id").join(patients.filter("is_current"), "patient_key").orderBy(F.desc("risk_score"))
 
 
