@@ -13,7 +13,7 @@ CHUNKS = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^{_BLANK}.,;:!?])| ?[^{_BLA
 #: A chunk that is a single match of the pattern for sure.
 LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Chunks kept in each of two generations; characters of text that are encoded together.
-CACHED, TOGETHER = 500_000, 3_000_000
+CACHED, TOGETHER = 400_000, 3_000_000
 
 
 class ChunkEncoder:
