@@ -35,7 +35,7 @@ def explained(spark, sf):
 
 @query("cl03_best_k_clusters")
 def best_k(spark, sf):
-    model, scores = c.fit_clusters(embeddings(spark, sf), "vector", (3, 5))
+    model, scores = c.fit_clusters(embeddings(spark, sf), "vector", (3, 10))
     sizes = c.assign_clusters(model, embeddings(spark, sf), "vector").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
     best = scores.agg(F.max("silhouette").alias("s")).scalar()
     return sizes.withColumn("best_silhouette", best)

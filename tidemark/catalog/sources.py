@@ -62,7 +62,7 @@ def stored_rules(spark, sf):
 @query("io07_cluster_assignments")
 def assignments(spark, sf):
     rows = v.table(spark, sf, "embeddings").withColumn("vector", F.col("embedding").cast("array<double>"))
-    model, _ = c.fit_clusters(rows, "vector", (3, 3))
+    model, _ = c.fit_clusters(rows, "vector", (3, 10))
     placed = c.project(c.assign_clusters(model, rows, "vector"), "vector").withColumns({"x": F.col("projected")[0], "y": F.col("projected")[1]})
     return files.write_assignments(placed, shared_folder(spark, "clusters"), "vec_id", ["cluster_id", "x", "y"])
 
