@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -203,6 +204,21 @@ def test_licenses(spark):
     assert {r.licenses for r in license_scans.scanned(documents(spark), {}).collect()} == {""}
 
 
+@pytest.mark.parametrize("width", [1, 20, 40, 50, 72, 80])
+@pytest.mark.parametrize("between", ["\n", "\n\n", "\n \n\n# "])
+def test_licenses_in_lines_of_any_width(width, between):
+    scanner = license_scans.LicenseScanner(TEMPLATES)
+    for name, text in TEMPLATES.items():
+        wrapped = between.join(textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
+        assert [(n, d) for n, _, d in scanner.scan(PROSE + between + wrapped + between + PROSE)] == [(name, 0)], name
+
+
+def test_candidates_over_line_ends_reach_the_scanner(spark):
+    docs = spark.createDataFrame([(1, "All rights\n\nreserved."), (2, "released into the public\n# domain\n" + PROSE)], "doc_id long, text string")
+    found = {r.doc_id: (r.n_blocks, r.licenses) for r in license_scans.scanned(docs).collect()}
+    assert found == {1: (1, "Reserved"), 2: (1, "")}
+
+
 def test_near_groups_of_odd_rows(spark):
     unique = [r for r in rows() if r[0] is not None and r[0] != 14]
     want = near_components([r[:2] for r in unique])

@@ -1,10 +1,11 @@
 """License scans (operator 1) by conditional compression.
 
-Lines with a word that licenses use, and the lines near them, form candidate blocks. Each block is compressed alone and with
-each template as a raw zstandard dictionary; a template that the block repeats saves the most bytes. Templates are ranked by
-that reduction and the winners are confirmed by wording: the block's words are aligned with the template's, and words that
-are missing, or stand between, may be ``MAX_DIFFERENCES`` of a template's words at most. A confirmed passage is taken out
-and the rest of its block is ranked again, so that a block may hold several licenses.
+Words that licenses use, and as many words before and after them as the longest template may have, form candidate blocks;
+blocks that touch are one. Only words count, so neither the width of lines nor blank lines matter. Each block is compressed
+alone and with each template as a raw zstandard dictionary; a template that the block repeats saves the most bytes. Templates
+are ranked by that reduction and the winners are confirmed by wording: the block's words are aligned with the template's, and
+words that are missing, or stand between, may be ``MAX_DIFFERENCES`` of a template's words at most. A confirmed passage is
+taken out and the rest of its block is ranked again, so that a block may hold several licenses.
 
 The JVM tests whole texts for candidate words first, and only texts that have one reach Python, where they were read: no
 shuffle, so hot sources and copies don't matter. Very long blocks are cut into overlapping pieces, so that no part is left
@@ -17,6 +18,8 @@ repeated rows are scanned each; empty tables give no rows; other columns are ign
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import cached_property
@@ -29,10 +32,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table, whole_text
 from tidemark.llm.license_templates import TEMPLATES
 
-#: Words that candidate lines have: fixed values.
-CANDIDATE = "licen[sc]|copyright|permission is hereby|redistribut|rights reserved|public domain|warrant"
-#: Lines taken along on either side of a candidate line; lines between two candidates of a block at most.
-AROUND, GAP = 2, 5
+#: Words that candidate blocks have, on one line or on several: fixed values.
+CANDIDATE = r"licen[sc]|copyright|permission[\W_]+is[\W_]+hereby|redistribut|rights[\W_]+reserved|public[\W_]+domain|warrant"
 MIN_REDUCTION, MAX_DIFFERENCES = 4, 0.1
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
@@ -58,58 +59,78 @@ class LicenseScanner:
     def plain(self) -> zstandard.ZstdCompressor:
         return zstandard.ZstdCompressor(level=9, write_content_size=False)
 
+    @cached_property
+    def counts(self) -> dict[str, Counter]:
+        return {name: Counter(words) for name, words in self.words.items()}
+
     def blocks(self, text: str) -> list[list[tuple[str, bool]]]:
-        """Words of the candidate blocks, each with whether its line lies among candidates and not just around them; of
-        blocks longer than four of the longest template, in overlapping pieces."""
-        lines = text.split("\n")
-        hits = [i for i, line in enumerate(lines) if re.search(CANDIDATE, line, re.IGNORECASE)]
-        runs: list[list[int]] = []
-        for i in hits:
-            if runs and i - runs[-1][1] <= GAP:
-                runs[-1][1] = i
-            else:
-                runs.append([i, i])
+        """Words of the candidate blocks, each with whether its line lies among lines with candidates and not just around
+        them; of blocks longer than four of the longest template, in overlapping pieces."""
+        text = text.lower()
+        found = list(WORD.finditer(text))
+        starts, breaks = [m.start() for m in found], [m.start() for m in re.finditer("\n", text)]
         longest = max(map(len, self.words.values()), default=1)
-        overlap, size = int(longest * (1 + MAX_DIFFERENCES)) + 1, 4 * longest + 4
-        found = []
-        for first, last in runs:
-            near = range(max(0, first - AROUND), min(len(lines), last + AROUND + 1))
-            words = [(word, first <= i <= last) for i in near for word in words_of(lines[i])]
-            for start in range(0, max(1, len(words) - overlap), size - overlap):
-                found.append(words[start : start + size])
-        return found
-
-    def ranked(self, words: list[str]) -> list[tuple[int, str]]:
-        """Templates by how many bytes they save of the block, most first."""
-        block = " ".join(words).encode()
-        alone = len(self.plain.compress(block))
-        saved = [(alone - len(c.compress(block)), name) for name, c in self.compressors.items()]
-        return sorted((x for x in saved if x[0] >= MIN_REDUCTION), key=lambda x: (-x[0], x[1]))
-
-    def differences(self, name: str, words: list[str]) -> tuple[int, int, int]:
-        """Words that differ between a template and the passage of the block that resembles it most, and that passage."""
+        around, size = int(longest * (1 + MAX_DIFFERENCES)) + 1, 4 * longest + 4
+        runs: list[list[int]] = []  # words of the block, and of its lines with candidates
+        for hit in re.finditer(CANDIDATE, text):
+            first, last = bisect_right(starts, hit.start()) - 1, bisect_left(starts, hit.end())
+            before, after = bisect_left(breaks, hit.start()), bisect_left(breaks, hit.end())
+            line = bisect_left(starts, breaks[before - 1]) if before else 0
+            line_end = bisect_left(starts, breaks[after]) if after < len(breaks) else len(starts)
+            low, high = max(0, first - around), min(len(starts), last + around)
+            if runs and low <= runs[-1][1]:
+                runs[-1][1], runs[-1][3] = high, line_end
+            else:
+                runs.append([low, high, line, line_end])
+        pieces = []
+        for low, high, inside, outside in runs:
+            words = [(found[i].group(), inside <= i < outside) for i in range(low, high)]
+            for start in range(0, max(1, len(words) - around), size - around):
+                pieces.append(words[start : start + size])
+        return pieces
+
+    def ranked(self, block: list[tuple[str, bool]]) -> list[tuple[int, str]]:
+        """Templates by how many bytes they save of the block or of its lines with candidates, most first; without those of
+        whose words the block has too few."""
+        has = Counter(word for word, _ in block)
+        fits = [name for name, need in self.counts.items() if (need - has).total() <= MAX_DIFFERENCES * len(self.words[name])]
+        saved: dict[str, int] = {}
+        for words in ([word for word, _ in block], [word for word, inside in block if inside]):
+            given = " ".join(words).encode()
+            alone = len(self.plain.compress(given)) if fits else 0
+            for name in fits:
+                saved[name] = max(saved.get(name, 0), alone - len(self.compressors[name].compress(given)))
+        return sorted(((x, name) for name, x in saved.items() if x >= MIN_REDUCTION), key=lambda x: (-x[0], x[1]))
+
+    def passage(self, name: str, words: list[str]) -> tuple[int, int, int] | None:
+        """Words that differ between a template and the passage of the block that resembles it, and that passage; none if
+        no passage is confirmed. A place that fails is left out and the next one is tried."""
         template = self.words[name]
-        matcher = SequenceMatcher(None, template, words, autojunk=False)
-        core = matcher.find_longest_match()
-        low = max(0, core.b - int(core.a * (1 + MAX_DIFFERENCES)) - 1)
-        high = core.b + core.size + int((len(template) - core.a - core.size) * (1 + MAX_DIFFERENCES)) + 1
-        near = SequenceMatcher(None, template, words[low:high], autojunk=False)
-        matches = [m for m in near.get_matching_blocks() if m.size]
-        if not matches:
-            return len(template), 0, 0
-        first, last = matches[0], matches[-1]
-        same = sum(m.size for m in matches)
-        start, end = low + first.b, low + last.b + last.size
-        return len(template) - same + (end - start) - same, start, end
+        most = int(MAX_DIFFERENCES * len(template))
+        least = -(-(len(template) - most) // (most + 1))  # equal words in a row that any confirmed passage has
+        words = list(words)
+        while True:
+            core = SequenceMatcher(None, template, words, autojunk=False).find_longest_match()
+            if core.size < max(1, least):
+                return None
+            low = max(0, core.b - int(core.a * (1 + MAX_DIFFERENCES)) - 1)
+            high = core.b + core.size + int((len(template) - core.a - core.size) * (1 + MAX_DIFFERENCES)) + 1
+            matches = [m for m in SequenceMatcher(None, template, words[low:high], autojunk=False).get_matching_blocks() if m.size]
+            same = sum(m.size for m in matches)
+            start, end = low + matches[0].b, low + matches[-1].b + matches[-1].size
+            differ = len(template) - same + (end - start) - same
+            if differ <= most:
+                return differ, start, end
+            words[core.b : core.b + core.size] = ["\n"] * core.size
 
     def scan(self, text: str) -> list[tuple[str, int, int]]:
         """(license, reduction, differences) of each confirmed passage, in the text's order of blocks."""
         found = []
         for block in self.blocks(text):
             while block:
-                for reduction, name in self.ranked([word for word, inside in block if inside]):
-                    differ, start, end = self.differences(name, [word for word, _ in block])
-                    if differ <= MAX_DIFFERENCES * len(self.words[name]):
+                for reduction, name in self.ranked(block):
+                    if passage := self.passage(name, [word for word, _ in block]):
+                        differ, start, end = passage
                         found.append((name, reduction, differ))
                         block = block[:start] + [("\n", False)] + block[end:]
                         break
