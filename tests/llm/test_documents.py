@@ -213,6 +213,38 @@ def test_licenses_in_lines_of_any_width(width, between):
         assert [(n, d) for n, _, d in scanner.scan(PROSE + between + wrapped + between + PROSE)] == [(name, 0)], name
 
 
+def test_close_relatives_are_told_apart():
+    scanner = license_scans.LicenseScanner(TEMPLATES)
+    notice = TEMPLATES["GPL-3.0-header"]
+    short = "This work is licensed under the GNU {}General Public License, version {}."
+    disclaimer = ' THIS SOFTWARE IS PROVIDED BY THE AUTHOR AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.'
+    texts = {
+        notice: ["GPL-3.0-header"],
+        notice.replace("GNU General", "GNU Affero General"): ["AGPL-3.0-header"],
+        notice.replace("GNU General", "GNU Lesser General"): ["LGPL-3.0-header"],
+        notice.replace("version 3", "version 2"): ["GPL-2.0-header"],
+        notice.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"): ["LGPL-2.1-header"],
+        notice.replace("GNU General", "GNU Other General"): [],
+        notice.replace("version 3", "version 7"): [],
+        notice.replace("version 3", "version 3.0").replace("This program", "Foo"): ["GPL-3.0-header"],
+        short.format("", "3"): ["GPL-3.0"],
+        short.format("", "2"): ["GPL-2.0"],
+        short.format("", "1"): [],
+        short.format("Affero ", "3"): ["AGPL-3.0"],
+        short.format("Other ", "3"): [],
+        TEMPLATES["Apache-2.0-header"].replace("Apache License", "Educational Community License"): [],
+        TEMPLATES["BSD-3-Clause"] + disclaimer: ["BSD-3-Clause"],
+        TEMPLATES["BSD-clauses"] + disclaimer: ["BSD-2-Clause"],
+        TEMPLATES["BSD-clauses"]: ["BSD-clauses"],
+        "Licensed under CC BY 3.0.": ["CC-BY-3.0"],
+        "Licensed under CC BY-NC-SA 4.0.": ["CC-BY-NC-SA-4.0"],
+    }
+    for text, names in texts.items():
+        assert [f[0] for f in scanner.scan(PROSE + "\n" + text + "\n" + PROSE)] == names, text
+    together = "\n".join([notice.replace("version 3", "version 7"), notice, notice.replace("GNU General", "GNU Affero General")])
+    assert sorted(f[0] for f in scanner.scan(together)) == ["AGPL-3.0-header", "GPL-3.0-header"]
+
+
 def test_candidates_over_line_ends_reach_the_scanner(spark):
     docs = spark.createDataFrame([(1, "All rights\n\nreserved."), (2, "released into the public\n# domain\n" + PROSE)], "doc_id long, text string")
     found = {r.doc_id: (r.n_blocks, r.licenses) for r in license_scans.scanned(docs).collect()}

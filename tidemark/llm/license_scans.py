@@ -3,15 +3,17 @@
 Words that licenses use, and as many words before and after them as the longest template may have, form candidate blocks;
 blocks that touch are one. Only words count, so neither the width of lines nor blank lines matter. Each block is compressed
 alone and with each template as a raw zstandard dictionary; a template that the block repeats saves the most bytes. Templates
-are ranked by that reduction and the winners are confirmed by wording: the block's words are aligned with the template's, and
-words that are missing, or stand between, may be ``MAX_DIFFERENCES`` of a template's words at most. A confirmed passage is
-taken out and the rest of its block is ranked again, so that a block may hold several licenses.
+are ranked by that reduction and confirmed by wording: the block's words are aligned with the template's, and words that are
+missing, or stand between, may be ``MAX_DIFFERENCES`` of a template's words at most, and none of the words of its name and
+version (``REQUIRED``). Of the confirmed templates the one with most equal words less differing ones counts, so that close
+relatives are told apart and a long notice goes before a short one within it. Its passage is taken out and the rest of its
+block is ranked again, so that a block may hold several licenses.
 
 The JVM tests whole texts for candidate words first, and only texts that have one reach Python, where they were read: no
 shuffle, so hot sources and copies don't matter. Very long blocks are cut into overlapping pieces, so that no part is left
 out and the alignment's cost stays bounded.
 
-Defined results: null and empty texts have no candidates; of equal reductions the template that comes first by name wins;
+Defined results: null and empty texts have no candidates; of templates that agree equally well the larger reduction wins, then the first by name;
 repeated rows are scanned each; empty tables give no rows; other columns are ignored.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table, whole_text
-from tidemark.llm.license_templates import TEMPLATES
+from tidemark.llm.license_templates import REQUIRED, TEMPLATES
 
 #: Words that candidate blocks have, on one line or on several: fixed values.
 CANDIDATE = r"licen[sc]|copyright|permission[\W_]+is[\W_]+hereby|redistribut|rights[\W_]+reserved|public[\W_]+domain|warrant"
@@ -50,6 +52,10 @@ class LicenseScanner:
     def words(self) -> dict[str, list[str]]:
         return {name: words_of(text) for name, text in self.templates.items()}
 
+    @cached_property
+    def required(self) -> dict[str, list[re.Pattern]]:
+        return {name: [re.compile(rf"(?<!\S)(?:{x})(?!\S)") for x in REQUIRED.get(name, ())] for name in self.templates}
+
     @cached_property
     def compressors(self) -> dict[str, zstandard.ZstdCompressor]:
         given = {name: zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for name, words in self.words.items()}
@@ -119,7 +125,7 @@ class LicenseScanner:
             same = sum(m.size for m in matches)
             start, end = low + matches[0].b, low + matches[-1].b + matches[-1].size
             differ = len(template) - same + (end - start) - same
-            if differ <= most:
+            if differ <= most and all(x.search(" ".join(words[start:end])) for x in self.required[name]):
                 return differ, start, end
             words[core.b : core.b + core.size] = ["\n"] * core.size
 
@@ -128,14 +134,17 @@ class LicenseScanner:
         found = []
         for block in self.blocks(text):
             while block:
+                confirmed = []
                 for reduction, name in self.ranked(block):
                     if passage := self.passage(name, [word for word, _ in block]):
                         differ, start, end = passage
-                        found.append((name, reduction, differ))
-                        block = block[:start] + [("\n", False)] + block[end:]
-                        break
-                else:
+                        equal = (len(self.words[name]) + end - start - differ) // 2
+                        confirmed.append((equal - differ, reduction, name, differ, start, end))
+                if not confirmed:
                     break
+                _, reduction, name, differ, start, end = max(confirmed, key=lambda x: x[0])  # the first of equals: ranked
+                found.append((name, reduction, differ))
+                block = block[:start] + [("\n", False)] + block[end:]
         return found
 
 
