@@ -245,6 +245,17 @@ def test_close_relatives_are_told_apart():
     assert sorted(f[0] for f in scanner.scan(together)) == ["AGPL-3.0-header", "GPL-3.0-header"]
 
 
+def test_passages_in_two_pieces_count_once():
+    scanner = license_scans.LicenseScanner(TEMPLATES)
+    filler = ("license " + PROSE + " ").split() * 30
+    for name in ("GPL-3.0", "BSD-3-Clause", "MIT"):
+        for at in range(0, len(filler), 23):
+            text = " ".join(filler[:at] + [TEMPLATES[name]] + filler[at:])
+            assert [(n, d) for n, _, d in scanner.scan(text)] == [(name, 0)], (name, at)
+    twice = " ".join(filler + [TEMPLATES["MIT"]] * 2 + filler)
+    assert [f[0] for f in scanner.scan(twice)] == ["MIT", "MIT"]
+
+
 def test_candidates_over_line_ends_reach_the_scanner(spark):
     docs = spark.createDataFrame([(1, "All rights\n\nreserved."), (2, "released into the public\n# domain\n" + PROSE)], "doc_id long, text string")
     found = {r.doc_id: (r.n_blocks, r.licenses) for r in license_scans.scanned(docs).collect()}

@@ -11,7 +11,7 @@ block is ranked again, so that a block may hold several licenses.
 
 The JVM tests whole texts for candidate words first, and only texts that have one reach Python, where they were read: no
 shuffle, so hot sources and copies don't matter. Very long blocks are cut into overlapping pieces, so that no part is left
-out and the alignment's cost stays bounded.
+out and the alignment's cost stays bounded; of passages of two pieces that overlap the one that agrees best counts.
 
 Defined results: null and empty texts have no candidates; of templates that agree equally well the larger reduction wins, then the first by name;
 repeated rows are scanned each; empty tables give no rows; other columns are ignored.
@@ -69,9 +69,9 @@ class LicenseScanner:
     def counts(self) -> dict[str, Counter]:
         return {name: Counter(words) for name, words in self.words.items()}
 
-    def blocks(self, text: str) -> list[list[tuple[str, bool]]]:
+    def blocks(self, text: str) -> list[list[tuple[str, bool, int]]]:
         """Words of the candidate blocks, each with whether its line lies among lines with candidates and not just around
-        them; of blocks longer than four of the longest template, in overlapping pieces."""
+        them, and its number in the text; of blocks longer than four of the longest template, in overlapping pieces."""
         text = text.lower()
         found = list(WORD.finditer(text))
         starts, breaks = [m.start() for m in found], [m.start() for m in re.finditer("\n", text)]
@@ -90,18 +90,18 @@ class LicenseScanner:
                 runs.append([low, high, line, line_end])
         pieces = []
         for low, high, inside, outside in runs:
-            words = [(found[i].group(), inside <= i < outside) for i in range(low, high)]
+            words = [(found[i].group(), inside <= i < outside, i) for i in range(low, high)]
             for start in range(0, max(1, len(words) - around), size - around):
                 pieces.append(words[start : start + size])
         return pieces
 
-    def ranked(self, block: list[tuple[str, bool]]) -> list[tuple[int, str]]:
+    def ranked(self, block: list[tuple[str, bool, int]]) -> list[tuple[int, str]]:
         """Templates by how many bytes they save of the block or of its lines with candidates, most first; without those of
         whose words the block has too few."""
-        has = Counter(word for word, _ in block)
+        has = Counter(word for word, _, _ in block)
         fits = [name for name, need in self.counts.items() if (need - has).total() <= MAX_DIFFERENCES * len(self.words[name])]
         saved: dict[str, int] = {}
-        for words in ([word for word, _ in block], [word for word, inside in block if inside]):
+        for words in ([word for word, _, _ in block], [word for word, inside, _ in block if inside]):
             given = " ".join(words).encode()
             alone = len(self.plain.compress(given)) if fits else 0
             for name in fits:
@@ -130,22 +130,29 @@ class LicenseScanner:
             words[core.b : core.b + core.size] = ["\n"] * core.size
 
     def scan(self, text: str) -> list[tuple[str, int, int]]:
-        """(license, reduction, differences) of each confirmed passage, in the text's order of blocks."""
+        """(license, reduction, differences) of each confirmed passage, in the text's order."""
         found = []
-        for block in self.blocks(text):
+        for piece, block in enumerate(self.blocks(text)):
             while block:
                 confirmed = []
                 for reduction, name in self.ranked(block):
-                    if passage := self.passage(name, [word for word, _ in block]):
+                    if passage := self.passage(name, [word for word, _, _ in block]):
                         differ, start, end = passage
                         equal = (len(self.words[name]) + end - start - differ) // 2
                         confirmed.append((equal - differ, reduction, name, differ, start, end))
                 if not confirmed:
                     break
-                _, reduction, name, differ, start, end = max(confirmed, key=lambda x: x[0])  # the first of equals: ranked
-                found.append((name, reduction, differ))
-                block = block[:start] + [("\n", False)] + block[end:]
-        return found
+                agree, reduction, name, differ, start, end = max(confirmed, key=lambda x: x[0])  # the first of equals: ranked
+                found.append((agree, block[start][2], block[end - 1][2] + 1, piece, name, reduction, differ))
+                block = block[:start] + [("\n", False, -1)] + block[end:]
+        found.sort(key=lambda x: x[1:4])
+        kept: list[tuple] = []
+        for x in found:
+            while kept and kept[-1][3] != x[3] and x[1] < kept[-1][2] and x[0] > kept[-1][0]:
+                kept.pop()
+            if not kept or kept[-1][3] == x[3] or x[1] >= kept[-1][2]:
+                kept.append(x)
+        return [x[4:] for x in kept]
 
 
 def scanned(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
