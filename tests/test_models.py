@@ -1,3 +1,4 @@
+import inspect
 from itertools import combinations
 
 import numpy as np
@@ -5,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.catalog import modelling
 from tidemark.operators import baskets as b
 from tidemark.operators import cohorts, evaluate, events, model
 from tidemark.operators import recommend as r
@@ -246,3 +248,13 @@ def test_incremental_features_over_batches(spark, tmp_path):
     assert read() == want
     merge(batches[2], 2)
     assert read() == want
+
+
+def test_training_query_has_the_settings_of_the_operator(spark, monkeypatch):
+    called, signature = [], inspect.signature(model.cross_validate)
+    monkeypatch.setattr(modelling, "features", lambda *_: spark.createDataFrame([], ", ".join(f"{c} double" for c in ["admission_id", "readmit_30day_flag", *modelling.MODEL_FEATURES])))
+    monkeypatch.setattr(modelling.m, "cross_validate", lambda *args, **named: called.append(signature.bind(*args, **named)))
+    modelling.training(spark, "")
+    called[0].apply_defaults()
+    assert called[0].arguments["folds"] == 5 and not called[0].arguments.get("settings")
+    assert (model.TREES, model.DEPTH) == (300, 6)

@@ -56,7 +56,7 @@ MODEL_FEATURES = ["age", "comorbidity_count", "charlson_comorbidity_index", "len
 @query("ml03_cross_validated_training")
 def training(spark, sf):
     table = features(spark, sf).select("admission_id", "readmit_30day_flag", *MODEL_FEATURES)
-    return m.cross_validate(table, MODEL_FEATURES, "readmit_30day_flag", "admission_id", folds=2, trees=3, depth=3, pieces=1)
+    return m.cross_validate(table, MODEL_FEATURES, "readmit_30day_flag", "admission_id", pieces=1)
 
 
 @query("ml04_feature_columns_and_split", v.with_tables(*FEATURE_TABLES, """SELECT CASE WHEN admission_date < '2000-01-01' THEN 'train' ELSE 'holdout' END AS part, count(*) AS n,
