@@ -258,3 +258,9 @@ def test_training_query_has_the_settings_of_the_operator(spark, monkeypatch):
     called[0].apply_defaults()
     assert called[0].arguments["folds"] == 5 and not called[0].arguments.get("settings")
     assert (model.TREES, model.DEPTH) == (300, 6)
+
+
+def test_rule_ids_are_unique(spark, sets):
+    baskets = spark.createDataFrame(list(enumerate(sets)), "id int, items array<string>")
+    found = b.association_rules(b.frequent_itemsets(baskets, 0.01, 4), 0.0, 0.0)
+    assert found.count() == found.select("rule_id").distinct().count() > 0

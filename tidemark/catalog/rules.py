@@ -99,9 +99,13 @@ def profiles(spark, sf):
     return b.baskets(found, "l_orderkey", "item")
 
 
-@query("bm06_rule_matches", v.with_tables(*OUTCOME_SQL, """r AS (SELECT row_number() OVER () AS id, list_filter(antecedents, lambda x: x <> 'NO_READMIT') AS needed, confidence, lift, evidence_count FROM outcome), e AS (SELECT k, list(i) AS items FROM b WHERE i LIKE 'DX:%' GROUP BY 1),
-x AS (SELECT DISTINCT k, id FROM b JOIN (SELECT id, unnest(needed) AS item FROM r) ON item = i WHERE i LIKE 'DX:%'), m AS (SELECT k, len(list_intersect(needed, items)) / len(needed) AS ratio, needed, confidence, lift, evidence_count FROM x JOIN r USING (id) JOIN e USING (k))""",
-"""SELECT k AS l_orderkey, action, round(max(lift * confidence * ratio * ln(1 + evidence_count)), 4) AS priority_score FROM (SELECT *, CASE WHEN len(list_filter(needed, lambda x: x LIKE 'CPT:%')) > 0 THEN 'Apply intervention bundle: ' || array_to_string(list_sort(list_filter(needed, lambda x: x LIKE 'CPT:%')), ', ') ELSE 'Continue current care protocols' END AS action FROM m WHERE ratio >= 0.5) GROUP BY 1, 2"""))
+MATCH_SQL = """r AS (SELECT row_number() OVER () AS id, list_filter(antecedents, lambda x: x <> 'NO_READMIT') AS needed, confidence, lift, evidence_count FROM outcome), e AS (SELECT k, list(i) AS items FROM b WHERE i LIKE 'DX:%' GROUP BY 1),
+x AS (SELECT DISTINCT k, id FROM b JOIN (SELECT id, unnest(needed) AS item FROM r) ON item = i WHERE i LIKE 'DX:%'), m AS (SELECT k, len(list_intersect(needed, items)) / len(needed) AS ratio, needed, confidence, lift, evidence_count FROM x JOIN r USING (id) JOIN e USING (k))"""
+ACTION_SQL = """CASE WHEN len(list_filter(needed, lambda x: x LIKE 'CPT:%')) > 0 THEN 'Apply intervention bundle: ' || array_to_string(list_sort(list_filter(needed, lambda x: x LIKE 'CPT:%')), ', ') ELSE 'Continue current care protocols' END AS action"""
+
+
+@query("bm06_rule_matches", v.with_tables(*OUTCOME_SQL, MATCH_SQL,
+f"""SELECT k AS l_orderkey, action, round(max(lift * confidence * ratio * ln(1 + evidence_count)), 4) AS priority_score FROM (SELECT *, {ACTION_SQL} FROM m WHERE ratio >= 0.5) GROUP BY 1, 2"""))
 def rule_matches(spark, sf):
     found = r.match_rules(profiles(spark, sf), outcome_rules(spark, sf), "l_orderkey", n=None)
     return found.select("l_orderkey", "action", F.round("priority_score", 4).alias("priority_score"))
@@ -185,10 +189,28 @@ def plan(spark, sf):
     return r.ranked_plan(found, "admission_id").select("admission_id", "key", "composite_score", "priority")
 
 
-@query("bm12_plans_for_all_admissions")
-def plans(spark, sf):
+def candidates(spark, sf):
+    """Library and mined actions."""
     library = r.library_candidates(coded_features(spark, sf), ACTION_LIBRARY, "admission_id", "codes")
     orders = profiles(spark, sf).withColumn("admission_id", F.col("l_orderkey").cast("string"))
     mined = r.mined_candidates(r.match_rules(orders, outcome_rules(spark, sf), "admission_id"), "admission_id")
-    nested = r.nested_plans(r.ranked_plan(library.unionByName(mined), "admission_id"), "admission_id")
+    return library.unionByName(mined)
+
+
+@query("bm11_ranked_plan_of_both_streams", v.with_tables(*FEATURE_TABLES, CODES_SQL, LIBRARY_SQL, *OUTCOME_SQL, MATCH_SQL, f"""best AS (SELECT k, action, max(p) AS p, arg_max(confidence, p) AS confidence FROM (SELECT k, confidence, lift * confidence * ratio * ln(1 + evidence_count) AS p, {ACTION_SQL} FROM m WHERE ratio >= 0.5) GROUP BY 1, 2),
+mined AS (SELECT CAST(k AS VARCHAR) AS admission_id, action AS name, 'discharge_planning' AS category, round(p, 4) AS score, 2 * round_even(round(confidence, 4) * 30, 0) + 3 * 2 + round(p, 4) * 5 AS composite FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p DESC) AS r FROM best) WHERE r <= 5),
+c AS (SELECT admission_id, key AS name, category, CAST(score AS DOUBLE) AS score, CAST(grade * pct + bonus * 2 + score * 5 AS DOUBLE) AS composite, 0 AS stream, position FROM ranked WHERE r <= 20 UNION ALL SELECT admission_id, name, category, score, composite, 1, 0 FROM mined),
+t AS (SELECT *, row_number() OVER (PARTITION BY admission_id, category ORDER BY composite DESC, stream, score DESC, position, name) AS rc FROM c), p AS (SELECT *, row_number() OVER (PARTITION BY admission_id ORDER BY composite DESC, stream, score DESC, position, name) AS priority FROM t WHERE rc <= 3)""",
+"SELECT admission_id, CASE WHEN stream = 0 THEN name END AS key, category, stream = 1 AS is_mined, composite AS composite_score, priority FROM p WHERE priority <= 10"))
+def plan_of_both(spark, sf):
+    """Mined actions without their texts, as ties between rules are broken by a hash."""
+    is_mined = F.col("evidence_source") == "association_rules"
+    return r.ranked_plan(candidates(spark, sf), "admission_id").select(
+        "admission_id", F.when(~is_mined, F.col("key")).alias("key"), "category", is_mined.alias("is_mined"), "composite_score", "priority"
+    )
+
+
+@query("bm12_plans_for_all_admissions")
+def plans(spark, sf):
+    nested = r.nested_plans(r.ranked_plan(candidates(spark, sf), "admission_id"), "admission_id")
     return nested.withColumn("recommendations", F.to_json("recommendations"))

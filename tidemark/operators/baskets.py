@@ -83,7 +83,7 @@ def association_rules(
         F.concat(F.lit("['"), F.array_join("consequents", "', '"), F.lit("']"))
     )
     return rules.select(
-        F.xxhash64("antecedents", "consequents").alias("rule_id"), "antecedents", "consequents", label.alias("consequent"),
+        F.xxhash64(F.size("antecedents"), "antecedents", "consequents").alias("rule_id"), "antecedents", "consequents", label.alias("consequent"),
         (F.col("freq") / F.col("baskets")).alias("support"), confidence.alias("confidence"), (confidence / expected).alias("lift"),
         conviction.alias("conviction"), F.col("freq").alias("evidence_count"), F.lit(rule_type).alias("rule_type"),
     ).filter((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift))
