@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, exact_dedup, license_scans, merkle_manifest, mixing, near_dedup, quality_classifier, quality_rules, token_counts, token_orc, url_filters
+from tidemark.llm import byte_bpe, decontamination, exact_dedup, license_scans, merkle_manifest, mixing, near_dedup, quality_classifier, quality_rules, token_counts, token_orc, url_filters
 
 QUERIES = {
     "op1_license_scans": license_scans.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_token_orc": token_orc.query,
     "op10_near_dedup": near_dedup.query,
+    "op11_decontamination": decontamination.query,
     "op13_merkle_manifest": merkle_manifest.query,
 }
 
@@ -23,5 +24,6 @@ SQL = {
     "op3_quality_rules": quality_rules.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op7_url_filters": url_filters.SQL,
+    "op11_decontamination": decontamination.SQL,
     "op13_merkle_manifest": merkle_manifest.SQL,
 }
