@@ -54,4 +54,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     executors over."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Deletes the files of a ``written`` table that no later step reads."""
+    spark = stored.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
