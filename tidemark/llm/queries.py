@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, decontamination, exact_dedup, license_scans, merkle_manifest, mixing, near_dedup, quality_classifier, quality_rules, token_counts, token_orc, url_filters
+from tidemark.llm import byte_bpe, decontamination, exact_dedup, license_scans, merkle_manifest, mixing, near_dedup, phrase_mining, quality_classifier, quality_rules, token_counts, token_orc, url_filters
 
 QUERIES = {
     "op1_license_scans": license_scans.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_orc": token_orc.query,
     "op10_near_dedup": near_dedup.query,
     "op11_decontamination": decontamination.query,
+    "op12_phrase_mining": phrase_mining.query,
     "op13_merkle_manifest": merkle_manifest.query,
 }
 
@@ -25,5 +26,6 @@ SQL = {
     "op6_exact_dedup": exact_dedup.SQL,
     "op7_url_filters": url_filters.SQL,
     "op11_decontamination": decontamination.SQL,
+    "op12_phrase_mining": phrase_mining.SQL,
     "op13_merkle_manifest": merkle_manifest.SQL,
 }
