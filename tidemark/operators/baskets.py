@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.ml.fpm import FPGrowth
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_folder
+from tidemark.operators.bitmaps import WORD, extended, extensions, numbered_items, profiles, started
+from tidemark.session import written
 
 # Mining defaults, tags and labels.
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.01, 0.30, 1.1
@@ -43,22 +45,59 @@ def tagged_baskets(
 
 
 def frequent_itemsets(sets: DataFrame, min_support: float = MIN_SUPPORT, max_items: int = MAX_ITEMS) -> DataFrame:
-    """Sorted itemsets of up to ``max_items`` items with their basket count, total and support, by parallel FP-growth.
+    """Sorted itemsets of up to ``max_items`` items with their basket count, total and support, level by level.
 
-    The model's itemsets are a lazy result that would be mined again on each use, and rule building uses them three
-    times. They are therefore written once to the shared folder; read back, their size is known to the planner too.
+    Baskets become bitmaps of frequent items, equal ones are folded to one with a count. A set of a level is a frequent set of
+    the level before with a later item, which the prefix join allows only where all sets of one item less are frequent;
+    within a basket, only what is left of it beyond the last item can follow. So no set over the limit and none with an
+    infrequent part is ever made, and each level is written with what is left, folded again.
     """
     spark = sets.sparkSession
-    held = sets.select("items").persist(StorageLevel.MEMORY_AND_DISK)  # mining reads the baskets three times
-    try:
-        found = FPGrowth(itemsCol="items", minSupport=min_support).fit(held).freqItemsets
-        total = held.agg(F.count(F.lit(1)).alias("n")).scalar()
-        kept = found.filter(F.size("items") <= max_items).select(F.array_sort("items").alias("items"), "freq", total.alias("baskets"))
-        path = shared_folder(spark, "itemsets")
-        kept.write.parquet(path)
-    finally:
-        held.unpersist()
-    return spark.read.parquet(path).withColumn("support", F.col("freq") / F.col("baskets"))
+    held = written(sets.select("items", F.monotonically_increasing_id().alias("basket")), "baskets")
+    total = held.count()
+    least = max(1, math.ceil(min_support * total))
+    often = held.select(F.explode(F.array_distinct("items")).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("often"))
+    vocabulary = written(numbered_items(often.where(F.col("often") >= least)), "frequent-items")
+    size = vocabulary.count()
+    found = spark.createDataFrame([], "members array<int>, freq long")
+    if size:
+        folded = profiles(held, "basket", "items", vocabulary, -(-size // WORD)).groupBy("bits").agg(F.count(F.lit(1)).alias("n"))
+        found = _frequent_levels(started(folded, ["n"]), least, max_items, size)
+    named = found.withColumn("at", F.explode("members")).join(vocabulary, "at").groupBy("members", "freq").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    stored = written(named.select("items", "freq", F.lit(total).cast("long").alias("baskets")), "itemsets")
+    return stored.withColumn("support", F.col("freq") / F.col("baskets"))
+
+
+def _frequent_levels(held: DataFrame, least: int, max_items: int, size: int) -> DataFrame:
+    """``members, freq`` of all frequent sets, from ``held`` (members, rest, n) with the empty set."""
+    words, spark = -(-size // WORD), held.sparkSession
+    every = spark.range(size).select(F.array(F.col("id").cast("int")).alias("members"))
+    further, levels = extensions(every, words), []
+    for length in range(1, max_items + 1):
+        grown = extended(held, further, ["n"])
+        rest = [] if length == max_items else ["rest"]  # nothing follows the last level
+        held = written(grown.groupBy("members", *rest).agg(F.sum("n").alias("n")), "itemset-level")
+        level = held.groupBy("members").agg(F.sum("n").alias("freq")).where(F.col("freq") >= least)
+        levels.append(written(level, "frequent-level"))
+        if length < max_items:
+            further = written(extensions(_candidates(levels[-1].select("members"), length), words), "extensions")
+            if further.isEmpty():
+                break
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _candidates(frequent: DataFrame, length: int) -> DataFrame:
+    """Sets of one item more, of which all parts of ``length`` items are ``frequent``: two that differ in the last item are
+    joined, and the parts that lack an earlier one are looked up."""
+    head = F.slice("members", 1, length - 1)
+    side = lambda name: frequent.select(head.alias("head"), F.element_at("members", -1).alias(name))
+    pairs = side("a").join(side("b"), "head").where("a < b")
+    joined = pairs.select(F.concat("head", F.array("a", "b")).alias("members"))
+    if length == 1:
+        return joined
+    lacking = F.transform(F.sequence(F.lit(0), F.lit(length - 2)), lambda i: F.filter("members", lambda x, j: j != i))
+    parts = joined.select("members", F.explode(lacking).alias("part")).join(frequent.withColumnRenamed("members", "part"), "part")
+    return parts.groupBy("members").agg(F.count(F.lit(1)).alias("known")).where(F.col("known") == length - 1).select("members")
 
 
 def association_rules(

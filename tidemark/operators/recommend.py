@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import encode, fill_template
 from tidemark.operators.baskets import EFFECTIVENESS, SUCCESS_ITEM
+from tidemark.operators.bitmaps import WORD, numbered_items, profiles, stored_sets_inside
 from tidemark.operators.ranks import top_per_group
+from tidemark.session import written
 
 # Weights, orders, labels and defaults of mined actions.
 GRADE_WEIGHTS = {"A": 3, "B": 2, "C": 1}
@@ -27,6 +29,7 @@ CATEGORY_LABELS = {
     "specialist_referral": "Specialist Referral",
 }
 LEAST_OVERLAP = 0.5
+MOST_ITEMS = 16
 CANDIDATE = [
     "key", "action", "category", "rationale", "evidence_grade", "source", "reduces_readmission_by_pct", "responsible_role",
     "time_sensitivity", "evidence_source", "score",
@@ -38,10 +41,11 @@ def match_rules(
 ) -> DataFrame:
     """Outcome rules that share at least half of their antecedent with an entity's items, best action first.
 
-    Of rules that need the same items only the strongest can be chosen, so the others go first. Matching runs once per
-    distinct item set (entities with the same items share one result). A rule of s items of which h must be met has one of
-    its s - h + 1 rarest items in every set that it matches, so only those are joined on, and the overlap is counted on the
-    joined row; texts are added only to the rows that are kept.
+    Of rules that need the same items only the strongest can be chosen, so the others go first. A rule is stored under every
+    set of its items that is large enough to match, with what it is worth there; of each set and action only the best rule
+    stays. Entities with the same items share one result: their items are walked through the stored sets, as bitmaps, and
+    the best of each action is a bounded maximum. A smaller part of an overlap is worth less than the overlap itself, which is
+    stored too, so the maximum is exact. Texts are added only to the rows that are kept. Rules may have ``MOST_ITEMS`` items.
     """
     needed = F.array_except("antecedents", F.array(F.lit(SUCCESS_ITEM)))
     weight = F.col("lift") * F.col("confidence") * F.log1p("evidence_count")
@@ -59,23 +63,29 @@ def match_rules(
         {"_set": F.xxhash64("_profile"), "_set2": F.xxhash64(F.lit(1), "_profile")}  # 128 bits name an item set
     )
     sets = keyed.select("_set", "_set2", "_profile").dropDuplicates(["_set", "_set2"])
-    needs = F.greatest(F.lit(1), F.ceil(F.size("_needed") * F.lit(least_overlap) - 1e-9)).cast("int")
-    often = sets.select(F.explode("_profile").alias("_item")).groupBy("_item").agg(F.count(F.lit(1)).alias("_often"))
-    numbers = ["rule_id", F.size("_needed").alias("_size"), "_weight", F.xxhash64("action").alias("_action"), "_needed", needs.alias("_needs")]
-    rarest = wanted.select(*numbers, F.explode("_needed").alias("_item")).join(often, "_item").groupBy(
-        "rule_id", "_size", "_weight", "_action", "_needed", "_needs"
-    ).agg(F.array_sort(F.collect_list(F.struct("_often", "_item"))).alias("_ordered"))
-    # Items that no set has are the rarest of all; the prefix may skip as many others as the overlap may miss.
-    left = F.col("_size") - F.col("_needs") + 1 - (F.col("_size") - F.size("_ordered"))
-    prefix = F.transform(F.slice("_ordered", 1, F.greatest(left, F.lit(0))), lambda x: x["_item"])
-    by_item = rarest.filter(left > 0).withColumn("_prefix", prefix).drop("_ordered").withColumn("_item", F.explode("_prefix"))
-    met = sets.select("_set", "_set2", "_profile", F.explode("_profile").alias("_item")).join(by_item, "_item")
-    once = met.filter(F.array_intersect("_prefix", "_profile")[0] == F.col("_item"))  # a pair may meet at several items
-    ratio = F.size(F.array_intersect("_needed", "_profile")) / F.col("_size")
-    overlaps = once.withColumn("_ratio", ratio).filter(F.col("_ratio") >= least_overlap)
-    scored = overlaps.withColumn("priority_score", F.col("_weight") * F.col("_ratio")).select("_set", "_set2", "rule_id", "_action", "priority_score")
+    rule_items = written(wanted.select("rule_id", "_weight", "action", "_needed"), "wanted-rules")
+    most = rule_items.agg(F.max(F.size("_needed"))).first()[0] or 0
+    if most > MOST_ITEMS:
+        raise ValueError(f"a rule needs {most} items; {MOST_ITEMS} at most can be matched in part")
+    often = sets.select(F.explode("_profile").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("often"))
+    used = rule_items.select(F.explode("_needed").alias("item")).distinct()
+    vocabulary = written(numbered_items(used.join(often, "item", "left").withColumn("often", F.coalesce("often", F.lit(0)))), "rule-items")
+    words = max(1, -(-vocabulary.count() // WORD))
+    placed = rule_items.withColumn("item", F.explode("_needed")).join(vocabulary, "item")
+    placed = placed.groupBy("rule_id", "_weight", "action").agg(F.array_sort(F.collect_list("at")).alias("_at"))
+    size, needs = F.size("_at"), F.greatest(F.lit(1), F.ceil(F.size("_at") * F.lit(least_overlap) - 1e-9))
+    parts = F.transform(
+        F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), size) - 1), lambda m: F.filter("_at", lambda x, i: F.call_function("shiftright", m, i).bitwiseAND(1) == 1)
+    )
+    worth = placed.withColumn("members", F.explode(F.filter(parts, lambda p: F.size(p) >= needs)))
+    worth = worth.select("members", "action", (F.col("_weight") * (F.size("members") / size)).alias("_worth"), (-F.col("rule_id")).alias("_first"))
+    worth = written(worth.groupBy("members", F.xxhash64("action").alias("_action")).agg(F.max(F.struct("_worth", "_first")).alias("_best")), "rule-parts")
+    named = F.struct("_set", "_set2")
+    bits = profiles(sets.select(named.alias("_named"), "_profile"), "_named", "_profile", vocabulary, words)
+    inside = stored_sets_inside(written(bits, "profiles"), "_named", worth, words, most)
+    chosen = inside.join(worth, "members").groupBy("_named", "_action").agg(F.max("_best").alias("_best"))
+    unique = chosen.select("_named.*", "_action", (-F.col("_best._first")).alias("rule_id"), F.col("_best._worth").alias("priority_score"))
     best = [F.desc("priority_score"), F.asc("rule_id")]
-    unique = top_per_group(scored, ["_set", "_set2", "_action"], best, 1).drop("position")
     if n is not None:
         unique = top_per_group(unique, ["_set", "_set2"], best, n).withColumnRenamed("position", "rank")
     unique = unique.drop("_action").join(wanted.drop("_weight"), "rule_id")
