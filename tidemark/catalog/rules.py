@@ -28,10 +28,12 @@ def itemset_sql(min_support: float, max_items: int) -> str:
 
 
 def rules_sql(min_confidence: float, min_lift: float) -> str:
-    return f"""rules AS (SELECT antecedents, consequents, support, confidence, lift, conviction, evidence_count FROM (
+    """Halves of a set are looked up by their text."""
+    return f"""named AS MATERIALIZED (SELECT array_to_string(items, '|') AS name, freq FROM sets),
+halves AS MATERIALIZED (SELECT list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS antecedents, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 0) AS consequents, freq FROM (SELECT items, freq, unnest(range(1, (1 << len(items)) - 1)) AS m FROM sets WHERE len(items) > 1)),
+rules AS MATERIALIZED (SELECT antecedents, consequents, support, confidence, lift, conviction, evidence_count FROM (
  SELECT antecedents, consequents, s.freq / n AS support, s.freq / a.freq AS confidence, (s.freq / a.freq) / (c.freq / n) AS lift, CASE WHEN s.freq = a.freq THEN 'Infinity'::DOUBLE ELSE (1 - c.freq / n) / (1 - s.freq / a.freq) END AS conviction, s.freq AS evidence_count
- FROM (SELECT items, freq, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS antecedents, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 0) AS consequents FROM (SELECT items, freq, unnest(range(1, (1 << len(items)) - 1)) AS m FROM sets WHERE len(items) > 1)) s
- JOIN sets a ON a.items = antecedents JOIN sets c ON c.items = consequents, n) WHERE confidence >= {min_confidence} AND lift >= {min_lift})"""
+ FROM halves s JOIN named a ON a.name = array_to_string(antecedents, '|') JOIN named c ON c.name = array_to_string(consequents, '|'), n) WHERE confidence >= {min_confidence} AND lift >= {min_lift})"""
 
 
 def orders_with_brands(spark, sf):
@@ -99,22 +101,33 @@ def profiles(spark, sf):
     return b.baskets(found, "l_orderkey", "item")
 
 
-MATCH_SQL = """r AS (SELECT row_number() OVER () AS id, list_filter(antecedents, lambda x: x <> 'NO_READMIT') AS needed, confidence, lift, evidence_count FROM outcome), e AS (SELECT k, list(i) AS items FROM b WHERE i LIKE 'DX:%' GROUP BY 1),
-x AS (SELECT DISTINCT k, id FROM b JOIN (SELECT id, unnest(needed) AS item FROM r) ON item = i WHERE i LIKE 'DX:%'), m AS (SELECT k, len(list_intersect(needed, items)) / len(needed) AS ratio, needed, confidence, lift, evidence_count FROM x JOIN r USING (id) JOIN e USING (k))"""
-ACTION_SQL = """CASE WHEN len(list_filter(needed, lambda x: x LIKE 'CPT:%')) > 0 THEN 'Apply intervention bundle: ' || array_to_string(list_sort(list_filter(needed, lambda x: x LIKE 'CPT:%')), ', ') ELSE 'Continue current care protocols' END AS action"""
+#: Items as bits of a number: a vocabulary of this size fits into one.
+MATCH_SQL = """bits AS (SELECT i, 1::BIGINT << (row_number() OVER (ORDER BY i) - 1) AS bit FROM (SELECT DISTINCT i FROM b)),
+wanted AS (SELECT list_filter(antecedents, lambda x: x <> 'NO_READMIT') AS needed, confidence, lift, evidence_count, lift * confidence * ln(1 + evidence_count) AS weight, array_to_string(antecedents, '|') AS own, array_to_string(consequents, '|') AS other FROM outcome),
+named_rules AS (SELECT *, array_to_string(needed, '|') AS text, row_number() OVER (PARTITION BY array_to_string(needed, '|') ORDER BY weight DESC, own, other) AS place FROM wanted WHERE len(needed) > 0),
+rule_bits AS (SELECT text, CAST(sum(bit) AS BIGINT) AS own_bits FROM (SELECT text, unnest(needed) AS i FROM named_rules WHERE place = 1) JOIN bits USING (i) GROUP BY 1),
+r AS MATERIALIZED (SELECT needed, text, confidence, lift, evidence_count, weight, len(needed) AS size, own_bits,
+ CASE WHEN len(list_filter(needed, lambda x: x LIKE 'CPT:%')) > 0 THEN 'Apply intervention bundle: ' || array_to_string(list_sort(list_filter(needed, lambda x: x LIKE 'CPT:%')), ', ') ELSE 'Continue current care protocols' END AS action
+ FROM named_rules JOIN rule_bits USING (text) WHERE place = 1),
+e AS MATERIALIZED (SELECT k, CAST(sum(bit) AS BIGINT) AS item_bits, list(i ORDER BY i) AS own_items FROM b JOIN bits USING (i) WHERE i LIKE 'DX:%' GROUP BY 1),
+m AS (SELECT item_bits, text, action, weight * (bit_count(item_bits & own_bits) / size) AS p FROM (SELECT DISTINCT item_bits FROM e), r WHERE 2 * bit_count(item_bits & own_bits) >= size),
+best AS MATERIALIZED (SELECT item_bits, action, -min(row(-p, text))[1] AS p, min(row(-p, text))[2] AS text FROM m GROUP BY 1, 2),
+top AS MATERIALIZED (SELECT k, row_number() OVER (PARTITION BY k ORDER BY p DESC, text) AS rank, action, p, confidence, lift, evidence_count, needed, own_items FROM e JOIN best USING (item_bits) JOIN (SELECT text, confidence, lift, evidence_count, needed FROM r) USING (text))"""
+RATIONALE_SQL = """'In ' || evidence_count || ' similar patients with [' || array_to_string(list_transform(list_filter(own_items, lambda x: list_contains(needed, x)), lambda x: '''' || replace(x, 'DX:', '') || ''''), ', ') || '], this care path reduced readmission (confidence=' || printf('%.0f', round_even(confidence * 100, 0)) || '%, lift=' || printf('%.2f', lift) || 'x vs baseline).'"""
 
 
-@query("bm06_rule_matches", v.with_tables(*OUTCOME_SQL, MATCH_SQL,
-f"""SELECT k AS l_orderkey, action, round(max(lift * confidence * ratio * ln(1 + evidence_count)), 4) AS priority_score FROM (SELECT *, {ACTION_SQL} FROM m WHERE ratio >= 0.5) GROUP BY 1, 2"""))
+@query("bm06_rule_matches", v.with_tables(*OUTCOME_SQL, MATCH_SQL, "SELECT k AS l_orderkey, action, round(p, 4) AS priority_score FROM top"))
 def rule_matches(spark, sf):
     found = r.match_rules(profiles(spark, sf), outcome_rules(spark, sf), "l_orderkey", n=None)
     return found.select("l_orderkey", "action", F.round("priority_score", 4).alias("priority_score"))
 
 
-@query("bm06_top_recommendations_per_order")
+@query("bm06_top_recommendations_per_order", v.with_tables(*OUTCOME_SQL, MATCH_SQL,
+f"SELECT k AS l_orderkey, rank, action, {RATIONALE_SQL} AS rationale, array_to_string(list_filter(own_items, lambda x: list_contains(needed, x)), '|') AS antecedents_matched, round(p, 6) AS priority_score FROM top WHERE rank <= 5"))
 def top_recommendations(spark, sf):
     found = r.match_rules(profiles(spark, sf), outcome_rules(spark, sf), "l_orderkey", n=5)
-    return found.select("l_orderkey", "rank", "action", "rationale", F.array_join("antecedents_matched", "|").alias("antecedents_matched"), "priority_score")
+    matched = F.array_join("antecedents_matched", "|").alias("antecedents_matched")
+    return found.select("l_orderkey", "rank", "action", "rationale", matched, F.round("priority_score", 6).alias("priority_score"))
 
 
 @query("bm07_top_rules_by_lift", v.with_tables(BASKET_SQL, itemset_sql(0.002, 4), rules_sql(0.05, 1.0), "SELECT array_to_string(antecedents, '|') AS antecedents, lift, evidence_count FROM rules ORDER BY rules.lift DESC, evidence_count DESC, rules.antecedents, consequents LIMIT 25"))
@@ -181,12 +194,10 @@ def override(spark, sf):
     return r.override_by_key(default, custom, "c_custkey").drop("c_nationkey")
 
 
-@query("bm11_ranked_plan", v.with_tables(*FEATURE_TABLES, CODES_SQL, LIBRARY_SQL, """c AS (SELECT *, grade * pct + bonus * 2 + score * 5 AS composite FROM ranked WHERE r <= 20),
-k AS (SELECT *, row_number() OVER (PARTITION BY admission_id, category ORDER BY composite DESC, score DESC, position) AS rc FROM c), t AS (SELECT *, row_number() OVER (PARTITION BY admission_id ORDER BY composite DESC, score DESC, position) AS priority FROM k WHERE rc <= 3)""",
-"SELECT admission_id, key, CAST(composite AS DOUBLE) AS composite_score, priority FROM t WHERE priority <= 10"))
-def plan(spark, sf):
-    found = r.library_candidates(coded_features(spark, sf), ACTION_LIBRARY, "admission_id", "codes")
-    return r.ranked_plan(found, "admission_id").select("admission_id", "key", "composite_score", "priority")
+PLAN_SQL = (*FEATURE_TABLES, CODES_SQL, LIBRARY_SQL, *OUTCOME_SQL, MATCH_SQL, """mined AS (SELECT CAST(k AS VARCHAR) AS admission_id, action AS name, 'discharge_planning' AS category, round(p, 4) AS score, 2 * round_even(round(confidence, 4) * 30, 0) + 3 * 2 + round(p, 4) * 5 AS composite FROM top WHERE rank <= 5),
+c AS (SELECT admission_id, key AS name, category, CAST(score AS DOUBLE) AS score, CAST(grade * pct + bonus * 2 + score * 5 AS DOUBLE) AS composite, 0 AS stream, position FROM ranked WHERE r <= 20 UNION ALL SELECT admission_id, name, category, score, composite, 1, 0 FROM mined),
+t AS (SELECT *, row_number() OVER (PARTITION BY admission_id, category ORDER BY composite DESC, stream, score DESC, position, name) AS rc FROM c),
+plan AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY admission_id ORDER BY composite DESC, stream, score DESC, position, name) AS priority FROM t WHERE rc <= 3) WHERE priority <= 10)""")
 
 
 def candidates(spark, sf):
@@ -197,20 +208,25 @@ def candidates(spark, sf):
     return library.unionByName(mined)
 
 
-@query("bm11_ranked_plan_of_both_streams", v.with_tables(*FEATURE_TABLES, CODES_SQL, LIBRARY_SQL, *OUTCOME_SQL, MATCH_SQL, f"""best AS (SELECT k, action, max(p) AS p, arg_max(confidence, p) AS confidence FROM (SELECT k, confidence, lift * confidence * ratio * ln(1 + evidence_count) AS p, {ACTION_SQL} FROM m WHERE ratio >= 0.5) GROUP BY 1, 2),
-mined AS (SELECT CAST(k AS VARCHAR) AS admission_id, action AS name, 'discharge_planning' AS category, round(p, 4) AS score, 2 * round_even(round(confidence, 4) * 30, 0) + 3 * 2 + round(p, 4) * 5 AS composite FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p DESC) AS r FROM best) WHERE r <= 5),
-c AS (SELECT admission_id, key AS name, category, CAST(score AS DOUBLE) AS score, CAST(grade * pct + bonus * 2 + score * 5 AS DOUBLE) AS composite, 0 AS stream, position FROM ranked WHERE r <= 20 UNION ALL SELECT admission_id, name, category, score, composite, 1, 0 FROM mined),
-t AS (SELECT *, row_number() OVER (PARTITION BY admission_id, category ORDER BY composite DESC, stream, score DESC, position, name) AS rc FROM c), p AS (SELECT *, row_number() OVER (PARTITION BY admission_id ORDER BY composite DESC, stream, score DESC, position, name) AS priority FROM t WHERE rc <= 3)""",
-"SELECT admission_id, CASE WHEN stream = 0 THEN name END AS key, category, stream = 1 AS is_mined, composite AS composite_score, priority FROM p WHERE priority <= 10"))
+def ranked_actions(spark, sf):
+    return v.stored(spark, sf, "ranked-plan", lambda: r.ranked_plan(candidates(spark, sf), "admission_id"))
+
+
+@query("bm11_ranked_plan", v.with_tables(*PLAN_SQL, "SELECT admission_id, name, composite AS composite_score, priority FROM plan"))
+def plan(spark, sf):
+    name = F.when(F.col("evidence_source") == "association_rules", F.col("action")).otherwise(F.col("key"))
+    return ranked_actions(spark, sf).select("admission_id", name.alias("name"), "composite_score", "priority")
+
+
+@query("bm11_ranked_plan_of_both_streams", v.with_tables(*PLAN_SQL, "SELECT admission_id, CASE WHEN stream = 0 THEN name END AS key, category, stream = 1 AS is_mined, composite AS composite_score, priority FROM plan"))
 def plan_of_both(spark, sf):
-    """Mined actions without their texts, as ties between rules are broken by a hash."""
     is_mined = F.col("evidence_source") == "association_rules"
-    return r.ranked_plan(candidates(spark, sf), "admission_id").select(
+    return ranked_actions(spark, sf).select(
         "admission_id", F.when(~is_mined, F.col("key")).alias("key"), "category", is_mined.alias("is_mined"), "composite_score", "priority"
     )
 
 
 @query("bm12_plans_for_all_admissions")
 def plans(spark, sf):
-    nested = r.nested_plans(r.ranked_plan(candidates(spark, sf), "admission_id"), "admission_id")
+    nested = r.nested_plans(ranked_actions(spark, sf), "admission_id")
     return nested.withColumn("recommendations", F.to_json("recommendations"))

@@ -43,7 +43,7 @@ def match_rules(
 
     Of rules that need the same items only the strongest can be chosen, so the others go first. A rule is stored under every
     set of its items that is large enough to match, with what it is worth there; of each set and action only the best rule
-    stays. Entities with the same items share one result: their items are walked through the stored sets, as bitmaps, and
+    stays, of equal ones the first by its items' text. Entities with the same items share one result: their items are walked through the stored sets, as bitmaps, and
     the best of each action is a bounded maximum. A smaller part of an overlap is worth less than the overlap itself, which is
     stored too, so the maximum is exact. Texts are added only to the rows that are kept. Rules may have ``MOST_ITEMS`` items.
     """
@@ -54,16 +54,17 @@ def match_rules(
         "Continue current care protocols"
     )
     fields = ["rule_id", "confidence", "lift", "evidence_count", "rule_type"]
-    wanted = rules.filter(F.col("rule_type") == EFFECTIVENESS).withColumns({"_needed": needed, "_weight": weight})
-    best_of_same = F.max_by(F.struct(*fields, "_weight"), F.struct("_weight", -F.col("rule_id")))
-    wanted = wanted.groupBy("_needed").agg(best_of_same.alias("_r")).select("_needed", "_r.*").withColumn("action", action)
+    wanted = rules.filter(F.col("rule_type") == EFFECTIVENESS).withColumns({"_needed": needed, "_weight": weight, "_text": F.array_join("antecedents", "|")})
+    best_of_same = F.min_by(F.struct(*fields, "_weight"), F.struct(-F.col("_weight"), "_text", F.array_join("consequents", "|")))
+    wanted = wanted.groupBy("_needed").agg(best_of_same.alias("_r")).select("_needed", "_r.*")
+    wanted = wanted.withColumns({"action": action, "_text": F.array_join("_needed", "|")}).filter(F.size("_needed") > 0)
 
     profile = F.array_sort(F.array_distinct(items))
     keyed = entities.select(key, profile.alias("_profile")).withColumns(
         {"_set": F.xxhash64("_profile"), "_set2": F.xxhash64(F.lit(1), "_profile")}  # 128 bits name an item set
     )
     sets = keyed.select("_set", "_set2", "_profile").dropDuplicates(["_set", "_set2"])
-    rule_items = written(wanted.select("rule_id", "_weight", "action", "_needed"), "wanted-rules")
+    rule_items = written(wanted.select("_text", "_weight", "action", "_needed"), "wanted-rules")
     most = rule_items.agg(F.max(F.size("_needed"))).first()[0] or 0
     if most > MOST_ITEMS:
         raise ValueError(f"a rule needs {most} items; {MOST_ITEMS} at most can be matched in part")
@@ -72,23 +73,23 @@ def match_rules(
     vocabulary = written(numbered_items(used.join(often, "item", "left").withColumn("often", F.coalesce("often", F.lit(0)))), "rule-items")
     words = max(1, -(-vocabulary.count() // WORD))
     placed = rule_items.withColumn("item", F.explode("_needed")).join(vocabulary, "item")
-    placed = placed.groupBy("rule_id", "_weight", "action").agg(F.array_sort(F.collect_list("at")).alias("_at"))
+    placed = placed.groupBy("_text", "_weight", "action").agg(F.array_sort(F.collect_list("at")).alias("_at"))
     size, needs = F.size("_at"), F.greatest(F.lit(1), F.ceil(F.size("_at") * F.lit(least_overlap) - 1e-9))
     parts = F.transform(
         F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), size) - 1), lambda m: F.filter("_at", lambda x, i: F.call_function("shiftright", m, i).bitwiseAND(1) == 1)
     )
     worth = placed.withColumn("members", F.explode(F.filter(parts, lambda p: F.size(p) >= needs)))
-    worth = worth.select("members", "action", (F.col("_weight") * (F.size("members") / size)).alias("_worth"), (-F.col("rule_id")).alias("_first"))
-    worth = written(worth.groupBy("members", F.xxhash64("action").alias("_action")).agg(F.max(F.struct("_worth", "_first")).alias("_best")), "rule-parts")
+    worth = worth.select("members", "action", (-(F.col("_weight") * (F.size("members") / size))).alias("_worth"), "_text")
+    worth = written(worth.groupBy("members", F.xxhash64("action").alias("_action")).agg(F.min(F.struct("_worth", "_text")).alias("_best")), "rule-parts")
     named = F.struct("_set", "_set2")
     bits = profiles(sets.select(named.alias("_named"), "_profile"), "_named", "_profile", vocabulary, words)
     inside = stored_sets_inside(written(bits, "profiles"), "_named", worth, words, most)
-    chosen = inside.join(worth, "members").groupBy("_named", "_action").agg(F.max("_best").alias("_best"))
-    unique = chosen.select("_named.*", "_action", (-F.col("_best._first")).alias("rule_id"), F.col("_best._worth").alias("priority_score"))
-    best = [F.desc("priority_score"), F.asc("rule_id")]
+    chosen = inside.join(worth, "members").groupBy("_named", "_action").agg(F.min("_best").alias("_best"))
+    unique = chosen.select("_named.*", "_best._text", (-F.col("_best._worth")).alias("priority_score"))
+    best = [F.desc("priority_score"), F.asc("_text")]
     if n is not None:
         unique = top_per_group(unique, ["_set", "_set2"], best, n).withColumnRenamed("position", "rank")
-    unique = unique.drop("_action").join(wanted.drop("_weight"), "rule_id")
+    unique = unique.join(wanted.drop("_weight"), "_text").drop("_text")
     matched = F.array_sort(F.array_intersect("_needed", "_profile"))
     shown = F.array_join(F.transform("antecedents_matched", lambda x: F.concat(F.lit("'"), F.replace(x, F.lit("DX:"), F.lit("")), F.lit("'"))), ", ")
     rationale = F.concat(
