@@ -53,10 +53,25 @@ def feature_matrix(spark, sf):
 MODEL_FEATURES = ["age", "comorbidity_count", "charlson_comorbidity_index", "length_of_stay_days", "icu_days", "total_charges", "prior_admissions_12m", "prior_readmissions_1y"]
 
 
-@query("ml03_cross_validated_training")
-def training(spark, sf):
+def fold_metrics(spark, sf):
     table = features(spark, sf).select("admission_id", "readmit_30day_flag", *MODEL_FEATURES)
-    return m.cross_validate(table, MODEL_FEATURES, "readmit_30day_flag", "admission_id", pieces=1)
+    return v.stored(spark, sf, "fold-metrics", lambda: m.cross_validate(table, MODEL_FEATURES, "readmit_30day_flag", "admission_id", pieces=1))
+
+
+@query("ml03_cross_validated_training", v.with_tables(*FEATURE_TABLES, "labelled AS (SELECT readmit_30day_flag AS y, count(*) AS n FROM features WHERE readmit_30day_flag IS NOT NULL GROUP BY 1)",
+"""SELECT fold, CAST(sum(dealt) AS BIGINT) AS n_samples, CAST(sum(dealt) FILTER (WHERE y) AS BIGINT) AS n_positive, TRUE AS is_ranked, TRUE AS is_calibrated
+ FROM (SELECT fold, y = 1 AS y, (n - fold + 4) // 5 AS dealt FROM labelled, (SELECT unnest(range(5)) AS fold)) GROUP BY fold"""))
+def training(spark, sf):
+    """What must hold of every fold: its rows and positives, an area within 0 and 1, a Brier score that a coin's can't beat."""
+    found = fold_metrics(spark, sf)
+    ranked = F.col("roc_auc").between(0, 1) & F.col("average_precision").between(0, 1)
+    positive = F.round(F.col("positive_rate") * F.col("n_samples")).cast("bigint")
+    return found.select("fold", "n_samples", positive.alias("n_positive"), ranked.alias("is_ranked"), F.col("brier_score").between(0, 0.5).alias("is_calibrated"))
+
+
+@query("ml03_fold_metrics")
+def metrics_of_folds(spark, sf):
+    return fold_metrics(spark, sf)
 
 
 @query("ml04_feature_columns_and_split", v.with_tables(*FEATURE_TABLES, """SELECT CASE WHEN admission_date < '2000-01-01' THEN 'train' ELSE 'holdout' END AS part, count(*) AS n,
@@ -71,7 +86,7 @@ def columns_and_split(spark, sf):
 @query("ml05_batch_scores")
 def batch_scores(spark, sf):
     table = features(spark, sf).select("admission_id", "readmit_30day_flag", *MODEL_FEATURES)
-    model = m.train(table, MODEL_FEATURES, "readmit_30day_flag", kind="linear")
+    model = m.train(table, MODEL_FEATURES, "readmit_30day_flag")
     scored = m.score_batch(model, table, MODEL_FEATURES, "admission_id")
     return scored.withColumn("top_features", F.to_json("top_features"))
 

@@ -37,9 +37,17 @@ def windowed_counts(spark, sf):
     return s.run_to_end(s.windowed_counts(event_stream(spark, sf), "event_type", "ts"), "counts")
 
 
+@query("st03_heartbeat_counts", """SELECT strftime(w, '%Y-%m-%d %H:%M:%S.%f') AS window_start, strftime(w + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS window_end, event_type, coalesce(n, 0) AS n
+ FROM (SELECT event_type, unnest(generate_series(date_trunc('hour', min(ts)), (SELECT date_trunc('hour', max(ts) - INTERVAL 1 HOUR) - INTERVAL 1 HOUR FROM events), INTERVAL 1 HOUR)) AS w FROM events GROUP BY event_type)
+ LEFT JOIN (SELECT event_type, date_trunc('hour', ts) AS w, count(*) AS n FROM events GROUP BY ALL) USING (event_type, w)""")
+def heartbeat_counts(spark, sf):
+    return s.run_to_end(s.heartbeat_counts(event_stream(spark, sf), "event_type", "ts"), "heartbeat")
+
+
 @query("st04_score_spikes", v.with_tables("sp AS (SELECT user_id, ts, event_id, value % 1.0 AS sc, lag(value % 1.0) OVER w AS p, lag(ts) OVER w AS pa FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, value % 1.0))",
-       "SELECT CAST(user_id AS VARCHAR) AS entity, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, round(p, 4) AS previous, round(sc, 4) AS score FROM sp WHERE sc - p >= 0.25 AND ts <= pa + INTERVAL 6 HOUR"))
+       "SELECT CAST(user_id AS VARCHAR) AS entity, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, round(p, 4) AS previous, round(sc, 4) AS score FROM sp WHERE sc - p >= 0.25 AND ts <= pa + INTERVAL 6 HOUR AND ts < date_trunc('hour', (SELECT max(ts) FROM events) - INTERVAL 1 DAY)"))
 def spikes(spark, sf):
+    """Final spikes: those of hours that the watermark has passed."""
     scored = event_stream(spark, sf).withColumn("risk_score", F.col("value") % 1.0)
     found = s.run_to_end(s.score_spike_stream(scored, "user_id", "ts"), "spikes")
     return found.select("entity", "at", F.round("previous", 4).alias("previous"), F.round("score", 4).alias("score"))
