@@ -77,6 +77,11 @@ def test_passing_filters_by_mistake_changes_nothing(spark, monkeypatch):
     same(phrase_mining.collocations(frame, least=10, top=9), plain(docs, 10, 3, 50, 9))
 
 
+def test_words_named_like_languages(spark):
+    docs = [("en", "es en es de " * 3), ("es", "en es en de " * 3), ("de", "en de es en " * 4), (None, "und en es " * 4)]
+    same(phrase_mining.collocations(spark.createDataFrame(docs, "lang string, text string"), least=2), plain(docs, 2, 3, 50, 2000))
+
+
 def test_scores_beyond_64_bits(spark):
     a, l, r = 10**12 + 7, 3 * 10**12, 2 * 10**12 + 1
     counts = spark.createDataFrame([("en", 1, "x", l), ("en", 1, "y", r), ("en", 2, "x y", a)], "lang string, length int, phrase string, n long")

@@ -5,15 +5,16 @@ number, and each length is counted in the same scans as the others. Words are co
 phrases of one word less inside it have reached the threshold, and is counted from the next step until every shard has been
 scanned once; scans end when no phrase is within its cycle.
 
-Counters are kept by 64-bit fingerprints of language and words, one count for each shard, in a table that every step merges
-with what the scan has counted: a shard's count is the same whenever it's scanned, so counting again does no harm. What is
-active, and what has become so within the last cycle, is sent to the tasks as filters of fixed size. Wrong passes of a filter and shared fingerprints only count
-too much. At the end one scan counts the texts of the phrases that reached the threshold, so the results don't depend on
-fingerprints.
+Counters are kept by 64-bit fingerprints of language and words, one count for each shard, in packed blocks that every step
+merges, bucket by bucket, with what the scan has counted: a shard's count is the same whenever it's scanned, so counting
+again does no harm. What is active, and what has become so within the last cycle, is sent to the tasks as filters of fixed
+size. Wrong passes of a filter and shared fingerprints only count too much. At the end one scan counts the texts of the
+phrases that reached the threshold, so the results don't depend on these fingerprints.
 
 Scale: words are stored once as 32-bit fingerprints, so scans are array work; counts are summed within about ``FLUSH`` words
-before any shuffle, so a common phrase is a few rows; steps are bounded by shards times the greatest length. Two filters for each length under
-the greatest go to the driver and the tasks: 2 MB each.
+before any shuffle, so a common phrase is a few entries of a block; buckets are equal ranges of fingerprints and grow in
+number with the words, so a task merges a bounded block; steps are bounded by shards times the greatest length. Two filters
+for each length under the greatest go to the driver and the tasks: 2 MB each.
 
 Defined results: null and empty texts have no words; a null language is ``und``, together with the language of that name;
 repeated rows count each; ties are ordered by phrase; a language without candidates has no rows, nor has an empty table;
@@ -24,7 +25,6 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,10 @@ from tidemark.session import discard, shared_folder, written
 LEAST, LONGEST, INSIDE, TOP, SHARDS = 10, 3, 50, 2000, 3
 #: Logarithm of a filter's bits.
 FILTER_BITS = 24
-#: Words counted together; phrases whose texts are counted together; words of which hashes are kept.
-FLUSH, TEXTS, CACHED_WORDS = 3_000_000, 400_000, 400_000
+#: Words counted together; words of which hashes are kept.
+FLUSH, CACHED_WORDS = 1_500_000, 300_000
+#: Words of the input for each bucket of counters.
+BUCKET_WORDS = 2_000_000
 
 #: A-Z lower-cased, ``.,;:!?`` and line ends as full stops, tabs as spaces.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
@@ -56,17 +58,18 @@ def tokens_of(text: bytes) -> list[bytes]:
 
 
 class _Marker:
-    """32-bit fingerprints of words within a language; 0 ends a piece."""
+    """Fingerprints of words within a language, of 64 and of 32 bits; 0 ends a piece."""
 
     def __init__(self):
         self.one = BoundedCache(lambda word: 0 if word == _END else xxhash.xxh64_intdigest(word) or 1, CACHED_WORDS).__getitem__
 
-    def __call__(self, lang: bytes, tokens: list[bytes]) -> np.ndarray:
+    def __call__(self, lang: bytes, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         each = np.fromiter(map(self.one, tokens), dtype=np.uint64, count=len(tokens))
-        marks = ((each ^ np.uint64(xxhash.xxh64_intdigest(lang))) * _FACTOR >> np.uint64(32)).astype(np.uint32)
+        wide = (each ^ np.uint64(xxhash.xxh64_intdigest(lang, seed=1))) * _FACTOR
+        marks = (wide >> np.uint64(32)).astype(np.uint32)
         marks[marks == 0] = 1
         marks[each == 0] = 0
-        return marks
+        return wide, marks
 
 
 def word_keys(marks: np.ndarray) -> np.ndarray:
@@ -105,7 +108,7 @@ def shards_of(docs: DataFrame, shards: int) -> str:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marker = _Marker()
         for batch in batches:
-            marks = [marker(lang.as_py(), tokens_of(text.as_py())).tobytes() for lang, text in zip(batch.column(1), batch.column(2))]
+            marks = [marker(lang.as_py(), tokens_of(text.as_py()))[1].tobytes() for lang, text in zip(batch.column(1), batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], names=["shard", "words"])
 
     path = shared_folder(docs.sparkSession, "phrase-shards")
@@ -119,8 +122,33 @@ def _lang() -> Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit("und"))
 
 
-def scanned(shard: DataFrame, filters: Broadcast, longest: int, with_words: bool) -> DataFrame:
-    """``length, key, n`` of the phrases of a shard that are within their cycle, summed in part.
+def _packed(buckets: int, length: int, shard: int | None, keys: np.ndarray, planes: np.ndarray, reached: np.ndarray | None, first: int = 0) -> list[dict]:
+    """Ascending ``keys`` as rows of a bucket (an equal range of the key space, from ``first`` on) and a length. Most counts are small, so those
+    below 256 are packed as bytes, apart from the others."""
+    rows, small = [], planes.max(axis=0, initial=0) < 256
+    for kind in (np.uint8, np.uint64):
+        chosen = np.flatnonzero(small if kind is np.uint8 else ~small)
+        own, counts = keys[chosen], planes[:, chosen].astype(kind)
+        cuts = np.searchsorted(own, np.arange(1, buckets, dtype=np.uint64) * np.uint64(2**64 // buckets)) if buckets > 1 else []
+        for bucket, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(own)])):
+            if b > a:
+                steps = None if reached is None else reached[chosen[a:b]].tobytes()
+                rows.append({"bucket": first + bucket, "length": length, "shard": shard, "width": np.dtype(kind).itemsize,
+                             "keys": own[a:b].tobytes(), "counts": counts[:, a:b].tobytes(), "reached": steps})
+    return rows
+
+
+_PACKED = pa.schema([("bucket", pa.int32()), ("length", pa.int32()), ("shard", pa.int32()), ("width", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("reached", pa.binary())])
+_PACKED_SQL = "bucket int, length int, shard int, width int, keys binary, counts binary, reached binary"
+
+
+def _counts(row: dict, planes: int) -> np.ndarray:
+    return np.frombuffer(row["counts"], dtype=np.uint8 if row["width"] == 1 else np.uint64).reshape(planes, -1)
+
+
+def scanned(shard: DataFrame, number: int, filters: Broadcast, longest: int, with_words: bool, buckets: int) -> DataFrame:
+    """Counts of the phrases of a shard that are within their cycle, summed in part: rows of a bucket of the key space and a length with
+    ascending ``keys`` and their ``counts``, both packed.
 
     ``filters``: by length, the bits of all phrases that reached the threshold and of those that did within the last cycle.
     """
@@ -137,15 +165,14 @@ def scanned(shard: DataFrame, filters: Broadcast, longest: int, with_words: bool
                 chosen = keys[whole] if with_words else keys[:0]
             before = keys
             found, often = np.unique(chosen, return_counts=True)
-            if len(found):
-                arrays = [pa.array(np.full(len(found), length, dtype=np.int32)), pa.array(found.view(np.int64)), pa.array(often.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["length", "key", "n"])
+            if rows := _packed(buckets, length, number, found, often[None, :], None):
+                yield pa.RecordBatch.from_pylist(rows, schema=_PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for words in batch.column(0):
-                held.append(np.frombuffer(words.as_buffer(), dtype=np.uint32))
+                held.append(np.frombuffer(words.as_py(), dtype=np.uint32))
                 size += len(held[-1])
                 if size >= FLUSH:
                     yield from counted(held)
@@ -153,32 +180,71 @@ def scanned(shard: DataFrame, filters: Broadcast, longest: int, with_words: bool
         if held:
             yield from counted(held)
 
-    return shard.select("words").mapInArrow(run, "length int, key long, n long")
+    return shard.select("words").mapInArrow(run, _PACKED_SQL)
+
+
+def merged_block(rows: list[dict], step: int, shards: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, counts by shard and the step that met the threshold (255: none yet) of the packed ``rows`` of a bucket and length.
+
+    Rows with a shard are parts of this step's scan and add up; the others are the counters so far. A shard that is scanned
+    again gives the same count again.
+    """
+    parts, known = [r for r in rows if r["shard"] is not None], [r for r in rows if r["shard"] is None]
+    given = [np.frombuffer(r["keys"], dtype=np.uint64) for r in (*known, *parts)]
+    keys, place = np.unique(np.concatenate(given), return_inverse=True)
+    planes, reached, now = np.zeros((shards, len(keys)), dtype=np.uint64), np.full(len(keys), 255, dtype=np.uint8), np.zeros(len(keys), dtype=np.uint64)
+    start = 0
+    for row, own in zip((*known, *parts), given):
+        mine = place[start : start + len(own)]
+        start += len(own)
+        if row["shard"] is None:
+            planes[:, mine] = _counts(row, shards)
+            reached[mine] = np.frombuffer(row["reached"], dtype=np.uint8)
+        else:
+            now[mine] += _counts(row, 1)[0]  # the keys of a row differ
+    planes[step % shards] = np.maximum(planes[step % shards], now)
+    reached[(reached == 255) & (planes.sum(axis=0) >= least)] = step
+    return keys, planes, reached
 
 
 def merged(state: DataFrame | None, new: DataFrame, step: int, shards: int, least: int) -> DataFrame:
-    """Counters after a step: ``length, key``, a count for each shard, and ``reached``, the step that met the threshold."""
-    counts = [f"c{s}" for s in range(shards)]
-    missing = F.lit(None)
-    rows = new.select("length", "key", "n", *[missing.cast("long").alias(c) for c in counts], missing.cast("int").alias("reached"))
-    if state is not None:
-        rows = rows.unionByName(state.withColumn("n", missing.cast("long")))
-    rows = rows.groupBy("length", "key").agg(F.sum("n").alias("n"), *[F.max(c).alias(c) for c in counts], F.min("reached").alias("reached"))
-    mine = counts[step % shards]
-    rows = rows.withColumn(mine, F.greatest(mine, "n")).drop("n")
-    total = sum((F.coalesce(F.col(c), F.lit(0)) for c in counts[1:]), F.coalesce(F.col(counts[0]), F.lit(0)))
-    rows = rows.withColumn("reached", F.coalesce("reached", F.when(total >= least, F.lit(step))))
-    open_still = F.col("length") * shards > step + 1  # all phrases of a length have had their cycle by step length * shards - 1
-    return rows.where(F.col("reached").isNotNull() | open_still)
+    """Counters after a step, packed as in ``scanned``, by shard. Those below the threshold go when all phrases of their length have
+    had their cycle, by step length * shards - 1."""
+
+    def run(table: pa.Table) -> pa.Table:
+        by_length = defaultdict(list)
+        for row in table.to_pylist():
+            by_length[row["length"]].append(row)
+        out = []
+        for length, rows in by_length.items():
+            keys, planes, reached = merged_block(rows, step, shards, least)
+            kept = (reached != 255) | (length * shards > step + 1)
+            out += _packed(1, length, None, keys[kept], planes[:, kept], reached[kept], rows[0]["bucket"])
+        return pa.Table.from_pylist(out, schema=_PACKED)
+
+    rows = new if state is None else new.unionByName(state)
+    return rows.groupBy("bucket").applyInArrow(run, _PACKED_SQL)
 
 
 def sent_filters(state: DataFrame, step: int, shards: int, longest: int) -> tuple[Broadcast, bool]:
     """Filters by length for the step after ``step``, and whether any phrase is within its cycle then."""
-    place = F.shiftrightunsigned("key", 64 - FILTER_BITS)
-    bit = F.expr("shiftleft(1L, CAST(place % 64 AS INT))")
-    rows = state.where(F.col("reached").isNotNull() & (F.col("length") <= longest)).select("length", "reached", place.alias("place"))
-    recent = F.when(F.col("reached") > step - shards, bit).otherwise(F.lit(0).cast("long"))
-    cells = rows.groupBy("length", F.shiftright("place", 6).alias("cell")).agg(F.bit_or(bit).alias("bits"), F.bit_or(recent).alias("recent")).toArrow()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                reached = np.frombuffer(row["reached"], dtype=np.uint8)
+                keys, reached = np.frombuffer(row["keys"], dtype=np.uint64)[reached != 255], reached[reached != 255]
+                place = keys >> np.uint64(64 - FILTER_BITS)
+                bits = np.uint64(1) << (place & np.uint64(63))
+                cells, at = np.unique((place >> np.uint64(6)).astype(np.int64), return_inverse=True)
+                both = np.zeros((2, len(cells)), dtype=np.uint64)
+                np.bitwise_or.at(both[0], at, bits)
+                np.bitwise_or.at(both[1], at, np.where(reached.astype(np.int64) > step - shards, bits, np.uint64(0)))
+                arrays = [pa.array(np.full(len(cells), row["length"], dtype=np.int32)), *map(pa.array, (cells, both[0].view(np.int64), both[1].view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["length", "cell", "bits", "recent"])
+
+    rows = state.where(F.col("length") <= longest).select("length", "keys", "reached").mapInArrow(run, "length int, cell long, bits long, recent long")
+    cells = rows.groupBy("length", "cell").agg(F.bit_or("bits").alias("bits"), F.bit_or("recent").alias("recent")).toArrow()
     found, any_recent = {}, False
     lengths = cells["length"].to_numpy()
     for length in range(1, longest + 1):
@@ -194,13 +260,19 @@ def sent_filters(state: DataFrame, step: int, shards: int, longest: int) -> tupl
 
 def frequent_keys(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS) -> DataFrame:
     """Counters (as ``merged`` gives them) of all phrases that reach the threshold, counted over their whole cycles."""
+    if not 1 <= longest * shards < 255:
+        raise ValueError("lengths times shards must be less than 255")
     spark = docs.sparkSession
     path = shards_of(docs, shards)
+    dealt = spark.read.schema("words binary, shard int").parquet(path)
+    words = dealt.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // (4 * BUCKET_WORDS)))
     state, step = None, 0
     filters, recent = spark.sparkContext.broadcast({k: (np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64),) * 2 for k in range(1, longest)}), False
     while step < shards or recent:
-        shard = spark.read.schema("words binary, shard int").parquet(path).where(F.col("shard") == step % shards)
-        earlier, state = state, written(merged(state, scanned(shard, filters, longest, step < shards), step, shards, least), "phrase-counters")
+        number = step % shards
+        new = scanned(dealt.where(F.col("shard") == number), number, filters, longest, step < shards, buckets)
+        earlier, state = state, written(merged(state, new, step, shards, least), "phrase-counters")
         if earlier is not None:
             discard(earlier)
         filters, recent = sent_filters(state, step, shards, longest - 1)
@@ -208,45 +280,91 @@ def frequent_keys(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     return state
 
 
+_TEXTS = pa.schema([("bucket", pa.int32()), ("lang", pa.binary()), ("length", pa.int32()), ("phrases", pa.binary()), ("counts", pa.binary())])
+_COUNTS = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+
+
+def _equal_runs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of numbers, the place of one of each distinct pair and how often it is there."""
+    joint = first ^ (second * _OTHER)
+    order = np.argsort(joint)
+    a, b = first[order], second[order]
+    new, changed = np.ones(len(order), dtype=bool), joint[order][1:] != joint[order][:-1]
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    if (new[1:] & ~changed).any():  # different pairs share a joint number: order by both
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    starts = np.flatnonzero(new)
+    return order[starts], np.diff(np.append(starts, len(order)))
+
+
+def counted_texts(tokens: list[bytes], langs: list[bytes], sizes: list[int], wide: np.ndarray, marks: np.ndarray, bits: dict[int, np.ndarray], longest: int, buckets: int) -> list[dict]:
+    """Texts and counts of the phrases in ``tokens`` that pass ``bits``, packed by bucket, language and length; of the ``sizes`` tokens of each document,
+    the language is given. Equal phrases are told by 128 bits."""
+    names = sorted(set(langs))
+    lang_of = np.repeat(np.array([names.index(x) for x in langs], dtype=np.int32), sizes)
+    words = np.bincount(lang_of[marks != 0], minlength=len(names))
+    rows = [{"bucket": 0, "lang": x, "length": 0, "phrases": b"", "counts": np.uint64(n).tobytes()} for x, n in zip(names, words) if n]
+    own = wide
+    for length, keys, whole, _ in phrase_keys(marks, bits, longest):
+        if length > 1:
+            own = longer_keys(own[:-1], wide[length - 1 :])
+        at = np.flatnonzero(whole)
+        at = at[passing(keys[at], bits[length])]
+        place, often = _equal_runs(keys[at], own[at])
+        place = at[place]
+        bucket = (keys[place] >> np.uint64(32)) % np.uint64(buckets)
+        group = bucket.astype(np.int64) * len(names) + lang_of[place]
+        order = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.diff(group[order])) + 1
+        for part in np.split(order, cuts) if len(order) else ():
+            phrases = [b" ".join(tokens[i : i + length]) for i in place[part].tolist()]
+            rows.append({"bucket": int(bucket[part[0]]), "lang": names[lang_of[place[part[0]]]], "length": length, "phrases": b"\n".join(phrases), "counts": often[part].astype(np.uint64).tobytes()})
+    return rows
+
+
 def phrase_counts(docs: DataFrame, state: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """``lang, length, phrase, n`` of all phrases of ``docs`` (lang, text) that occur ``least`` times, among those of ``state``; length 0 counts
     all words."""
     filters, _ = sent_filters(state, 0, 0, longest)
-    schema = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+    buckets = (state.agg(F.max("bucket")).first()[0] or 0) + 1
 
-    def told(counts: dict) -> pa.RecordBatch:
-        rows = [(lang, length, phrase, n) for (lang, length), of_lang in counts.items() for phrase, n in of_lang.items()]
-        lang, length, phrase, n = zip(*rows)
-        arrays = [pa.array([x.decode() for x in lang], pa.string()), pa.array(length, pa.int32()), pa.array([x.decode() for x in phrase], pa.string()), pa.array(n, pa.int64())]
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marker, bits = _Marker(), {length: bits for length, (bits, _) in filters.value.items()}
+        tokens, langs, sizes, wides, marks = [], [], [], [], []
+
+        def packed() -> pa.RecordBatch:
+            rows = counted_texts(tokens, langs, sizes, np.concatenate(wides), np.concatenate(marks), bits, longest, buckets)
+            return pa.RecordBatch.from_pylist(rows, schema=_TEXTS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marker, counts, size = _Marker(), defaultdict(Counter), 0
-        bits = {length: bits for length, (bits, _) in filters.value.items()}
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
-                lang, tokens = lang.as_py(), tokens_of(text.as_py())
-                marks = marker(lang, tokens)
-                if words := int(np.count_nonzero(marks)):
-                    counts[lang, 0][b""] += words
-                for length, keys, whole, _ in phrase_keys(marks, bits, longest):
-                    chosen = whole.copy()
-                    chosen[whole] = passing(keys[whole], bits[length])
-                    runs = compress(zip(*(tokens[k:] for k in range(length))), chosen.tolist())
-                    of_lang = counts[lang, length]
-                    size -= len(of_lang)
-                    of_lang.update(map(b" ".join, runs))
-                    size += len(of_lang)
-                if size >= TEXTS:
-                    yield told(counts)
-                    counts, size = defaultdict(Counter), 0
-        counts = {k: c for k, c in counts.items() if c}
-        if counts:
-            yield told(counts)
+                own = tokens_of(text.as_py())
+                wide, mark = marker(lang.as_py(), own)
+                tokens += own
+                langs.append(lang.as_py())
+                sizes.append(len(own))
+                wides.append(wide)
+                marks.append(mark)
+                if len(tokens) >= FLUSH:
+                    yield packed()
+                    tokens, langs, sizes, wides, marks = [], [], [], [], []
+        if tokens:
+            yield packed()
+
+    def summed(table: pa.Table) -> pa.Table:
+        totals: dict[tuple[bytes, int], Counter] = defaultdict(Counter)
+        for row in table.to_pylist():
+            of_lang = totals[row["lang"], row["length"]]
+            for phrase, n in zip(row["phrases"].split(b"\n"), np.frombuffer(row["counts"], dtype=np.uint64).tolist()):
+                of_lang[phrase] += n
+        rows = [(lang.decode(), length, phrase.decode(), n) for (lang, length), f in totals.items() for phrase, n in f.items() if n >= least or not length]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _COUNTS)], schema=_COUNTS) if rows else _COUNTS.empty_table()
 
     given = docs.select(_lang().cast("binary").alias("lang"), whole_text().cast("binary").alias("text"))
-    rows = given.mapInArrow(run, "lang string, length int, phrase string, n long")
-    return rows.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("length") == 0))
+    packed_rows = given.mapInArrow(scan, "bucket int, lang binary, length int, phrases binary, counts binary")
+    return packed_rows.groupBy("bucket").applyInArrow(summed, "lang string, length int, phrase string, n long")
 
 
 def scored(counts: DataFrame) -> DataFrame:
