@@ -8,6 +8,7 @@ from tidemark.catalog import query
 from tidemark.catalog import views as v
 from tidemark.catalog.events import ALERTS_SQL, alerts
 from tidemark.session import shared_folder
+from tidemark.sources.versions import Tables
 from tidemark.streaming import streams as s
 
 
@@ -60,6 +61,6 @@ def incremental_features(spark, sf):
     for part in (0, 1):
         rows.filter(F.col("o_orderkey") % 2 == part).repartition(4).write.mode("append").parquet(source)
     stream = s.read_stream(spark, source, rows, files_per_batch=4)
-    merge = s.append_features(rows, target, "o_orderkey", "day", 90)
+    merge = s.append_features(target, "o_orderkey", "day", 90)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{target}/_state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{target}/rows").select("o_orderkey", "day")
+    return Tables(spark, target).read("rows").select("o_orderkey", "day")

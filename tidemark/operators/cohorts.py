@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import col
 from tidemark.operators.aggregates import exact, group_profile, mode_by
+from tidemark.operators.neighbours import nearest_rows
 from tidemark.operators.ranks import top_per_group
 
 # Features, naming thresholds, defaults.
@@ -27,7 +28,6 @@ CONDITIONS = ["has_diabetes", "has_hypertension", "has_chf", "has_copd", "has_ck
 HIGH_AGE, HIGH_INDEX, HIGH_USE, HIGH_RETURN = 70.0, 4.0, 2.0, 2.0
 COMMON_SHARE = 0.3
 SEED, RANGE = 42, (3, 10)
-QUERIES_AT_ONCE = 200
 EXTRA_NEIGHBOURS = 20
 
 
@@ -131,35 +131,20 @@ def cluster_profiles(df: DataFrame, cluster: str = "cluster_id", modes: Sequence
     return found.join(mode_by(df, cluster, kept_modes), cluster) if kept_modes else found
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Euclidean distance of two array columns."""
-    squares = F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
-
-
 def similar_entities(
-    df: DataFrame, query_ids: Sequence, key: str, vector: str, n: int = 5, outcome: str | None = None, fields: Sequence[str] = (),
+    df: DataFrame, queries: DataFrame | Sequence, key: str, vector: str, n: int = 5, outcome: str | None = None, fields: Sequence[str] = (),
 ) -> DataFrame:
-    """Nearest ``n`` other rows of each queried row, nearest first.
+    """Nearest ``n`` other rows of each queried row, nearest first; ``queries`` are rows of (key, vector), or a few keys.
 
-    With ``outcome`` the nearest ``n`` + 20 are fetched first and rows with a true outcome are then dropped. The queried
-    vectors travel in blocks of ``QUERIES_AT_ONCE`` as one small array beside every row, so that no array grows with the
-    queries; each task keeps its own nearest before the shuffle.
+    With ``outcome`` the nearest ``n`` + 20 are fetched first and rows with a true outcome are then dropped.
     """
-    ids = list(query_ids)
-    if len(ids) > QUERIES_AT_ONCE:
-        blocks = [similar_entities(df, ids[i : i + QUERIES_AT_ONCE], key, vector, n, outcome, fields) for i in range(0, len(ids), QUERIES_AT_ONCE)]
-        return reduce(DataFrame.unionByName, blocks)
-    asked = df.filter(F.col(key).isin(list(query_ids))).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).alias("v"))).alias("q"))
+    asked = queries if isinstance(queries, DataFrame) else df.filter(F.col(key).isin(list(queries)))
     kept = list(dict.fromkeys([*fields, *([outcome] if outcome else [])]))
-    spread = df.select(key, vector, *kept).withColumn("_query", F.explode(asked.scalar())).select(
-        F.col("_query.id").alias("query_id"), key, *kept, distance(F.col(vector), F.col("_query.v")).alias("similarity_distance")
-    ).filter(F.col(key) != F.col("query_id"))
-    nearest = [F.asc("similarity_distance"), F.asc(key)]
-    pool = top_per_group(spread, ["query_id"], nearest, n + (EXTRA_NEIGHBOURS if outcome else 0)).drop("position")
+    pool = nearest_rows(df, asked, key, vector, n + (EXTRA_NEIGHBOURS if outcome else 0)).drop("position")
+    pool = pool.withColumnsRenamed({"id": key, "distance": "similarity_distance"}).join(df.select(key, *kept), key).select("query_id", key, *kept, "similarity_distance")
     if outcome:
         pool = pool.filter(~F.coalesce(F.col(outcome).cast("boolean"), F.lit(False)))
-        pool = top_per_group(pool, ["query_id"], nearest, n).drop("position")
+        pool = top_per_group(pool, ["query_id"], [F.asc("similarity_distance"), F.asc(key)], n).drop("position")
     return pool.withColumns(
         {"similarity_distance": F.round("similarity_distance", 4), "similarity": F.round(1 / (1 + F.round("similarity_distance", 4)), 3)}
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.cleaning import blank_to_null_cast, date_key
 from tidemark.operators.joins import insert_if_absent, latest_with_ties, lookup_key
 from tidemark.operators.ranks import latest_per_key
+from tidemark.sources.versions import Tables
 
 OPEN_END = "9999-12-31"
 SPINE_START, SPINE_END = "2019-01-01", "2026-12-31"
@@ -189,11 +190,9 @@ def incremental_merge(existing: DataFrame, incoming: DataFrame, key: str, date:
     return existing.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def refresh(aggregates: Mapping[str, DataFrame], root: str) -> list[str]:
-    """Recompute and overwrite each aggregate table below ``root``; returns the written paths."""
-    paths = []
+def refresh(aggregates: Mapping[str, DataFrame], tables: Tables) -> Tables:
+    """Recompute each aggregate table and make all of them known at once, with what else has changed in ``tables``."""
     for name, frame in aggregates.items():
-        path = f"{root.rstrip('/')}/{name}"
-        frame.write.mode("overwrite").parquet(path)
-        paths.append(path)
-    return paths
+        tables.put(name, frame)
+    tables.publish()
+    return tables

@@ -5,16 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tidemark.functions.scoring import ALERT_VITAL_RANGES
 from tidemark.operators.events import SPIKE_DELTA, SPIKE_HOURS, open_alerts, vital_alerts
-from tidemark.operators.ranks import latest_per_key
-from tidemark.session import shared_folder, written
+from tidemark.session import shared_folder
+from tidemark.sources.versions import Tables
 
 LATENESS = "1 hour"
 HOUR_US = 3_600_000_000
@@ -175,46 +173,21 @@ def score_spike_stream(
     return _with_timers(known, "entity", _Spikes(hours, delta), "entity string, at timestamp, previous double, score double, delta double")
 
 
-def _read_if_written(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """The table at a path, or no rows where nothing has been written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def append_features(rows: DataFrame, target: str, key: str, date: str, lateness_days: int = 1) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that merges each batch by key into ``target``/rows, partitioned by month.
+def append_features(target: str, key: str, date: str, lateness_days: int = 1) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that merges each batch by key into the table ``rows`` of the versioned tables at ``target``.
 
     Rows older than the newest known day less the allowance are passed over. Only months that get a row, or hold a
-    replaced one, are rewritten; finding those reads the key column alone. The new months are staged in the shared
-    folder and then swapped in, and the mark of a batch is stored before its first write, so a repeated batch decides
-    as the first time and gives the same table.
+    replaced one, are rewritten, and only the buckets of the key index that the batch's keys fall into are read. A batch is
+    known, with its number, by one pointer written last: a batch that dies changes nothing, one that is repeated is passed
+    over.
     """
-    schema = T.StructType([*rows.schema.fields, T.StructField("month", T.StringType())])
-    table, mark_schema = f"{target}/rows", "mark date"
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = _read_if_written(spark, table, schema)
-        mark_path = f"{target}/marks/batch={batch_id}"
-        if _read_if_written(spark, mark_path, mark_schema).isEmpty():
-            newest = known.agg(F.date_sub(F.max(F.to_date(date)), lateness_days).alias("mark"))
-            newest.coalesce(1).write.mode("overwrite").parquet(mark_path)
-        mark = spark.read.schema(mark_schema).parquet(mark_path).first()["mark"]
-        new = batch if mark is None else batch.filter(F.to_date(date) > F.lit(mark))
-        fresh = latest_per_key(new, [key], [F.desc(date)]).withColumn("month", F.date_format(date, "yyyy-MM"))
-        fresh = written(fresh, f"batch-{batch_id}")
-        replaced = known.join(fresh.select(key), key, "left_semi").select("month")
-        months = [r["month"] for r in replaced.unionByName(fresh.select("month")).distinct().collect()]  # calendar-bounded
-        kept = known.filter(F.col("month").isin(months)).join(fresh.select(key), key, "left_anti")
-        merged = written(kept.unionByName(fresh), f"merged-{batch_id}")
-        merged.write.partitionBy("month").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(table)
-        filled = {r["month"] for r in merged.select("month").distinct().collect()}
-        for month in set(months) - filled:
-            merged.limit(0).drop("month").write.mode("overwrite").parquet(f"{table}/month={month}")
+        tables = Tables(batch.sparkSession, target)
+        if tables.note is not None and int(tables.note) >= batch_id:
+            return
+        tables.merge("rows", batch, key, date, lateness_days)
+        tables.publish(str(batch_id))
 
     return merge
 
