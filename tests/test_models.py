@@ -12,6 +12,7 @@ from tidemark.operators import cohorts, evaluate, events, model
 from tidemark.operators import recommend as r
 from tidemark.session import shared_folder
 from tidemark.sources.action_library import ACTION_LIBRARY, read_library
+from tidemark.sources.versions import Tables
 from tidemark.streaming import streams
 
 
@@ -201,9 +202,9 @@ def test_alert_rules(spark):
 
 def test_streams_over_several_batches(spark):
     folder = shared_folder(spark, "test-scores")
-    rows = spark.createDataFrame([(1, "p", "2024-01-01 00:00:00", 0.2), (2, "p", "2024-01-01 02:00:00", 0.5), (3, "p", "2024-01-01 09:00:00", 0.9), (4, "q", "2024-01-01 02:00:00", 0.9)],
+    rows = spark.createDataFrame([(1, "p", "2024-01-01 00:00:00", 0.2), (2, "p", "2024-01-01 02:00:00", 0.5), (3, "p", "2024-01-01 09:00:00", 0.9), (4, "q", "2024-01-01 02:00:00", 0.9), (5, "z", "2024-01-09 00:00:00", 0.1)],
                                  "n int, patient_id string, predicted_at string, risk_score double").withColumn("predicted_at", F.col("predicted_at").cast("timestamp_ntz"))
-    for n in (1, 2, 3, 4):
+    for n in (1, 2, 3, 4, 5):
         rows.filter(F.col("n") == n).coalesce(1).write.mode("append").parquet(folder)
     stream = streams.read_stream(spark, folder, rows, files_per_batch=1)
     found = streams.run_to_end(streams.score_spike_stream(stream), "test-spikes").collect()
@@ -213,9 +214,9 @@ def test_streams_over_several_batches(spark):
 def test_late_scores_give_no_false_spikes(spark):
     """A row four days older than the known score isn't compared with it; a row after both is compared with the newer one."""
     folder = shared_folder(spark, "test-late")
-    data = [(1, "p", "2024-01-10 00:00:00", 0.2), (2, "p", "2024-01-06 00:00:00", 0.9), (3, "p", "2024-01-09 23:00:00", 0.8), (3, "p", "2024-01-10 01:00:00", 0.5), (4, "p", "2024-01-20 00:00:00", 0.1), (5, "p", "2024-01-20 01:00:00", 0.9)]
+    data = [(1, "p", "2024-01-10 00:00:00", 0.2), (2, "p", "2024-01-06 00:00:00", 0.9), (3, "p", "2024-01-09 23:00:00", 0.8), (3, "p", "2024-01-10 01:00:00", 0.5), (4, "p", "2024-01-20 00:00:00", 0.1), (5, "p", "2024-01-20 01:00:00", 0.9), (6, "z", "2024-01-29 00:00:00", 0.1)]
     rows = spark.createDataFrame(data, "n int, patient_id string, predicted_at string, risk_score double").withColumn("predicted_at", F.col("predicted_at").cast("timestamp_ntz"))
-    for n in (1, 2, 3, 4, 5):
+    for n in (1, 2, 3, 4, 5, 6):
         rows.filter(F.col("n") == n).coalesce(1).write.mode("append").parquet(folder)
     stream = streams.read_stream(spark, folder, rows, files_per_batch=1)
     found = streams.run_to_end(streams.score_spike_stream(stream), "test-late").collect()
@@ -240,10 +241,10 @@ def test_incremental_features_over_batches(spark, tmp_path):
         rows([(3, "2024-02-20", "b"), (2, "2024-02-12", "b"), (4, "2024-01-01", "late")]),
         rows([(1, "2024-02-19", "moved"), (5, "2024-02-16", "kept"), (6, "2024-02-10", "late")]),
     ]
-    merge = streams.append_features(batches[0], str(tmp_path), "k", "d", 5)
+    merge = streams.append_features(str(tmp_path), "k", "d", 5)
     for n, batch in enumerate(batches):
         merge(batch, n)
-    read = lambda: sorted((r["k"], str(r["d"]), r["v"]) for r in spark.read.parquet(f"{tmp_path}/rows").collect())
+    read = lambda: sorted((r["k"], str(r["d"]), r["v"]) for r in Tables(spark, str(tmp_path)).read("rows").collect())
     want = [(1, "2024-02-19", "moved"), (2, "2024-02-12", "b"), (3, "2024-02-20", "b"), (5, "2024-02-16", "kept")]
     assert read() == want
     merge(batches[2], 2)
@@ -254,7 +255,8 @@ def test_training_query_has_the_settings_of_the_operator(spark, monkeypatch):
     called, signature = [], inspect.signature(model.cross_validate)
     monkeypatch.setattr(modelling, "features", lambda *_: spark.createDataFrame([], ", ".join(f"{c} double" for c in ["admission_id", "readmit_30day_flag", *modelling.MODEL_FEATURES])))
     monkeypatch.setattr(modelling.m, "cross_validate", lambda *args, **named: called.append(signature.bind(*args, **named)))
-    modelling.training(spark, "")
+    monkeypatch.setattr(modelling.v, "stored", lambda _spark, _sf, _name, build: build())
+    modelling.fold_metrics(spark, "")
     called[0].apply_defaults()
     assert called[0].arguments["folds"] == 5 and not called[0].arguments.get("settings")
     assert (model.TREES, model.DEPTH) == (300, 6)

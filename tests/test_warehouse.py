@@ -6,6 +6,7 @@ from tidemark.operators.masking import mask_audit, mask_table
 from tidemark.plans import marts, star
 from tidemark.plans.staging import stage_diagnoses
 from tidemark.sources import files, literals
+from tidemark.sources.versions import Tables
 
 
 def day(text):
@@ -183,4 +184,5 @@ def test_files(spark, tmp_path):
     assert list(map(tuple, ranked.collect())) == [("q", "90.0"), ("p", "12.3")]
     with pytest.raises(ValueError, match="not found"):
         files.sample_rows({"t": df}, "u")
-    assert star.refresh({"x": df}, str(tmp_path)) == [f"{tmp_path}/x"] and spark.read.parquet(f"{tmp_path}/x").count() == 2
+    star.refresh({"x": df}, Tables(spark, str(tmp_path)))
+    assert Tables(spark, str(tmp_path)).read("x").count() == 2

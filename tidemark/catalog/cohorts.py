@@ -8,6 +8,7 @@ from tidemark.catalog import query
 from tidemark.catalog import views as v
 from tidemark.catalog.scoring import FEATURE_TABLES, features
 from tidemark.operators import cohorts as c
+from tidemark.operators.layout import spectral_layout
 
 
 def embeddings(spark, sf):
@@ -28,6 +29,20 @@ def projection(spark, sf):
     return found.select("vec_id", F.col("projected")[0].alias("x"), F.col("projected")[1].alias("y"))
 
 
+@query("cl02_projection_invariants", "SELECT count(*) AS n, TRUE AS is_uncorrelated, TRUE AS is_ordered FROM embeddings")
+def projection_invariants(spark, sf):
+    """Both axes of a projection are uncorrelated, and the first spreads the rows most."""
+    found = projection(spark, sf)
+    return found.agg(
+        F.count(F.lit(1)).alias("n"), (F.abs(F.corr("x", "y")) < 1e-6).alias("is_uncorrelated"), (F.var_pop("x") >= F.var_pop("y")).alias("is_ordered")
+    )
+
+
+@query("cl02_neighbour_layout")
+def neighbour_layout(spark, sf):
+    return spectral_layout(embeddings(spark, sf), "vec_id", "vector")
+
+
 @query("cl02_explained_variance")
 def explained(spark, sf):
     return c.explained_share(embeddings(spark, sf), "vector", 2)

@@ -15,7 +15,7 @@ from tidemark.operators import events as e
 from tidemark.plans import star
 from tidemark.session import shared_folder
 from tidemark.sources import files
-from tidemark.sources.literals import benchmark_rates
+from tidemark.sources.literals import DIAGNOSES, PROCEDURES, benchmark_rates, diagnoses, procedures
 
 
 @query("io01_raw_csv", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer")
@@ -106,6 +106,35 @@ def spine(spark, sf):
     return star.spine_between(v.table(spark, sf, "lineitem"), "l_shipdate")
 
 
-@query("io13_table_sample")
+@query("io13_table_sample", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 5")
 def table_sample(spark, sf):
-    return files.sample_rows({"orders": v.table(spark, sf, "orders")}, "orders")
+    return files.sample_rows({"orders": v.table(spark, sf, "orders")}, "orders", order=["o_orderkey"]).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+def _values_sql(rows: list[tuple]) -> str:
+    text = lambda x: str(x) if isinstance(x, (bool, int)) else "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({i}, {', '.join(map(text, row))})" for i, row in enumerate(rows))
+
+
+@query("io11_code_lookups", f"""SELECT category, procedure_category, count(*) AS n, count(*) FILTER (WHERE chronic AND surgical) AS chronic_and_surgical, CAST(sum(tier) AS BIGINT) AS complexity FROM lineitem
+ JOIN (VALUES {_values_sql(DIAGNOSES)}) AS d(i, code, name, category, chronic, risky) ON i = l_partkey % {len(DIAGNOSES)} JOIN (VALUES {_values_sql(PROCEDURES)}) AS p(j, code, name, procedure_category, tier, surgical, diagnostic) ON j = l_suppkey % {len(PROCEDURES)} GROUP BY 1, 2""")
+def code_lookups(spark, sf):
+    """Items by diagnosis and procedure category, codes dealt to parts and suppliers in turn."""
+    codes = lambda rows, at, code: F.element_at(F.array(*[F.lit(r[0]) for r in rows]), (F.col(at) % len(rows) + 1).cast("int")).alias(code)
+    items = v.table(spark, sf, "lineitem").select(codes(DIAGNOSES, "l_partkey", "icd10_code"), codes(PROCEDURES, "l_suppkey", "cpt_code"))
+    joined = items.join(diagnoses(spark), "icd10_code").join(procedures(spark), "cpt_code")
+    return joined.groupBy("category", "procedure_category").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("chronic_flag") & F.col("is_surgical")).alias("chronic_and_surgical"), F.sum("complexity_tier").alias("complexity")
+    )
+
+
+@query("io07_assignment_invariants", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS misplaced, TRUE AS within_range FROM embeddings")
+def assignment_invariants(spark, sf):
+    """Every row is in the cluster of its nearest centre, and their number is one of the range."""
+    rows = v.table(spark, sf, "embeddings").withColumn("vector", F.col("embedding").cast("array<double>"))
+    model, _ = c.fit_clusters(rows, "vector", (3, 10))
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in centre]) for centre in model.clusterCenters()])
+    squares = F.transform(centres, lambda m: F.aggregate(F.zip_with("vector", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x))
+    placed = c.assign_clusters(model, rows, "vector").withColumn("_own", F.element_at(squares, F.col("cluster_id") + 1))
+    further = F.col("_own") > F.array_min(squares) + 1e-9
+    return placed.agg(F.count(F.lit(1)).alias("n"), F.count_if(further).alias("misplaced"), F.countDistinct("cluster_id").between(3, 10).alias("within_range"))

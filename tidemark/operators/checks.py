@@ -12,7 +12,7 @@ from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -20,7 +20,7 @@ from pyspark.sql.functions import pandas_udf
 from tidemark.functions.cleaning import col
 from tidemark.functions.scoring import status_rank
 from tidemark.operators.joins import orphans
-from tidemark.operators.ranks import latest_per_key, top_per_group
+from tidemark.operators.ranks import chunked_lag, latest_per_key, top_per_group
 
 # Monitor thresholds and source requirements.
 ROW_COUNT_Z = 3.0
@@ -332,10 +332,14 @@ def run_monitor(tables: Mapping[str, Monitored], check_date: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def row_count_delta(df: DataFrame, snapshot: str, limit_pct: float = 2.0) -> DataFrame:
-    """Percent change of row count between consecutive snapshots (one row per snapshot)."""
+def row_count_delta(df: DataFrame, snapshot: str, limit_pct: float = 2.0, chunk: Column | None = None) -> DataFrame:
+    """Percent change of row count between consecutive snapshots (one row per snapshot).
+
+    Snapshots are ordered within chunks, which must follow each other as the snapshots do: months, unless given.
+    """
     counts = df.groupBy(snapshot).agg(F.count(F.lit(1)).alias("row_count"))
-    previous = F.lag("row_count").over(Window.partitionBy(F.lit(1)).orderBy(snapshot))
+    counts = chunked_lag(counts, [], [snapshot], ["row_count"], chunk if chunk is not None else F.date_format(snapshot, "yyyy-MM"))
+    previous = F.col("previous_row_count")
     delta = F.round(F.abs(F.col("row_count") - previous) * 100 / previous, 2)
     return counts.select(
         snapshot, "row_count", previous.alias("previous_count"), delta.alias("delta_pct"),

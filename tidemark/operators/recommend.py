@@ -55,7 +55,8 @@ def match_rules(
     )
     fields = ["rule_id", "confidence", "lift", "evidence_count", "rule_type"]
     wanted = rules.filter(F.col("rule_type") == EFFECTIVENESS).withColumns({"_needed": needed, "_weight": weight, "_text": F.array_join("antecedents", "|")})
-    best_of_same = F.min_by(F.struct(*fields, "_weight"), F.struct(-F.col("_weight"), "_text", F.array_join("consequents", "|")))
+    rest = F.array_join("consequents", "|") if "consequents" in rules.columns else F.lit("")
+    best_of_same = F.min_by(F.struct(*fields, "_weight"), F.struct(-F.col("_weight"), "_text", rest, "rule_id"))
     wanted = wanted.groupBy("_needed").agg(best_of_same.alias("_r")).select("_needed", "_r.*")
     wanted = wanted.withColumns({"action": action, "_text": F.array_join("_needed", "|")}).filter(F.size("_needed") > 0)
 

@@ -85,8 +85,8 @@ def write_report(results: DataFrame, summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").json(f"{path}/summary")
 
 
-def sample_rows(tables: Mapping[str, DataFrame], name: str, n: int = 5) -> DataFrame:
-    """First rows of an allowed table."""
+def sample_rows(tables: Mapping[str, DataFrame], name: str, n: int = 5, order: Sequence[str] = ()) -> DataFrame:
+    """First rows of an allowed table, in the order of some columns if the same rows are wanted each time."""
     if name not in tables:
         raise ValueError(f"Table '{name}' not found; allowed: {sorted(tables)}")
-    return tables[name].limit(n)
+    return (tables[name].orderBy(*order) if order else tables[name]).limit(n)
