@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import query
 from tidemark.catalog import views as v
-from tidemark.catalog.scoring import FEATURE_TABLES, features
+from tidemark.catalog.scoring import ASSIGNED, FACTORS, FEATURE_TABLES, HEURISTIC, features
+from tidemark.functions.scoring import heuristic_score
 from tidemark.operators import baskets as b
 from tidemark.operators import recommend as r
+from tidemark.plans import marts
 from tidemark.sources.action_library import ACTION_LIBRARY
 
 BASKET_SQL = "b AS MATERIALIZED (SELECT DISTINCT l_orderkey AS k, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT count(DISTINCT k) AS n FROM b)"
@@ -230,3 +232,23 @@ def plan_of_both(spark, sf):
 def plans(spark, sf):
     nested = r.nested_plans(ranked_actions(spark, sf), "admission_id")
     return nested.withColumn("recommendations", F.to_json("recommendations"))
+
+
+@query("bm12_care_plans", v.with_tables(*PLAN_SQL, ASSIGNED, f"""scored AS (SELECT admission_id, patient_id, round({HEURISTIC}, 4) AS risk_score, {FACTORS} AS factors, risk_cohort FROM features LEFT JOIN (SELECT patient_id, risk_cohort FROM assigned) USING (patient_id)),
+means AS (SELECT risk_cohort, {v.mean_sql('risk_score', 4)} AS cohort_average_risk FROM scored WHERE risk_cohort IS NOT NULL GROUP BY 1),
+acts AS (SELECT admission_id, string_agg(name, '|' ORDER BY priority) AS actions, count(*) AS recommendation_count, array_to_string(list_sort(list_distinct(list(category))), ',') AS categories FROM plan GROUP BY 1)""",
+"""SELECT admission_id, patient_id, risk_score, CASE WHEN risk_score >= 0.80 THEN 'critical' WHEN risk_score >= 0.65 THEN 'high' WHEN risk_score >= 0.35 THEN 'medium' ELSE 'low' END AS risk_tier, factors, coalesce(actions, '') AS actions,
+ coalesce(recommendation_count, 0) AS recommendation_count, coalesce(categories, '') AS categories, coalesce(risk_cohort, 'Unknown') AS cohort_name, coalesce(cohort_average_risk, 0.5::DOUBLE) AS cohort_average_risk
+FROM scored LEFT JOIN means USING (risk_cohort) LEFT JOIN acts USING (admission_id)"""))
+def care_plans(spark, sf):
+    """Whole plans, nested parts as text; a library action is shown by its key."""
+    scored = features(spark, sf).withColumn("risk_score", F.round(heuristic_score(), 4))
+    cohorts = marts.patient_risk_cohorts(v.admissions(spark, sf), v.patients(spark, sf), v.comorbidity(spark, sf), v.history(spark, sf))
+    name = F.when(F.col("evidence_source") == "association_rules", F.col("action")).otherwise(F.col("key"))
+    shown = ranked_actions(spark, sf).withColumn("action", name)
+    found = r.care_plans(scored, shown, cohorts.select("patient_id", F.col("risk_cohort").alias("cohort_name")))
+    return found.select(
+        "admission_id", "patient_id", "risk_score", "risk_tier", F.array_join(F.transform("risk_factors", lambda x: x["feature"]), ",").alias("factors"),
+        F.coalesce(F.array_join(F.transform("recommendations", lambda x: x["action"]), "|"), F.lit("")).alias("actions"), "recommendation_count",
+        F.array_join("categories_covered", ",").alias("categories"), "cohort_name", "cohort_average_risk",
+    )

@@ -55,12 +55,13 @@ def tier_and_survival(spark, sf):
     return v.comorbidity(spark, sf).select("patient_id", "cci_risk_tier", "estimated_10yr_survival")
 
 
-COHORTS = v.with_tables(*v.ADMISSION_TABLES, *v.PATIENT_TABLES, v.COMORBIDITY, v.HISTORY, """latest AS (SELECT DISTINCT ON (patient_id) * FROM stg_admissions ORDER BY patient_id, admission_date DESC NULLS FIRST, admission_id DESC),
+ASSIGNED = """latest AS (SELECT DISTINCT ON (patient_id) * FROM stg_admissions ORDER BY patient_id, admission_date DESC NULLS FIRST, admission_id DESC),
 assigned AS (SELECT l.patient_id, l.admission_id AS latest_admission_id, l.department AS latest_department, c.charlson_comorbidity_index, h.prior_admissions_12m, insurance_category = 'Medicaid' AS sdoh_risk_flag,
  CASE WHEN charlson_comorbidity_index >= 6 OR prior_readmissions_1y >= 3 OR (icu_flag AND prior_admissions_90d >= 2) THEN 'T1_CatastrophicRisk'
  WHEN charlson_comorbidity_index BETWEEN 3 AND 5 OR prior_readmissions_1y = 2 OR high_utilizer_flag THEN 'T2_HighRisk'
  WHEN charlson_comorbidity_index BETWEEN 1 AND 2 OR prior_admissions_12m >= 2 THEN 'T3_ModerateRisk' ELSE 'T4_LowRisk' END AS risk_cohort
- FROM latest l LEFT JOIN stg_patients p USING (patient_id) LEFT JOIN cci c USING (patient_id) LEFT JOIN history h ON h.admission_id = l.admission_id)""",
+ FROM latest l LEFT JOIN stg_patients p USING (patient_id) LEFT JOIN cci c USING (patient_id) LEFT JOIN history h ON h.admission_id = l.admission_id)"""
+COHORTS = v.with_tables(*v.ADMISSION_TABLES, *v.PATIENT_TABLES, v.COMORBIDITY, v.HISTORY, ASSIGNED,
 """SELECT patient_id, latest_admission_id, latest_department, CAST(charlson_comorbidity_index AS BIGINT) AS charlson_comorbidity_index, prior_admissions_12m, sdoh_risk_flag, risk_cohort,
  CAST(CASE risk_cohort WHEN 'T1_CatastrophicRisk' THEN 1 WHEN 'T2_HighRisk' THEN 2 WHEN 'T3_ModerateRisk' THEN 3 ELSE 4 END AS BIGINT) AS risk_cohort_rank FROM assigned""")
 
@@ -117,9 +118,12 @@ def weighted_factors(spark, sf):
     return features(spark, sf).select("admission_id", F.array_join(shown, ",").alias("factors"))
 
 
-@query("sc09_threshold_factors", v.with_tables(*FEATURE_TABLES, """SELECT admission_id, array_to_string(list_filter([CASE WHEN prior_admissions_12m >= 3 THEN 'prior_admissions_12m' END, CASE WHEN prior_readmissions_1y >= 1 THEN 'prior_readmissions_1y' END, CASE WHEN charlson_comorbidity_index >= 3 THEN 'charlson_comorbidity_index' END,
+FACTORS = """array_to_string(list_filter([CASE WHEN prior_admissions_12m >= 3 THEN 'prior_admissions_12m' END, CASE WHEN prior_readmissions_1y >= 1 THEN 'prior_readmissions_1y' END, CASE WHEN charlson_comorbidity_index >= 3 THEN 'charlson_comorbidity_index' END,
  CASE WHEN length_of_stay_days >= 7 THEN 'length_of_stay_days' END, CASE WHEN icu_days >= 2 THEN 'icu_days' END, CASE WHEN comorbidity_count >= 4 THEN 'comorbidity_count' END, CASE WHEN high_utilizer_flag >= 1 THEN 'high_utilizer_flag' END,
- CASE WHEN days_since_last_discharge >= 30 THEN 'days_since_last_discharge' END], lambda x: x IS NOT NULL), ',') AS factors FROM features"""))
+ CASE WHEN days_since_last_discharge >= 30 THEN 'days_since_last_discharge' END], lambda x: x IS NOT NULL), ',')"""
+
+
+@query("sc09_threshold_factors", v.with_tables(*FEATURE_TABLES, f"SELECT admission_id, {FACTORS} AS factors FROM features"))
 def threshold_factors(spark, sf):
     return features(spark, sf).select("admission_id", F.array_join(F.transform(s.threshold_factors(), lambda x: x["feature"]), ",").alias("factors"))
 

@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import scoring
 from tidemark.functions.cleaning import encode, fill_template
 from tidemark.operators.baskets import EFFECTIVENESS, SUCCESS_ITEM
 from tidemark.operators.bitmaps import WORD, numbered_items, profiles, stored_sets_inside
@@ -28,7 +29,7 @@ CATEGORY_LABELS = {
     "clinical_monitoring": "Clinical Monitoring",
     "specialist_referral": "Specialist Referral",
 }
-LEAST_OVERLAP = 0.5
+LEAST_OVERLAP, UNKNOWN_RISK = 0.5, 0.5
 MOST_ITEMS = 16
 CANDIDATE = [
     "key", "action", "category", "rationale", "evidence_grade", "source", "reduces_readmission_by_pct", "responsible_role",
@@ -208,3 +209,21 @@ def nested_plans(plan: DataFrame, key: str) -> DataFrame:
     """One row per entity with its actions in order; at most ten, so the array is small."""
     fields = ["priority", "category", "category_label", "action", "rationale", "evidence_strength", "reduces_readmission_by_pct", "time_sensitivity", "responsible_role"]
     return plan.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("recommendations"))
+
+
+def care_plans(features: DataFrame, plan: DataFrame, cohorts: DataFrame, key: str = "admission_id", entity: str = "patient_id", score: str = "risk_score") -> DataFrame:
+    """One row per row of ``features``: score, tier, risk factors, ranked actions, the categories that they cover, and the entity's cohort
+    (``cohorts``: entity, cohort_name) with the mean score of its rows. Rows without a cohort have ``Unknown`` and 0.5.
+    """
+    risk = F.col(score).cast("decimal(10,4)")
+    scored = features.select(key, entity, F.round(score, 4).alias("risk_score"), scoring.risk_tier(score).alias("risk_tier"), scoring.threshold_factors().alias("risk_factors"), risk.alias("_risk"))
+    placed = scored.join(cohorts.select(entity, "cohort_name"), entity, "left")
+    means = placed.where(F.col("cohort_name").isNotNull()).groupBy("cohort_name").agg(F.round(F.sum("_risk").cast("decimal(38,8)") / F.count("_risk"), 4).cast("double").alias("_mean"))
+    covered = plan.groupBy(key).agg(F.count(F.lit(1)).alias("_count"), F.array_sort(F.collect_set("category")).alias("_categories"))  # ten actions at most
+    actions = nested_plans(plan, key).join(covered, key)
+    found = placed.join(means, "cohort_name", "left").join(actions, key, "left")
+    return found.select(
+        key, entity, "risk_score", "risk_tier", "risk_factors", "recommendations", F.coalesce("_count", F.lit(0)).alias("recommendation_count"),
+        F.coalesce("_categories", F.array().cast("array<string>")).alias("categories_covered"), F.coalesce("cohort_name", F.lit("Unknown")).alias("cohort_name"),
+        F.coalesce("_mean", F.lit(UNKNOWN_RISK)).alias("cohort_average_risk"),
+    )
