@@ -90,15 +90,13 @@ def test_orc_encoder_equals_the_library():
     with open(JSON, "rb") as file:
         made = token_orc.FileEncoder(file.read())
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
-    texts = odd_texts()
+    texts = [*odd_texts(), "a<|endoftext|>b <|endoftext|> c", "<|endoftext|>", " <|endoftext|>\n<|endoftext", "<|endoftext|><|endoftext|>"]
     want = library.encode_batch(texts, add_special_tokens=False)
     assert all(np.frombuffer(ids, "<u4").tolist() == w.ids for ids, w in zip(made.encode_all(texts), want))
 
 
 def test_orc_files_hold_ids_in_order(spark):
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
     path = shared_folder(spark, "test-orc")
     token_orc.write_ids(documents(spark), token_orc.sent_tokenizer(spark, JSON), 2, path, ranges=3)
     found = sorted(token_orc.read_digests(spark, path).collect(), key=lambda r: r.start)

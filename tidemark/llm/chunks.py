@@ -12,13 +12,16 @@ _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 CHUNKS = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^{_BLANK}.,;:!?])| ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 #: A chunk that is a single match of the pattern for sure.
 LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: Chunks kept in each of two generations; characters of text that are encoded together.
+#: Chunks kept unless an encoder says otherwise; characters of text that are encoded together.
 CACHED, TOGETHER = 400_000, 3_000_000
 
 
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers; ``ids_of`` gives those of chunks that aren't known yet."""
 
+    #: Chunks kept in each of two generations.
+    cached = CACHED
+
     def __init__(self):
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -37,7 +40,7 @@ class ChunkEncoder:
         yield from self._encode(held)
 
     def _encode(self, held: list[list[str]]) -> Iterator[bytes]:
-        if len(self.cache) >= CACHED:  # what is asked for again moves back from the old generation
+        if len(self.cache) >= self.cached:  # what is asked for again moves back from the old generation
             self.old, self.cache = self.cache, {}
         found = [list(map(self.cache.get, chunks)) for chunks in held]
         gaps = [[c for c, i in zip(chunks, ids) if i is None] for chunks, ids in zip(held, found)]

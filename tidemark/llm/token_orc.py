@@ -4,12 +4,13 @@ Documents are put into ascending order of doc_id by range, encoded with a tokeni
 with an end id, and written as ORC: one file per range, sorted within, so that a reader can take stripes in parallel and
 skip stripes and row groups by the doc_id's minimum, maximum and Bloom filter.
 
-Encoding goes through distinct chunks: texts are cut at blanks, and between letters and the marks that end them, where no
+Encoding goes through distinct chunks, but for texts that hold an added token of the file: texts are cut at blanks, and between letters and the marks that end them, where no
 match of the tokenizer's pattern can cross; only chunks that a worker hasn't met are given to the library, and the cache of
 its results is bounded.
 
 Starts are prefix sums of the counts that the files hold: within each file's range by a window, over ranges by a small table
-with one row per file. Ranges are made by sampling, so a hot source doesn't matter; rows of one repeated id stay together.
+with one row per file. Ranges are made by sampling ids and beginnings of texts, so neither a hot source nor an id that a third
+of the rows share is one file, unless its texts begin alike.
 
 Defined results: null text is the empty text, which has the end id only; null ids come first; of repeated ids, rows are
 ordered by text; an empty table gives no rows; other columns are ignored.
@@ -17,6 +18,7 @@ ordered by text; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -33,8 +35,8 @@ from tidemark.llm.chunks import LETTERS, ChunkEncoder
 from tidemark.llm.common import table, whole_text
 from tidemark.session import shared_folder
 
-#: Rows of an output batch.
-ROWS = 1024
+#: Rows of an output batch; rows of a file, where there are more of them than a file for each shuffle partition would take.
+ROWS, RANGE_ROWS = 1024, 200_000
 #: Byte-level alphabet: bytes without a visible sign of their own are shown by the signs from 256 on, in order.
 _UNSEEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
 _BYTE_SIGNS = [chr(256 + _UNSEEN.index(b)) if b in _UNSEEN else chr(b) for b in range(256)]
@@ -47,13 +49,22 @@ ORC_OPTIONS = {
 class FileEncoder(ChunkEncoder):
     """Encodes by a tokenizer file."""
 
+    cached = 250_000
+
     def __init__(self, tokenizer_file: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_file.decode())
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token["content"] for token in json.loads(tokenizer_file)["added_tokens"]]
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Texts that hold one of the file's added tokens, which the library finds before all else, go to it whole."""
+        whole = [any(token in text for token in self.added) for text in texts]
+        others = super().encode_all([text for text, is_whole in zip(texts, whole) if not is_whole])
+        for text, is_whole in zip(texts, whole):
+            yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() if is_whole else next(others)
 
     def ids_of(self, chunks: list[str]) -> list[bytes]:
         """Single pre-tokens go to the library's model at once, in its alphabet for bytes; other chunks through all steps."""
@@ -101,9 +112,9 @@ def write_ids(docs: DataFrame, tokenizer: Broadcast, end_id: int, path: str, ran
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), places, pa.ListArray.from_arrays(stops, values)], names=["doc_id", "piece", "place", "ids"])
 
     spark = docs.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_ROWS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    ordered = rows.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = rows.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     placed = ordered.select("doc_id", F.spark_partition_id().alias("piece"), "text")
     placed.mapInArrow(run, "doc_id long, piece int, place long, ids array<int>").write.options(**ORC_OPTIONS).orc(path)
 
