@@ -9,7 +9,9 @@ import public_tokenizers
 import pytest
 import tiktoken
 from cases import WORD, near_components
+from pyspark.sql import functions as F
 
+import cases
 import corpus_pipeline
 from tidemark.llm import byte_bpe, quality_classifier
 from tidemark.llm.common import table
@@ -74,3 +76,26 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
         empty = stage(spark, docs.limit(0), SF)
         assert empty.columns == docs.columns and empty.count() == 0, name
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "mix", "encode"]
+
+
+def test_every_stage_takes_clashing_columns_and_odd_rows(spark, tmp_path):
+    """Columns named like those that the stages work with, nulls, repeated ids and rows: columns and kept texts stay as they are."""
+    clashing = ["score", "predicted", "row", "held_out", "kept", "component_id", "keep_id", "taken", "target", "size", "key", "words", "digest", "copies"]
+    docs = cases.documents(spark).select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(c).alias(c) for c in clashing])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (16, 0, 0), (17, 0, 0), (14, None, 0), (None, 1, None), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    given = {(r.doc_id, r.text) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert {(r.doc_id, r.text) for r in found} <= given and all(r.score == "score" and r.size == "size" for r in found), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_a_repeated_id_is_learned_the_same_way_each_time(spark):
+    texts = [(i, f"word{i % 7} and more of it " * 5) for i in range(60)] + [(3, "$$$ ### other text"), (3, "a third one")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    models = [quality_classifier.fit(docs.repartition(n), labels) for n in (1, 5)]
+    assert np.array_equal(models[0].by_bucket, models[1].by_bucket) and models[0].bias == models[1].bias

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import operator
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,7 +93,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **settings
     marked = labels.where(F.col("quality").isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("quality").alias("__share"))
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     chosen = marked.withColumn("__order", order).orderBy("__order").limit(max_rows).select("doc_id", "__order", (F.col("__share") >= 0.5).cast("int").alias("__label"))
-    texts = docs.select("doc_id", whole_text().alias("__text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", whole_text().alias("__text")).join(F.broadcast(chosen), "doc_id")
+    first = F.struct(F.md5("__text"), "__text")  # of a repeated id, the text whose hash is least
+    texts = texts.groupBy("doc_id", "__order", "__label").agg(F.min(first)["__text"].alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = BoundedCache(word_features, 50_000)
@@ -131,32 +133,39 @@ def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
     return _with_scores(given, model, "doc_id long, held_out boolean")
 
 
+def _scorer(by_bucket: np.ndarray, bias: float) -> Callable[[str], float]:
+    """The score of a text; values of frequent words are kept."""
+    repeat_value = float(by_bucket[REPEAT_BUCKET])
+
+    def value(word: bytes) -> tuple[float, int]:
+        found = word_features(word)
+        return float(by_bucket[found].sum()), len(found)
+
+    cache = BoundedCache(value, CACHED_WORDS)
+
+    def score(text: str) -> float:
+        words = text.encode().split()
+        count = repeats(words)
+        total = count * repeat_value
+        for word in words:
+            v, n = cache[word]
+            total += v
+            count += n
+        logit = bias + total / (count + PADDING)
+        return 1 / (1 + np.exp(-max(-500.0, min(500.0, logit))))
+
+    return score
+
+
 def _with_scores(given: DataFrame, model: QualityModel, kept: str) -> DataFrame:
     """All columns of ``given`` but the last, its text, with score and predicted."""
     sent = given.sparkSession.sparkContext.broadcast((model.by_bucket, model.bias))
     names = [*given.columns[:-1], "score", "predicted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_bucket, bias = sent.value
-        repeat_value = float(by_bucket[REPEAT_BUCKET])
-
-        def value(word: bytes) -> tuple[float, int]:
-            found = word_features(word)
-            return float(by_bucket[found].sum()), len(found)
-
-        cache = BoundedCache(value, CACHED_WORDS)
+        score = _scorer(*sent.value)
         for batch in batches:
-            scores = []
-            for text in batch.column(batch.num_columns - 1):
-                words = text.as_py().encode().split()
-                count = repeats(words)
-                total = count * repeat_value
-                for word in words:
-                    v, n = cache[word]
-                    total += v
-                    count += n
-                logit = bias + total / (count + PADDING)
-                scores.append(1 / (1 + np.exp(-max(-500.0, min(500.0, logit)))))
+            scores = [score(text.as_py()) for text in batch.column(batch.num_columns - 1)]
             predicted = pa.array([int(s >= 0.5) for s in scores], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), predicted], names=names)
 
@@ -166,9 +175,17 @@ def _with_scores(given: DataFrame, model: QualityModel, kept: str) -> DataFrame:
 def good_documents(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, columns as given, that the model trained on ``labels`` does not reject."""
     model = fit(docs, labels, **settings)
-    given = docs.select("*", F.lit(None).cast("string").alias("__unused"), whole_text().alias("__text")).drop("__unused")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return _with_scores(given, model, kept).where("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    given = docs.select(F.struct("*").alias("row"))  # names of columns can't clash, and a text goes to Python once
+    sent = docs.sparkSession.sparkContext.broadcast((model.by_bucket, model.bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(*sent.value)
+        for batch in batches:
+            rows = batch.column(0)
+            kept = pa.array([score(text.as_py() or "") >= 0.5 for text in rows.field("text")], pa.bool_())
+            yield pa.RecordBatch.from_arrays([rows.filter(kept)], names=["row"])
+
+    return given.mapInArrow(run, given.schema).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
