@@ -4,9 +4,9 @@ Documents are put into ascending order of doc_id by range, encoded with a tokeni
 with an end id, and written as ORC: one file per range, sorted within, so that a reader can take stripes in parallel and
 skip stripes and row groups by the doc_id's minimum, maximum and Bloom filter.
 
-Encoding goes through distinct chunks, but for texts that hold an added token of the file: texts are cut at blanks, and between letters and the marks that end them, where no
+Encoding goes through distinct chunks: texts are cut at blanks, and between letters and the marks that end them, where no
 match of the tokenizer's pattern can cross; only chunks that a worker hasn't met are given to the library, and the cache of
-its results is bounded.
+its results is bounded. Texts that hold an added token of the file go to the library whole.
 
 Starts are prefix sums of the counts that the files hold: within each file's range by a window, over ranges by a small table
 with one row per file. Ranges are made by sampling ids and beginnings of texts, so neither a hot source nor an id that a third
@@ -39,7 +39,7 @@ from tidemark.session import shared_folder
 ROWS, RANGE_ROWS = 1024, 200_000
 #: Byte-level alphabet: bytes without a visible sign of their own are shown by the signs from 256 on, in order.
 _UNSEEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
-_BYTE_SIGNS = [chr(256 + _UNSEEN.index(b)) if b in _UNSEEN else chr(b) for b in range(256)]
+_BYTE_SIGNS = {b: chr(256 + _UNSEEN.index(b)) if b in _UNSEEN else chr(b) for b in range(256)}
 ORC_OPTIONS = {
     "compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
     "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20),
@@ -68,20 +68,18 @@ class FileEncoder(ChunkEncoder):
 
     def ids_of(self, chunks: list[str]) -> list[bytes]:
         """Single pre-tokens go to the library's model at once, in its alphabet for bytes; other chunks through all steps."""
-        tokenize, signs = self.tokenizer.model.tokenize, _BYTE_SIGNS
-        each: list = [None] * len(chunks)
-        others = []
-        for i, chunk in enumerate(chunks):
-            if LETTERS.fullmatch(chunk):
-                each[i] = [t.id for t in tokenize("".join([signs[b] for b in chunk.encode()]))]
-            else:
-                others.append(i)
+        ids = {}
+        words = [c for c in chunks if LETTERS.fullmatch(c)]
+        signs = "\n".join(words).encode().decode("latin-1").translate(_BYTE_SIGNS).split(_BYTE_SIGNS[10]) if words else []
+        tokenize = self.tokenizer.model.tokenize
+        ids.update(zip(words, [[t.id for t in tokenize(word)] for word in signs]))
+        others = [c for c in chunks if c not in ids]
         for start in range(0, len(others), 2000):
             part = others[start : start + 2000]
-            for i, found in zip(part, self.tokenizer.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False)):
-                each[i] = found.ids
+            ids.update(zip(part, [found.ids for found in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
+        each = [ids[c] for c in chunks]
         packed = np.array(list(chain.from_iterable(each)), dtype="<u4").tobytes()
-        stops = list(accumulate(4 * len(ids) for ids in each))
+        stops = list(accumulate(4 * len(i) for i in each))
         return [packed[a:b] for a, b in zip([0, *stops], stops)]
 
 
