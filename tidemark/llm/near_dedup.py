@@ -191,16 +191,19 @@ def _unsettled(lists: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _pairs_of_short(rows: DataFrame) -> DataFrame:
-    """Pairs of members of different components in short lists, each at its first common list only."""
+    """Pairs of members of different components in short lists, each at its first common list only. Only members apart from
+    the list's largest component meet all the others, so a list costs its members times those apart."""
     short = rows.where(F.col("members") * F.col("apart") <= LONG_LIST)
     side = lambda s: short.select(
-        F.col("key").alias(s), "token", F.col("prefix").alias(f"{s}_p"), F.col("n_shingles").alias(f"{s}_n"), F.col("signature").alias(f"{s}_s"), F.col("root").alias(f"{s}_r")
+        F.col("key").alias(s), "token", F.col("prefix").alias(f"{s}_p"), F.col("n_shingles").alias(f"{s}_n"), F.col("signature").alias(f"{s}_s"),
+        F.col("root").alias(f"{s}_r"), F.col("is_apart").alias(f"{s}_apart"),
     )
     first = F.array_min(F.array_intersect("a_p", "b_p")) == F.col("token")
+    once = ~F.col("b_apart") | (F.col("a") < F.col("b"))
     return (
-        side("a").join(side("b"), "token")
-        .where((F.col("a") < F.col("b")) & (F.col("a_r") != F.col("b_r")) & _fits("a", "b") & (F.size(F.array_intersect("a_s", "b_s")) >= MATCHES) & first)
-        .select("a", "b")
+        side("a").where("a_apart").join(side("b"), "token")
+        .where(once & (F.col("a_r") != F.col("b_r")) & _fits("a", "b") & (F.size(F.array_intersect("a_s", "b_s")) >= MATCHES) & first)
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     )
 
 
