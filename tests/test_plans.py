@@ -60,3 +60,62 @@ def test_entities_are_read_once_to_match_rules(spark):
     people = spark.createDataFrame([(i, pick.sample(items, 3)) for i in range(50)], "id int, items array<string>").select("id", counted("items").alias("items"))
     assert r.match_rules(people, rule_table(spark, pick, items), "id").count() > 0
     assert seen.value == 50
+
+
+def test_a_spike_entity_waits_on_one_timer():
+    class Held:
+        def __init__(self):
+            self.rows = []
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return list(self.rows)
+
+        def appendList(self, rows):
+            self.rows += rows
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def clear(self):
+            self.rows = []
+
+    class Last(Held):
+        def get(self):
+            return self.rows[0]
+
+        def update(self, row):
+            self.rows = [row]
+
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+            self.calls = 0
+
+        def getListState(self, *_):
+            return Held()
+
+        def getValueState(self, *_):
+            return Last()
+
+        def registerTimer(self, ms):
+            self.calls += 1
+            self.timers.add(ms)
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    one, handle = streams._Spikes(6, 0.25), Handle()
+    one.init(handle)
+    hours = range(60)
+    frame = pd.DataFrame({"at": pd.to_datetime([h * 3600 + 60 for h in hours], unit="s"), "score": [0.1 if h % 2 else 0.9 for h in hours]})
+    assert list(one.handleInputRows(("p",), iter([frame]), At(0))) == [] and handle.calls <= 2
+    assert handle.timers == {3_600_000}
+    found = pd.concat(one.handleExpiredTimer(("p",), At(50 * 3_600_000), None))
+    assert len(found) == 24 and 51 * 3_600_000 in handle.timers and handle.calls <= 4

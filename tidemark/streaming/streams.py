@@ -109,7 +109,8 @@ def heartbeat_counts(events: DataFrame, label: str, ts: str, window_seconds: int
 
 
 class _Spikes(StatefulProcessor):
-    """Scores of one entity, held until the watermark has passed their hour, and the last score that is final."""
+    """Scores of one entity, held until the watermark has passed their hour, and the last score that is final. One timer an entity
+    waits for the earliest hour held: every call of the state costs a round trip."""
 
     def __init__(self, hours: int, delta: float):
         self.within, self.delta = hours * HOUR_US, delta
@@ -134,6 +135,8 @@ class _Spikes(StatefulProcessor):
                 self.held.put(later)
             self.last.update(previous)
             self.handle.registerTimer((previous[0] + self.within) // 1000 + 1)  # then nothing can be near it
+        if later:
+            self.handle.registerTimer((later[0][0] // HOUR_US + 1) * HOUR_US // 1000)  # the others get theirs when this one ends
         if found:
             frame = pd.DataFrame(found, columns=["entity", "at", "previous", "score", "delta"])
             frame["at"] = pd.to_datetime(frame["at"], unit="us")
@@ -147,8 +150,6 @@ class _Spikes(StatefulProcessor):
             own = [(int(t), float(x)) for t, x in zip(at, frame["score"]) if t >= until]
             if own:
                 self.held.appendList(own)
-                for hour in {t // HOUR_US for t, _ in own}:
-                    self.handle.registerTimer((hour + 1) * HOUR_US // 1000)
         yield from self._final(key, watermark)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
