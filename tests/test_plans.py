@@ -119,3 +119,14 @@ def test_a_spike_entity_waits_on_one_timer():
     assert handle.timers == {3_600_000}
     found = pd.concat(one.handleExpiredTimer(("p",), At(50 * 3_600_000), None))
     assert len(found) == 24 and 51 * 3_600_000 in handle.timers and handle.calls <= 4
+
+
+def test_tagged_baskets_take_more_tasks_for_more_keys(spark, monkeypatch):
+    monkeypatch.setattr(baskets, "KEYS_A_TASK", 10, raising=False)
+    out = spark.range(200).select(F.col("id").alias("admission_id"), (F.col("id") % 3 == 0).alias("readmit_30day_flag"))
+    items = spark.range(400).select((F.col("id") % 250).alias("admission_id"), F.concat(F.lit("c"), (F.col("id") % 7).cast("string")).alias("icd10_code"))
+    nothing = spark.createDataFrame([(None, "z")], "admission_id long, icd10_code string")
+    found = baskets.tagged_baskets(out, items.unionByName(nothing), items.withColumnRenamed("icd10_code", "cpt_code"))
+    assert found.rdd.getNumPartitions() >= 20
+    rows = {x.admission_id: x["items"] for x in found.collect()}
+    assert set(rows) == set(range(200)) and rows[1] == ["CPT:c1", "CPT:c6", "DX:c1", "DX:c6", "NO_READMIT"] and "NO_READMIT" not in rows[3]
