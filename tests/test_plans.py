@@ -130,3 +130,10 @@ def test_tagged_baskets_take_more_tasks_for_more_keys(spark, monkeypatch):
     assert found.rdd.getNumPartitions() >= 20
     rows = {x.admission_id: x["items"] for x in found.collect()}
     assert set(rows) == set(range(200)) and rows[1] == ["CPT:c1", "CPT:c6", "DX:c1", "DX:c6", "NO_READMIT"] and "NO_READMIT" not in rows[3]
+
+
+def test_parts_are_not_written_by_every_task(spark):
+    tables = Tables(spark, shared_folder(spark, "few-files"))
+    rows = spark.range(0, 4000, 1, 16).withColumn("part", (F.col("id") % 50).cast("string"))
+    found = tables.put_parts("t", rows, "part", ())
+    assert found.count() == 4000 and len(found.inputFiles()) <= 100

@@ -67,10 +67,11 @@ class Tables:
         return self.read(name)
 
     def put_parts(self, name: str, rows: DataFrame, by: str, replaced: Iterable[str]) -> DataFrame:
-        """Rows in place of the parts ``replaced``; ``by`` is the column of the part's name, which isn't stored."""
+        """Rows in place of the parts ``replaced``; ``by`` is the column of the part's name, which isn't stored. Rows of a part are
+        brought together first, so that not every task writes a file of every part; large parts stay several tasks."""
         folder, schema = self._folder(name), T.StructType([f for f in rows.schema if f.name != by])
         stored = written(rows, f"{name}-parts")
-        stored.write.partitionBy(by).parquet(folder)
+        stored.hint("rebalance", by).write.partitionBy(by).parquet(folder)
         filled = [r[0] for r in stored.select(by).distinct().collect()]  # months or buckets
         kept = {p: f for p, f in (self.tables[name]["parts"] if name in self else {}).items() if p not in set(replaced)}
         self.tables[name] = {"schema": schema.jsonValue(), "parts": {**kept, **{str(p): f"{folder}/{by}={p}" for p in filled}}}
