@@ -1,4 +1,5 @@
 import inspect
+from datetime import date, timedelta
 from itertools import combinations
 
 import numpy as np
@@ -6,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.catalog import modelling
+from tidemark.catalog import cohorts as cohorts_catalog
+from tidemark.catalog import modelling, scoring, views
 from tidemark.operators import baskets as b
 from tidemark.operators import cohorts, evaluate, events, model
 from tidemark.operators import recommend as r
@@ -266,3 +268,35 @@ def test_rule_ids_are_unique(spark, sets):
     baskets = spark.createDataFrame(list(enumerate(sets)), "id int, items array<string>")
     found = b.association_rules(b.frequent_itemsets(baskets, 0.01, 4), 0.0, 0.0)
     assert found.count() == found.select("rule_id").distinct().count() > 0
+
+
+@pytest.fixture(scope="module")
+def few_orders(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("few"))
+    tables = {
+        "nation": ("n_nationkey int, n_name string", [(1, "X")]),
+        "customer": ("c_custkey long, c_acctbal double, c_mktsegment string, c_nationkey int", [(k, 900.0 * k, "BUILDING", 1) for k in range(1, 9)]),
+        "orders": (
+            "o_orderkey long, o_custkey long, o_orderdate date, o_orderpriority string, o_totalprice double, o_orderstatus string",
+            [(k, k % 8 + 1, date(2024, 1, 1) + timedelta(k), "1-URGENT", 10.0 * k, "FO"[k % 2]) for k in range(1, 41)] + [(7, 8, date(2024, 1, 8), "1-URGENT", 70.0, "O")],
+        ),
+        "lineitem": ("l_orderkey long, l_quantity double", [(k, float(k % 9)) for k in range(1, 41)]),
+    }
+    for name, (kind, rows) in tables.items():
+        spark.createDataFrame(rows, kind).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("run", [scoring.additive, cohorts_catalog.cluster_profiles, cohorts_catalog.cluster_names])
+def test_scores_and_profiles_store_no_wide_table(spark, few_orders, monkeypatch, run):
+    stored, names = views.stored, []
+    monkeypatch.setattr(views, "stored", lambda s, sf, name, build: names.append(name) or stored(s, sf, name, build))
+    assert run(spark, few_orders).count()
+    assert not {"admissions", "history", "features"} & set(names)
+
+
+def test_some_features_are_those_of_the_table(spark, few_orders):
+    names = ["admission_id", "patient_id", "age", "has_chf", "length_of_stay_days", "emergency_flag", "prior_readmissions_1y", "high_utilizer_flag"]
+    whole, some = scoring.features(spark, few_orders).select(*names), scoring.some_features(spark, few_orders, *names)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, some.collect()))
+    assert whole.filter("admission_id = '7'").count() == 4  # a repeated admission meets each of its histories

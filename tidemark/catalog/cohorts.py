@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import query
 from tidemark.catalog import views as v
-from tidemark.catalog.scoring import FEATURE_TABLES, features
+from tidemark.catalog.scoring import FEATURE_TABLES, some_features
 from tidemark.operators import cohorts as c
 from tidemark.operators.layout import spectral_layout
+from tidemark.session import written
 
 
 def embeddings(spark, sf):
@@ -59,14 +60,23 @@ def best_k(spark, sf):
 PROFILE_ROWS = "pr AS (SELECT features.*, CAST(age_group_encoded AS BIGINT) AS cluster_id, insurance_category, age_group FROM features JOIN (SELECT patient_id, insurance_category, age_group FROM stg_patients) USING (patient_id))"
 
 
+def profile_rows(spark, sf):
+    """The columns that profiles read; written once by their users, as a profile reads them several times."""
+    found = some_features(
+        spark, sf, "patient_id", "age_group_encoded", "age", "comorbidity_count", "charlson_comorbidity_index", *c.CONDITIONS, "prior_admissions_12m",
+        "prior_readmissions_1y", "readmit_30day_flag", "length_of_stay_days", "high_utilizer_flag",
+    )
+    return found.withColumnRenamed("age_group_encoded", "cluster_id")
+
+
 @query("cl04_cluster_profiles", v.with_tables(*FEATURE_TABLES, PROFILE_ROWS, """m AS (SELECT cluster_id, count(*) AS size, """ + v.half_up("count(*)", "(SELECT count(*) FROM pr)", 4) + f""" AS size_pct,
  {v.mean_sql('age', 1)} AS avg_age, {v.mean_sql('comorbidity_count', 2)} AS avg_comorbidity_count, {v.mean_sql('charlson_comorbidity_index', 2)} AS avg_cci, {v.mean_sql('readmit_30day_flag', 4)} AS readmission_rate, {v.mean_sql('length_of_stay_days', 2)} AS avg_los_days,
  {v.mean_sql('high_utilizer_flag', 4)} AS high_utilizer_pct, mode(insurance_category) AS dominant_insurance_category, mode(age_group) AS dominant_age_group,
  array_to_string(list_transform(list_sort(list_filter([struct_pack(o := -avg(has_diabetes), p := 0, n := 'Diabetes'), struct_pack(o := -avg(has_hypertension), p := 1, n := 'Hypertension'), struct_pack(o := -avg(has_chf), p := 2, n := 'Chf'), struct_pack(o := -avg(has_copd), p := 3, n := 'Copd')], lambda x: x.o <= -0.3))[1:3], lambda x: x.n), ',') AS top_comorbidities FROM pr GROUP BY 1)""", "SELECT * FROM m"))
 def cluster_profiles(spark, sf):
     payer = v.patients(spark, sf).select("patient_id", "insurance_category", "age_group")
-    rows = features(spark, sf).join(payer, "patient_id").withColumn("cluster_id", F.col("age_group_encoded"))
-    found = c.cluster_profiles(rows).drop("cluster_name")
+    rows = profile_rows(spark, sf).join(payer, "patient_id").drop("patient_id")
+    found = c.cluster_profiles(written(rows, "profile-rows")).drop("cluster_name")
     return found.withColumn("top_comorbidities", F.array_join("top_comorbidities", ","))
 
 
@@ -74,7 +84,7 @@ def cluster_profiles(spark, sf):
 """SELECT cluster_id, CASE WHEN a >= 70 AND c >= 4 AND p >= 2 THEN 'Complex Elderly MultiMorbid' WHEN c >= 4 AND f >= 0.3 AND k >= 0.3 THEN 'Cardio-Renal Syndrome' WHEN p >= 2 AND q >= 2 THEN 'High-Utilization Chronic' WHEN a >= 70 AND c < 2 AND p <= 1 THEN 'Elderly Low-Complexity'
  WHEN a < 50 AND c <= 1 AND r < 0.10 THEN 'Acute Single-Event Young' WHEN d >= 0.3 AND c >= 4 THEN 'Diabetic Multimorbid' WHEN o >= 0.3 OR f >= 0.3 THEN 'Chronic Cardiopulmonary' WHEN a < 70 AND c >= 4 THEN 'Mid-Age MultiMorbid' ELSE 'Mixed Cohort ' || CAST(cluster_id + 1 AS VARCHAR) END AS cluster_name FROM m"""))
 def cluster_names(spark, sf):
-    rows = features(spark, sf).withColumn("cluster_id", F.col("age_group_encoded"))
+    rows = written(profile_rows(spark, sf).drop("patient_id"), "profile-rows")
     return c.cluster_profiles(rows).select("cluster_id", "cluster_name")
 
 
