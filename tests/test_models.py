@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import cohorts as cohorts_catalog
 from tidemark.catalog import modelling, scoring, views
 from tidemark.operators import baskets as b
-from tidemark.operators import cohorts, evaluate, events, model
+from tidemark.operators import boosting, cohorts, evaluate, events, model
 from tidemark.operators import recommend as r
 from tidemark.session import shared_folder
 from tidemark.sources.action_library import ACTION_LIBRARY, read_library
@@ -300,3 +300,32 @@ def test_some_features_are_those_of_the_table(spark, few_orders):
     whole, some = scoring.features(spark, few_orders).select(*names), scoring.some_features(spark, few_orders, *names)
     assert sorted(map(str, whole.collect())) == sorted(map(str, some.collect()))
     assert whole.filter("admission_id = '7'").count() == 4  # a repeated admission meets each of its histories
+
+
+def test_boosted_folds_share_the_jobs_of_a_level(spark):
+    """Learns what no single split shows, holds folds apart, gives the same again, and runs one job a level for all folds."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.2)).astype(int)
+    rows = spark.createDataFrame(pd.DataFrame({"id": range(900), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y}))
+    tracker, counted = spark.sparkContext.statusTracker(), {}
+    for trees in (2, 12):
+        spark.sparkContext.setJobGroup(f"boosted-{trees}", "folds")
+        folds = model.cross_validate(rows, ["a", "b", "c"], "y", "id", folds=3, trees=trees, depth=3, pieces=1).collect()
+        counted[trees] = len(tracker.getJobIdsForGroup(f"boosted-{trees}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(f["n_samples"] for f in folds) == [300, 300, 300] and all(f["roc_auc"] > 0.95 for f in folds)
+    assert counted[12] - counted[2] <= 10 * 3
+    again = model.cross_validate(rows.repartition(5), ["a", "b", "c"], "y", "id", folds=3, trees=12, depth=3, pieces=1).collect()
+    assert sorted(folds) == sorted(again)
+
+
+def test_first_boosted_tree_is_the_best_split():
+    sums = np.zeros((1, 2, boosting.BINS, 2))
+    sums[0, 0, :3] = [(4.0, 4.0), (4.0, -4.0), (2.0, -2.0)]  # weight and weight times residual of feature 0's bins
+    sums[0, 1, :2] = [(5.0, -1.0), (5.0, -1.0)]
+    tree = {"feature": np.full(3, -1), "bin": np.zeros(3, int), "value": np.zeros(3), "cover": np.zeros(3)}
+    boosting._split(tree, sums, 0, np.ones((1, 2), bool), [np.array([1.0, 2.0]), np.array([0.5])])
+    assert (tree["feature"][0], tree["bin"][0]) == (0, 0) and tree["value"].tolist() == [-0.2, 1.0, -1.0] and tree["cover"].tolist() == [10.0, 4.0, 6.0]
+    bins = np.array([[0, 1, 2], [0, 0, 1]], np.uint8)
+    assert boosting.reached(tree | {"threshold": np.zeros(3)}, bins, np.arange(3), 1).tolist() == [1, 2, 2]
