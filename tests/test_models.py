@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import cohorts as cohorts_catalog
 from tidemark.catalog import modelling, scoring, views
 from tidemark.operators import baskets as b
-from tidemark.operators import boosting, cohorts, evaluate, events, model
+from tidemark.operators import boosting, cohorts, evaluate, events, explain, model
 from tidemark.operators import recommend as r
 from tidemark.session import shared_folder
 from tidemark.sources.action_library import ACTION_LIBRARY, read_library
@@ -329,3 +329,43 @@ def test_first_boosted_tree_is_the_best_split():
     assert (tree["feature"][0], tree["bin"][0]) == (0, 0) and tree["value"].tolist() == [-0.2, 1.0, -1.0] and tree["cover"].tolist() == [10.0, 4.0, 6.0]
     bins = np.array([[0, 1, 2], [0, 0, 1]], np.uint8)
     assert boosting.reached(tree | {"threshold": np.zeros(3)}, bins, np.arange(3), 1).tolist() == [1, 2, 2]
+
+
+def test_forest_scores_and_contributions(spark):
+    """One job a tree level; the parts of a row are those of its leaves one by one, and add up to the log odds that the trees give."""
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(size=(500, 4)), 1)
+    y = (x[:, 0] * x[:, 1] + x[:, 2] > 0.5).astype(float)
+    rows = spark.createDataFrame(pd.DataFrame({"id": range(500), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "d": x[:, 3], "y": np.where(np.arange(500) % 50, y, np.nan)}))
+    rows = rows.withColumn("y", F.nanvl("y", F.lit(None)))
+    names, tracker, counted = ["a", "b", "c", "d"], spark.sparkContext.statusTracker(), {}
+    for trees in (2, 9):
+        spark.sparkContext.setJobGroup(f"forest-{trees}", "trees")
+        fitted = model.train_forest(rows, names, "y", trees=trees, depth=4)
+        counted[trees] = len(tracker.getJobIdsForGroup(f"forest-{trees}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counted[9] - counted[2] <= 7 * 4
+    nodes = fitted.nodes()
+    leaves = [leaf for tree in nodes for leaf in explain._leaves(tree)]
+    points = explain.split_points(nodes, 4)
+    lookups = explain.lookups_of(nodes, points)
+    assert sum(len(lookup.sums) for lookup in lookups) <= len(leaves) / 2
+    found = explain.odds_and_parts(x, lookups, points)
+    want = np.zeros((500, 4))
+    for leaf in leaves:
+        known = sum(((x[:, f] > low) & (x[:, f] <= high)).astype(int) << j for j, (f, low, high) in enumerate(zip(leaf.features, leaf.low, leaf.high)))
+        want[:, leaf.features] += explain.gains(np.array([leaf.value]), np.array([leaf.z]))[0][known]
+    assert np.allclose(found[:, 1:], want, atol=1e-9)
+    assert np.allclose(found[:, 0], 2 * boosting.margins_of(x, fitted.trees)) and np.allclose(found.sum(axis=1) - found[:, 0] + explain.base_value(leaves), found[:, 0])
+    scored = model.score_batch(fitted, rows, names, "id", 2).collect()
+    chance = 1 / (1 + np.exp(-found[:, 0]))
+    assert len(scored) == 500 and all(abs(s["risk_score"] - chance[s["id"]]) <= 5.1e-5 for s in scored)
+    assert all(set(s["top_features"]) == {names[f] for f in np.argsort(-np.abs(found[s["id"], 1:]))[:2]} for s in scored)
+    with pytest.raises(ValueError):
+        model.train_forest(rows.limit(0), names, "y")
+
+
+def test_batch_scores_fit_by_tree_levels(spark, few_orders, monkeypatch):
+    monkeypatch.setattr(model, "train", None)  # Spark's learner takes several jobs a level
+    monkeypatch.setattr(model, "TREES", 3)
+    assert modelling.batch_scores(spark, few_orders).count() == scoring.features(spark, few_orders).count()
