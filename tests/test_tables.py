@@ -128,6 +128,43 @@ def test_neighbours_exact_and_by_cells(spark, monkeypatch):
     assert neighbours.nearest_rows(rows.limit(0), queries, "id", "v", 3).count() == 0
 
 
+def test_nearest_pairs_equal_brute_force(monkeypatch):
+    """Tiles, chunks and blocks smaller than the data; equal rows, far-off rows, unwanted cells, bounds and a cell of fewer rows than asked for."""
+    monkeypatch.setattr(neighbours, "TILE", 16)
+    monkeypatch.setattr(neighbours, "CHUNK", 30)
+    monkeypatch.setattr(neighbours, "PAIRS", 7)
+    pick = np.random.default_rng(3)
+    vectors = np.concatenate([pick.normal(size=(120, 12)), np.ones((40, 12)), 1e6 + pick.normal(size=(50, 12))])
+    ids, cells = np.arange(210), np.concatenate([pick.integers(0, 3, 120), np.full(40, 3), np.full(45, 4), np.full(5, 5)])
+    wanted, bounds = pick.random((210, 6)) < 0.7, np.where(pick.random(210) < 0.5, np.inf, 5.0)
+    found = {}
+    for q, r, far in zip(*neighbours.nearest_pairs(ids, vectors, cells, ids, vectors, wanted, bounds, 6)):
+        found.setdefault(q, []).append((far, r))
+    for q in range(210):
+        far = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
+        want = sorted((far[r], r) for r in range(210) if r != q and wanted[q, cells[r]] and far[r] <= bounds[q])[:6]
+        got = sorted(found.get(q, []))
+        assert [x for x in got if x[0] <= bounds[q]] == want
+
+
+def test_a_query_is_sent_once_to_a_block(spark, monkeypatch):
+    """Where no cell can be passed over, rows sent grow with the blocks, not with the cells; of equal vectors few are stored."""
+    pick = np.random.default_rng(8)
+    points = np.concatenate([pick.normal(size=(250, 24)), np.zeros((150, 24))])
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>")
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    sent, real = [], neighbours._nearest_in_blocks
+
+    def counted(stored, visits, *others):
+        sent.append((stored.count(), visits.count(), visits.groupBy("query_id", "block").count().filter("count > 1").count()))
+        return real(stored, visits, *others)
+
+    monkeypatch.setattr(neighbours, "_nearest_in_blocks", counted)
+    found = neighbours.nearest_rows(rows, rows, "id", "v", 5, cells=20)
+    assert found.groupBy("query_id").count().filter("count = 5").count() == 400
+    assert all(stored == 250 + 6 and again == 0 for stored, _, again in sent) and sum(visits for _, visits, _ in sent) <= 400 * 2 * 4
+
+
 def test_layout_separates_two_rings(spark):
     turn = np.linspace(0, 2 * np.pi, 30, endpoint=False)
     rings = np.concatenate([np.stack([r * np.cos(turn), r * np.sin(turn)], axis=1) for r in (1, 6)])
