@@ -3,8 +3,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.catalog import views
-from tidemark.plans.daily import run_daily
+from tidemark.catalog import star, views
+from tidemark.plans.daily import quality_rules, run_daily
 from tidemark.plans.star import surrogate_key
 from tidemark.sources.literals import benchmark_rates, departments
 
@@ -61,3 +61,26 @@ def test_gate_stops_before_marts(spark, tmp_path):
     with pytest.raises(ValueError, match="orphan_patient_id"):
         run(spark, {**raw, "patients": lost}, f"{tmp_path}/b")
     assert not os.path.exists(f"{tmp_path}/b/dashboard")
+
+
+def test_two_days_of_orders_whose_even_numbers_have_more_outcomes(spark, tmp_path, monkeypatch):
+    """Even orders that have an outcome flag are positive in six of ten cases, all orders in three of ten: the gate must not see the former."""
+    tables = {
+        "region": "SELECT 0 AS r_regionkey, 'REGION_0' AS r_name",
+        "nation": "SELECT 0 AS n_nationkey, 'NATION_0' AS n_name, 0 AS n_regionkey",
+        "customer": "SELECT id AS c_custkey, 0 AS c_nationkey, 1000D + id AS c_acctbal, 'BUILDING' AS c_mktsegment FROM range(20)",
+        "lineitem": "SELECT id AS l_orderkey, 5D AS l_quantity FROM range(400)",
+        "orders": """SELECT id AS o_orderkey, id % 20 AS o_custkey, CASE WHEN id % 20 < 12 THEN 'F' ELSE 'O' END AS o_orderstatus, 100D AS o_totalprice,
+         TIMESTAMP '1998-01-01 00:00:00' AS o_orderdate, '5-LOW' AS o_orderpriority FROM range(400) UNION ALL SELECT NULL, 1, 'O', 1D, TIMESTAMP '1998-01-01 00:00:00', NULL""",
+    }
+    for name, text in tables.items():
+        spark.sql(text).write.parquet(f"{tmp_path}/{name}.parquet")
+    brought, found = [], []
+
+    def gated(raw, *_, **__):
+        brought.extend(int(r[0]) for r in raw["admissions"].select("admission_id").collect())
+        found.extend(r.check_status for r in quality_rules(raw["patients"], raw["admissions"]).collect())
+
+    monkeypatch.setattr(star, "run_daily", gated)
+    star.two_days(spark, str(tmp_path))
+    assert sorted(brought) == list(range(400)) and "FAIL" not in found
