@@ -12,7 +12,7 @@ from tidemark.catalog import modelling, scoring, views
 from tidemark.operators import baskets as b
 from tidemark.operators import boosting, cohorts, evaluate, events, explain, model
 from tidemark.operators import recommend as r
-from tidemark.session import shared_folder
+from tidemark.session import shared_folder, written
 from tidemark.sources.action_library import ACTION_LIBRARY, read_library
 from tidemark.sources.versions import Tables
 from tidemark.streaming import streams
@@ -320,6 +320,46 @@ def test_boosted_folds_share_the_jobs_of_a_level(spark):
     assert sorted(folds) == sorted(again)
 
 
+def test_few_rows_are_fitted_by_one_job(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(300, 2))
+    rows = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": (x[:, 0] > x[:, 1]).astype(float)}))
+    tracker, counted = spark.sparkContext.statusTracker(), {}
+    for trees in (2, 8):
+        spark.sparkContext.setJobGroup(f"few-{trees}", "trees")
+        assert len(model.train_forest(rows, ["a", "b"], "y", trees=trees, depth=3).trees) == trees
+        counted[trees] = len(tracker.getJobIdsForGroup(f"few-{trees}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counted[8] == counted[2]
+
+
+def test_many_rows_are_added_up_for_one_child_of_a_split(spark, monkeypatch):
+    """Only the lighter child of a split is added up, and the trees are those of sums over all nodes."""
+    rng = np.random.default_rng(14)
+    x = np.round(rng.normal(size=(6000, 3)), 1)
+    frame = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": (x[:, 0] * x[:, 1] + rng.normal(size=6000) > 0.8).astype(float), "fold": np.arange(6000) % 2})
+    rows, names = written(spark.createDataFrame(frame), "many"), ["a", "b", "c"]
+    monkeypatch.setattr(boosting, "ROWS_A_PARTITION", 2000)
+    monkeypatch.setattr(boosting, "BLOCK", (500, 600))
+    asked, sums = [], boosting._sums
+    monkeypatch.setattr(boosting, "_sums", lambda grown, level, t, nodes, *rest: asked.append((level, t, nodes)) or sums(grown, level, t, nodes, *rest))
+    found = boosting.fit(rows, names, "y", "fold", [0, 1], trees=4, depth=3, rate=0.5, row_share=0.8, column_share=1.0, seed=3)
+    assert len(asked) == 12
+    for level, t, nodes in asked:
+        for forest, some in zip(found, nodes):
+            above = forest[t]["feature"][2 ** (level - 1) - 1 : 2**level - 1] if level else np.zeros(1)
+            assert len(some) == (above >= 0).sum()
+    points = boosting.split_points(rows, names)
+    blocks = boosting._blocks(rows, names, "y", "fold", points, 2, 3, 500).collect()
+    assert len(blocks) >= 3 and sum(len(block[2]) for block in blocks) == 6000
+    ratios = [(part["y"] == 0).sum() / part["y"].sum() for part in (frame[frame["fold"] != out] for out in (0, 1))]
+    want = boosting._fit_alone(blocks, points, (4, 3, 0.5, 3, 3), ([0, 1], ratios, 0.8, 3))
+    for forest, expected in zip(found, want):
+        for tree, other in zip(forest, expected):
+            assert (tree["feature"] == other["feature"]).all() and (tree["bin"] == other["bin"]).all()
+            assert np.allclose(tree["value"], other["value"], atol=1e-5) and np.allclose(tree["cover"], other["cover"], rtol=1e-5)
+
+
 def test_first_boosted_tree_is_the_best_split():
     sums = np.zeros((1, 2, boosting.BINS, 2))
     sums[0, 0, :3] = [(4.0, 4.0), (4.0, -4.0), (2.0, -2.0)]  # weight and weight times residual of feature 0's bins
